@@ -1,0 +1,286 @@
+"""Store models derived from the TPC-H-like test tables, column by column.
+
+Every table grows with its source. The same derivations are written as SQL in `checks/oracle.py`.
+Days of the event stream are moved back so that ads overlap the sales; Google starts five days after
+the other sources, which leaves days with some ads but none of Google's.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.timekeys import utc_parts, with_day_keys
+from ledgerloom.plans.tables import StoreTables
+
+SETTINGS_SQL = """
+SELECT 40D AS margin_pct, 6.5D AS shipping_margin, 3D AS return_margin,
+       true AS exclude_returned_cost, 'variablePricing' AS pricing,
+       array(
+         named_struct('fulfillment_base', 2D, 'fulfillment_additional', 0.5D,
+                      'packaging_base', 1D, 'packaging_additional', 0.25D,
+                      'min_units', 0, 'max_units', 5),
+         named_struct('fulfillment_base', 3D, 'fulfillment_additional', 0.4D,
+                      'packaging_base', 1.5D, 'packaging_additional', 0.2D,
+                      'min_units', 5, 'max_units', 9),
+         named_struct('fulfillment_base', 5D, 'fulfillment_additional', 0.3D,
+                      'packaging_base', 2D, 'packaging_additional', 0.1D,
+                      'min_units', 10, 'max_units', 9999999)
+       ) AS tiers
+"""
+
+
+class SampleStore:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.dir = sf_dir.rstrip("/")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def orders(self) -> DataFrame:
+        key = F.col("o_orderkey")
+        order = self.table("orders").select(
+            "o_custkey",
+            "o_orderkey",
+            "o_totalprice",
+            "o_orderstatus",
+            key.cast("string").alias("order_id"),
+            F.concat(F.lit("#"), key.cast("string")).alias("order_name"),
+            _after(F.col("o_orderdate").cast("timestamp"), (key * 37) % 86400).alias(
+                "order_created_at"
+            ),
+            F.when(key % 10 != 9, (1 + key % 3).cast("int")).alias("customer_order_index"),
+            F.col("o_custkey").cast("string").alias("customer_id"),
+            F.concat(F.lit("P"), (F.col("o_custkey") % 3).cast("string")).alias("province_code"),
+            F.when(F.col("o_custkey") % 3 != 2, F.concat(F.lit("Province "), F.col("o_custkey") % 3))
+            .alias("province"),
+            F.concat(F.lit("City "), F.col("o_custkey") % 40).alias("shipping_city"),
+            (1 + (key % 5) / 10).alias("fx_rate"),
+            F.concat(F.lit('["gateway-'), key % 4, F.lit('"]')).alias("payment_gateways"),
+            F.when(key % 5 == 0, "EUR").otherwise("USD").alias("presentment_currency"),
+            F.when(F.col("o_orderstatus") == "F", "PAID").otherwise("PENDING").alias(
+                "financial_status"
+            ),
+            F.when(F.col("o_orderstatus") == "O", "UNFULFILLED").otherwise("FULFILLED").alias(
+                "fulfillment_status"
+            ),
+            F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("Carrier "), key % 3)).alias(
+                "first_carrier"
+            ),
+            "o_orderpriority",
+        )
+        customer = self.table("customer").select(
+            F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey", "c_mktsegment"
+        )
+        nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+        joined = order.join(customer, "o_custkey").join(nation, "c_nationkey")
+        return joined.select(
+            *[c for c in order.columns if c not in ("o_orderpriority",)],
+            F.col("c_mktsegment").alias("tenant_id"),
+            F.col("c_name").alias("customer_name"),
+            F.concat(F.lower("c_name"), F.lit("@example.com")).alias("customer_email"),
+            F.col("n_name").alias("country_code"),
+            F.col("n_name").alias("shipping_country"),
+            F.concat(
+                F.lit('["'), "o_orderpriority", F.lit('","'), "c_mktsegment", F.lit('"]')
+            ).alias("tags"),
+        ).withColumns(utc_parts("order_created_at", "created"))
+
+    def sales(self) -> DataFrame:
+        order = self.orders().select(
+            "o_orderkey", "order_id", "order_name", "order_created_at", "customer_order_index",
+            "customer_id", "country_code", "province_code", "fx_rate", "tenant_id",
+        )
+        line, number = self.table("lineitem"), F.col("l_linenumber")
+        is_return = F.col("l_returnflag") == "R"
+        sign = F.when(is_return, F.lit(-1)).otherwise(F.lit(1))
+        kept = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+        entry = line.select(
+            F.col("l_orderkey").alias("o_orderkey"),
+            F.concat_ws("-", F.col("l_orderkey"), number, F.col("l_partkey"), F.col("l_suppkey"))
+            .alias("sale_id"),
+            F.when(number == 7, "SHIPPING").when(number == 6, "GIFT_CARD").otherwise("PRODUCT")
+            .alias("line_type"),
+            F.when(is_return, "RETURN").otherwise("ORDER").alias("action_type"),
+            (sign * F.col("l_quantity").cast("int")).alias("quantity"),
+            F.when(F.col("l_partkey") % 17 != 0, F.col("l_partkey").cast("string")).alias(
+                "variant_id"
+            ),
+            F.concat(F.lit("Item "), F.col("l_partkey")).alias("product_name"),
+            (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+            F.col("l_tax").alias("tax_rate_sum"),
+            (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_before_taxes"),
+            (sign * kept * F.col("l_tax")).alias("total_tax"),
+            (sign * kept * (1 + F.col("l_tax"))).alias("total_amount"),
+            _after(
+                F.col("l_shipdate").cast("timestamp"),
+                (F.col("l_orderkey") * 53 + number * 3601) % 86400,
+            ).alias("happened_at"),
+        )
+        return entry.join(order, "o_orderkey").drop("o_orderkey")
+
+    def transactions(self) -> DataFrame:
+        key = F.col("o_orderkey")
+        return self.orders().select(
+            "order_id",
+            "order_created_at",
+            "fx_rate",
+            "tenant_id",
+            _after(F.col("order_created_at"), key % 90000).alias("transaction_at"),
+            F.when(key % 4 == 3, "REFUND").otherwise("SALE").alias("kind"),
+            F.when(key % 10 == 0, "CARD_DECLINED").alias("error_code"),
+            (F.col("o_totalprice") * 0.029 + 0.3).alias("amount"),
+        )
+
+    def fulfillments(self) -> DataFrame:
+        key = F.col("o_orderkey")
+        shipped = self.orders().where(F.col("o_orderstatus") != "O")
+        return shipped.select(
+            "order_id",
+            "order_name",
+            "order_created_at",
+            "tenant_id",
+            F.concat(F.lit("F"), key).alias("resource_id"),
+            (1 + key % 12).cast("int").alias("total_quantity"),
+            _after(F.col("order_created_at"), 3600 + key % 200000).alias("fulfilled_at"),
+        )
+
+    def _events(self, kinds: list[str], shift: int) -> DataFrame:
+        events = self.table("events").where(F.col("event_type").isin(kinds))
+        day = F.date_sub(F.col("ts").cast("date"), shift)
+        return with_day_keys(events.withColumn("snapshot_date", day), "snapshot_date")
+
+    def google_ads(self) -> DataFrame:
+        return self._events(["click"], 10222).select(
+            (F.col("value") * 1000000).alias("cost_micros"),
+            (F.col("user_id") % 7).cast("double").alias("clicks"),
+            (F.col("user_id") % 3).cast("double").alias("conversions"),
+            "date", "month", "year", "week", _tenant_of_user(),
+        )
+
+    def tiktok_ads(self) -> DataFrame:
+        return self._events(["view"], 10227).select(
+            F.col("value").alias("spend"),
+            F.when(F.col("user_id") % 9 != 0, (F.col("user_id") % 7).cast("double")).alias("clicks"),
+            (F.col("user_id") % 2).cast("double").alias("conversion"),
+            "date", "month", "year", "week", _tenant_of_user(),
+        )
+
+    def meta_ads(self) -> DataFrame:
+        bought = F.struct(
+            F.lit("purchase").alias("action_type"),
+            (F.col("user_id") % 4).cast("string").alias("value"),
+        )
+        clicked = F.struct(F.lit("link_click").alias("action_type"), F.lit("9").alias("value"))
+        actions = F.when(
+            F.col("event_type") == "purchase", F.array(bought, clicked)
+        ).otherwise(F.array(clicked))
+        return self._events(["signup", "purchase"], 10227).select(
+            F.col("value").alias("spend"),
+            (F.col("user_id") % 7).cast("double").alias("clicks"),
+            actions.alias("actions"),
+            "date", "month", "year", "week", _tenant_of_user(),
+        )
+
+    def raw_schedule(self) -> DataFrame:
+        """Scheduled expenses as the lake holds them, all text."""
+        key = F.col("s_suppkey")
+        start = F.date_add(F.lit("1995-01-01").cast("date"), ((key * 97) % 2400).cast("int"))
+        end = F.date_add(start, ((key * 31) % 900).cast("int"))
+        often = F.array(*[F.lit(x) for x in
+                          ("Monthly", "Weekly", "Yearly", "Daily", "Just Once", "Quarterly")])
+        tags = F.array(*[F.lit(x) for x in
+                         ("staff-costs", "marketing-expenses", "operational-expenses", None)])
+        return self.table("supplier").select(
+            key.cast("string").alias("Id"),
+            F.col("s_name").alias("ExpenseName"),
+            F.lit("ACTIVE").alias("Status"),
+            F.lit("general").alias("Category"),
+            F.col("s_acctbal").cast("string").alias("Cost"),
+            F.get(often, (key % 6).cast("int")).alias("Frequency"),
+            F.get(tags, F.col("s_nationkey") % 4).alias("Tags"),
+            start.cast("string").alias("StartDate"),
+            F.when(key % 3 == 0, "").otherwise(end.cast("string")).alias("EndDate"),
+        )
+
+    def schedule(self) -> DataFrame:
+        from ledgerloom.operators.ingest_settings import cost_schedule_model
+
+        return cost_schedule_model(self.raw_schedule())
+
+    def product_costs(self) -> DataFrame:
+        key = F.col("p_partkey")
+        known = self.table("part").where(F.col("p_brand") != "Brand#11")
+        return known.select(
+            key.cast("string").alias("variant_id"),
+            F.when(key % 13 == 0, F.lit(None).cast("double"))
+            .when(key % 13 == 1, F.lit(0.0))
+            .otherwise(F.col("p_retailprice") * 0.4)
+            .alias("product_cost"),
+            F.when(F.col("p_size") % 4 != 0, F.col("p_size") / 10).alias("packing_fee"),
+        )
+
+    def shipping_entries(self) -> DataFrame:
+        region = self.table("region").where(F.col("r_name") != "AFRICA")
+        nation = self.table("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        sides = F.array(
+            F.struct(F.lit("P0").alias("region"), F.lit(1).alias("extra")),
+            F.struct(F.lit("All Regions").alias("region"), F.lit(2).alias("extra")),
+        )
+        rows = nation.select("n_name", "n_nationkey", F.inline(sides))
+        cost = (F.col("n_nationkey") + F.col("extra")).cast("double")
+        return rows.select(
+            F.col("n_name").alias("country_name"),
+            "region",
+            F.col("n_name").alias("country_code"),
+            cost.alias("shipping_cost"),
+            (cost / 2).alias("return_cost"),
+            (F.col("n_nationkey") * 2 + F.col("extra")).alias("position"),
+        )
+
+    def order_shipping(self, wildcards: bool = False) -> DataFrame:
+        """Shipping costs agreed for the dearest orders; ids are prefixes of other ids at times."""
+        key = F.col("o_orderkey").cast("string")
+        order_id = key
+        if wildcards:
+            first = F.substring(key, 1, 1)
+            order_id = (
+                F.when(F.col("o_totalprice") >= 499000, F.concat(first, F.lit("%"), F.right(key, F.lit(2))))
+                .when(F.col("o_totalprice") >= 498000, F.concat(F.lit("_"), F.right(key, F.lit(3))))
+                .otherwise(key)
+            )
+        dear = self.table("orders").where(F.col("o_totalprice") >= 495000)
+        return dear.select(
+            order_id.alias("order_id"),
+            (F.col("o_orderkey") % 23).cast("double").alias("shipping_cost"),
+        )
+
+    def settings(self) -> DataFrame:
+        return self.spark.sql(SETTINGS_SQL)
+
+    def tables(self) -> StoreTables:
+        return StoreTables(
+            orders=self.orders(),
+            sales=self.sales(),
+            transactions=self.transactions(),
+            fulfillments=self.fulfillments(),
+            google_ads=self.google_ads(),
+            tiktok_ads=self.tiktok_ads(),
+            meta_ads=self.meta_ads(),
+            schedule=self.schedule(),
+            product_costs=self.product_costs(),
+            order_shipping=self.order_shipping(),
+            shipping_entries=self.shipping_entries(),
+            settings=self.settings(),
+        )
+
+
+def _after(instant: Column, seconds: Column) -> Column:
+    return instant + F.make_dt_interval(secs=seconds)
+
+
+def _tenant_of_user() -> Column:
+    names = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    store = F.get(F.array(*[F.lit(n) for n in names]), (F.col("user_id") % 5).cast("int"))
+    return store.alias("tenant_id")
