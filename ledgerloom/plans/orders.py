@@ -350,6 +350,13 @@ FILTER_COLUMNS = {
 FILTER_LISTS = {"tags": "tags", "gateways": "payment_gateways"}
 
 
+def _tagged_values(kind: str, column: str) -> Column:
+    """Entries of a JSON text list as (kind, value) structs; no entries for NULL."""
+    values = F.from_json(column, "array<string>")
+    tagged = F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    return F.coalesce(tagged, F.array().cast("array<struct<kind: string, value: string>>"))
+
+
 def filter_value_rows(
     orders: DataFrame, years: tuple[int, int] | None = None, scope: Sequence[str] = ()
 ) -> DataFrame:
@@ -360,16 +367,7 @@ def filter_value_rows(
         F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
         for kind, column in FILTER_COLUMNS.items()
     ]
-    listed = [
-        F.coalesce(
-            F.transform(
-                F.from_json(column, "array<string>"),
-                lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
-            ),
-            F.array().cast("array<struct<kind: string, value: string>>"),
-        )
-        for kind, column in FILTER_LISTS.items()
-    ]
+    listed = [_tagged_values(kind, column) for kind, column in FILTER_LISTS.items()]
     return orders.select(*scope, F.inline(F.concat(F.array(*single), *listed))).distinct()
 
 

@@ -284,3 +284,151 @@ def _tenant_of_user() -> Column:
     names = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     store = F.get(F.array(*[F.lit(n) for n in names]), (F.col("user_id") % 5).cast("int"))
     return store.alias("tenant_id")
+
+
+def _iso(instant: Column) -> Column:
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _money(amount: Column, currency: Column | None = None) -> Column:
+    text = amount.cast("string").alias("amount")
+    code = (F.lit("USD") if currency is None else currency).alias("currencyCode")
+    return F.struct(text, code)
+
+
+def _shop(amount: Column) -> Column:
+    return F.struct(_money(amount).alias("shopMoney"))
+
+
+def order_documents(store: SampleStore) -> DataFrame:
+    """Raw order documents as JSON text, one per order, with shipments and payments inside."""
+    key = F.col("o_orderkey")
+    created = F.col("order_created_at")
+    shipment = F.struct(
+        F.concat(F.lit("F"), key).alias("legacyResourceId"),
+        _iso(_after(created, 3600 + key % 200000)).alias("createdAt"),
+        (1 + key % 12).alias("totalQuantity"),
+        F.array(F.struct(F.col("first_carrier").alias("company"))).alias("trackingInfo"),
+    )
+    fee = F.struct(_money(F.col("o_totalprice") * 0.029 + 0.3).alias("amount"))
+    flat = F.struct(_money(F.lit(0.25), F.lit("EUR")).alias("amount"))
+    payment = F.struct(
+        F.concat(F.lit("T"), key).alias("id"),
+        _iso(_after(created, key % 90000)).alias("createdAt"),
+        F.when(key % 10 == 0, "CARD_DECLINED").alias("errorCode"),
+        F.when(key % 4 == 3, "REFUND").otherwise("SALE").alias("kind"),
+        F.lit("Card").alias("formattedGateway"),
+        F.when(key % 7 == 0, F.array())
+        .when(key % 7 == 1, F.array(fee, flat))
+        .otherwise(F.array(fee))
+        .alias("fees"),
+    )
+    document = F.struct(
+        F.col("order_id").alias("id"),
+        F.col("order_name").alias("name"),
+        _iso(created).alias("createdAt"),
+        F.struct(F.col("customer_order_index").alias("customerOrderIndex")).alias(
+            "customerJourneySummary"
+        ),
+        F.struct(
+            F.col("customer_id").alias("id"),
+            F.col("customer_name").alias("displayName"),
+            F.split_part("customer_name", F.lit("#"), F.lit(1)).alias("firstName"),
+            F.split_part("customer_name", F.lit("#"), F.lit(2)).alias("lastName"),
+            F.col("customer_email").alias("email"),
+        ).alias("customer"),
+        F.struct(
+            _money(F.col("o_totalprice")).alias("shopMoney"),
+            _money(
+                F.when(key % 8 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") / 2),
+                F.col("presentment_currency"),
+            ).alias("presentmentMoney"),
+        ).alias("totalReceivedSet"),
+        F.when(F.col("o_orderstatus") != "O", F.array(shipment)).otherwise(F.array()).alias(
+            "fulfillments"
+        ),
+        F.array(payment).alias("transactions"),
+        F.array(F.struct(F.lit("none").alias("note"))).alias("refunds"),
+        F.from_json("payment_gateways", "array<string>").alias("paymentGatewayNames"),
+        F.from_json("tags", "array<string>").alias("tags"),
+        F.col("fulfillment_status").alias("displayFulfillmentStatus"),
+        F.col("financial_status").alias("displayFinancialStatus"),
+        F.struct(
+            F.col("country_code").alias("countryCode"),
+            F.col("province_code").alias("provinceCode"),
+            "province",
+            F.col("shipping_city").alias("city"),
+            F.col("shipping_country").alias("country"),
+        ).alias("shippingAddress"),
+    )
+    return store.orders().select(
+        F.col("tenant_id").alias("tenantid"),
+        F.date_format("order_created_at", "yyyy-MM-dd").alias("date"),
+        F.to_json(document).alias("json"),
+    )
+
+
+def sale_documents(store: SampleStore) -> DataFrame:
+    """Raw order documents that hold one agreement each, one document per sale entry.
+
+    Entries of more than 25 units carry a second sale, an adjustment without a line item. Untaxed
+    entries have an empty list of tax lines, others two.
+    """
+    rate = F.col("tax_rate_sum")
+    line_item = F.struct(
+        F.col("product_name").alias("name"),
+        F.when(
+            F.col("variant_id").isNotNull(),
+            F.struct(F.col("variant_id").alias("legacyResourceId")),
+        ).alias("variant"),
+        F.struct(F.concat(F.lit("gid/"), "product_name").alias("id")).alias("product"),
+        _shop(F.col("unit_price")).alias("originalUnitPriceSet"),
+        F.when(rate == 0, F.array())
+        .otherwise(F.array(F.struct(rate.alias("rate")), F.struct(F.lit(0.01).alias("rate"))))
+        .alias("taxLines"),
+    )
+
+    def sale(kind: Column, ident: Column, quantity: Column, item: Column, factor: float) -> Column:
+        return F.struct(
+            F.struct(
+                ident.alias("id"),
+                kind.alias("lineType"),
+                F.col("action_type").alias("actionType"),
+                quantity.alias("quantity"),
+                _shop(F.col("discount_before_taxes") * factor).alias(
+                    "totalDiscountAmountBeforeTaxes"
+                ),
+                _shop(F.col("discount_before_taxes") / 2).alias("totalDiscountAmountAfterTaxes"),
+                _shop(F.col("total_tax") * factor).alias("totalTaxAmount"),
+                _shop(F.col("total_amount") * factor).alias("totalAmount"),
+                item.alias("lineItem"),
+            ).alias("node")
+        )
+
+    main = sale(F.col("line_type"), F.col("sale_id"), F.col("quantity"), line_item, 1.0)
+    none = F.when(F.lit(False), line_item)
+    extra = sale(F.lit("ADJUSTMENT"), F.concat("sale_id", F.lit("-x")), F.lit(0), none, 0.5)
+    sales = F.when(F.abs("quantity") > 25, F.array(main, extra)).otherwise(F.array(main))
+    agreement = F.struct(
+        F.struct(
+            _iso(F.col("happened_at")).alias("happenedAt"),
+            F.struct(sales.alias("edges")).alias("sales"),
+        ).alias("node")
+    )
+    document = F.struct(
+        F.col("order_id").alias("id"),
+        F.col("order_name").alias("name"),
+        _iso(F.col("order_created_at")).alias("createdAt"),
+        F.struct(F.col("customer_order_index").alias("customerOrderIndex")).alias(
+            "customerJourneySummary"
+        ),
+        F.struct(F.col("customer_id").alias("id")).alias("customer"),
+        F.struct(F.array(agreement).alias("edges")).alias("agreements"),
+        F.struct(
+            F.col("country_code").alias("countryCode"),
+            F.col("province_code").alias("provinceCode"),
+        ).alias("shippingAddress"),
+    )
+    return store.sales().select(
+        F.col("tenant_id").alias("tenantid"), F.to_json(document).alias("json")
+    )
