@@ -20,12 +20,20 @@ def keys(t: str) -> str:
     )
 
 
-def rounded(query: str, plain: str = "", digits: int = 2) -> str:
-    """Wrap a query: columns named in `plain` stay as they are, all others are rounded."""
+def rounded(query: str, plain: str = "", digits: int = 2, steep: tuple[str, ...] = ()) -> str:
+    """Wrap a query: columns named in `plain` stay as they are, all others are rounded.
+
+    Columns in `steep` are rounded to thousands once they exceed 10000.
+    """
     names = [n.strip() for n in plain.split(",") if n.strip()]
-    head = ", ".join(names) + ", " if names else ""
-    rest = f"* EXCLUDE ({', '.join(names)})" if names else "*"
-    return f"{head}floor(COLUMNS({rest}) * 1e{digits} + 0.5001e0) / 1e{digits} FROM ({query}) AS q"
+    fine = f"floor({{x}} * 1e{digits} + 0.5001e0) / 1e{digits}"
+    parts = list(names)
+    for n in steep:
+        coarse = f"floor({n} / 1e3 + 0.5001e0) * 1e3"
+        parts.append(f"CASE WHEN abs({n}) > 1e4 THEN {coarse} ELSE {fine.format(x=n)} END AS {n}")
+    skip = [*names, *steep]
+    parts.append(fine.format(x=f"COLUMNS(* EXCLUDE ({', '.join(skip)}))" if skip else "COLUMNS(*)"))
+    return f"{', '.join(parts)} FROM ({query}) AS q"
 
 
 BASE = """
@@ -420,8 +428,8 @@ def metric_steps(policy: str, period: bool) -> list[list[tuple[str, str]]]:
     return steps
 
 
-def metrics(source: str, key: str, policy: str, period: bool, extra: tuple[str, ...] = ()) -> str:
-    """SELECT of all metrics over the merged inputs in CTE `source`."""
+def metrics(source: str, key: str, policy: str, period: bool, extra: tuple[str, ...] = ()):
+    """CTEs and SELECT of all metrics over the merged inputs in CTE `source`."""
     ctes, last = [], source
     for n, layer in enumerate(metric_steps(policy, period)):
         columns = ", ".join(f"{formula} AS {name}" for name, formula in layer)
@@ -434,7 +442,8 @@ def metrics(source: str, key: str, policy: str, period: bool, extra: tuple[str,
 
     derived = [name for layer in metric_steps(policy, period) for name, _ in layer]
     final = f"SELECT {key}, {', '.join(cover(n) for n in [*shown, *WHOLE])}, {', '.join(derived)} FROM {last}"
-    return ", ".join(ctes), rounded(final, ", ".join([key, *WHOLE]))
+    steep = ("gross_margin_pct", "cogs_pct")
+    return ", ".join(ctes), rounded(final, ", ".join([key, *WHOLE]), steep=steep)
 
 
 def with_base(*parts: str, final: str) -> str:
@@ -483,13 +492,15 @@ per_fees AS (
   WHERE kind = 'SALE' AND error_code IS NULL GROUP BY order_id),
 per_sent AS (SELECT order_id, sum(fulfillment_cost) AS sent FROM fx_shipped GROUP BY order_id),
 profit_a AS (
-  SELECT coalesce(s.order_id, f.order_id, h.order_id) AS order_id, s.* EXCLUDE (order_id), fees, sent,
+  SELECT coalesce(s.order_id, f.order_id, h.order_id) AS order_id,
+         CASE WHEN s.order_id IS NULL AND f.order_id IS NULL THEN 'shipments'
+              WHEN s.order_id IS NULL THEN 'payments' END AS src, s.* EXCLUDE (order_id), fees, sent,
          coalesce(sold - back, 0) AS "productCost",
          coalesce(coalesce(sold - back, 0) + packing_fees + fees + sent + shipping_cost, 0) AS cogs
   FROM per_sales s FULL OUTER JOIN per_fees f ON s.order_id = f.order_id
   FULL OUTER JOIN per_sent h ON s.order_id = h.order_id),
 profit AS (
-  SELECT order_id, coalesce(paid, 0) AS paid, coalesce(discount, 0) AS discount,
+  SELECT order_id, src, coalesce(paid, 0) AS paid, coalesce(discount, 0) AS discount,
          coalesce(shipping_charged, 0) AS shipping_charged,
          coalesce(shipping_cost, 0) AS shipping_cost, coalesce(sent, 0) AS fulfillment,
          coalesce(fees, 0) AS transactions, cogs, coalesce(packing_fees, 0) AS packing_fees,

@@ -53,13 +53,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def shown(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Round all DOUBLE columns with the tolerance the oracle uses."""
+# Ratios over amounts that nearly cancel are huge and carry few reliable digits.
+STEEP = ("gpmargin", "gross_margin_pct", "cogs_pct")
+STEEP_PAGE = ("gpmargin",)
+
+
+def shown(df: DataFrame, digits: int = 2, steep: tuple[str, ...] = ()) -> DataFrame:
+    """Round all DOUBLE columns as the oracle does; `steep` ones above 10000 to thousands."""
+
+    def cut(name: str):
+        x = F.col(name)
+        fine = half_up(x, digits)
+        return F.when(F.abs(x) > 10000, half_up(x / 1000, 0) * 1000).otherwise(fine) if name in steep else fine
+
     return df.select(
         *[
-            half_up(F.col(f.name), digits).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name)
+            cut(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
@@ -564,7 +573,7 @@ def cost_by_tag(s):
 def _pnl(name: str, grain: str, tz: str = TZ, policy: str = "parity"):
     @query(name, Q.pnl(grain, tz, policy))
     def build(s):
-        return shown(P.period_pnl(s.tables(), grain, *RANGE, tz, policy))
+        return shown(P.period_pnl(s.tables(), grain, *RANGE, tz, policy), steep=STEEP)
 
 
 _pnl("pnl_day", "date", NEW_YORK)
@@ -612,26 +621,26 @@ def _page_sql(order_by: str) -> str:
         Q.VARIANT_LINES,
         """listed AS (SELECT order_id, CAST(count(*) AS INTEGER) AS variants, sum(paid) AS variant_paid,
           sum(gross_profit) AS variant_profit, sum(gpm) AS variant_gpm FROM variant_lines GROUP BY ALL)""",
-        f"cut AS (SELECT * FROM page ORDER BY {order_by}, key LIMIT 2000)",
+        f"cut AS (SELECT * FROM page ORDER BY {order_by}, key, src NULLS FIRST LIMIT 2000)",
         final=Q.rounded(
             f"SELECT {PAGE_SQL_COLUMNS}, variants, variant_paid, variant_profit, variant_gpm "
             "FROM cut LEFT JOIN listed ON key = order_id",
             ", ".join([*Q.PAGE_TEXT, "variants"]),
+            steep=STEEP_PAGE,
         ),
     )
 
 
-@query("order_page", _page_sql("date DESC"))
+@query("order_page", _page_sql("date DESC NULLS LAST"))
 def order_page(s):
-    return shown(_with_variant_check(O.order_page(s.tables(), *RANGE)))
+    return shown(_with_variant_check(O.order_page(s.tables(), *RANGE)), steep=STEEP)
 
 
-@query("order_page_by_profit", _page_sql("floor(gross_profit) DESC"))
+@query("order_page_by_profit", _page_sql("gross_profit DESC NULLS LAST"))
 def order_page_by_profit(s):
-    # Whole amounts, so that noise in the last digit cannot decide the cut.
     tables = s.tables()
     page = O.order_page(tables, *RANGE, order_by=[("gross_profit", "desc")])
-    return shown(_with_variant_check(page))
+    return shown(_with_variant_check(page), steep=STEEP)
 
 
 @query(
@@ -639,11 +648,11 @@ def order_page_by_profit(s):
     Q.with_base(
         Q.order_profit(),
         Q.page(TZ),
-        final=Q.rounded(f"SELECT {PAGE_SQL_COLUMNS} FROM page", ", ".join(Q.PAGE_TEXT)),
+        final=Q.rounded(f"SELECT {PAGE_SQL_COLUMNS} FROM page", ", ".join(Q.PAGE_TEXT), steep=STEEP_PAGE),
     ),
 )
 def order_page_export(s):
-    return shown(O.order_page_export(s.tables(), *RANGE, TZ))
+    return shown(O.order_page_export(s.tables(), *RANGE, TZ), steep=STEEP)
 
 
 @query(
@@ -655,6 +664,7 @@ def order_page_export(s):
             f"SELECT {PAGE_SQL_COLUMNS} FROM page WHERE payment_status = 'PAID' "
             "AND currency_code IN ('EUR', 'GBP') AND tags LIKE '%URGENT%'",
             ", ".join(Q.PAGE_TEXT),
+            steep=STEEP_PAGE,
         ),
     ),
 )
@@ -664,7 +674,8 @@ def order_page_filtered(s):
         ("presentment_currency", "in", ["EUR", "GBP"]),
         ("tags", "like", "%URGENT%"),
     ]
-    return shown(O.order_page_export(s.tables(), *RANGE, TZ, where, [("paid", "asc")]))
+    rows = O.order_page_export(s.tables(), *RANGE, TZ, where, [("paid", "asc")])
+    return shown(rows, steep=STEEP)
 
 
 def _summary_sql(by: str, extra: str = "") -> str:
@@ -675,20 +686,20 @@ def _summary_sql(by: str, extra: str = "") -> str:
             f"SELECT o.{by}, {sums} FROM fx_orders o LEFT JOIN profit p ON o.order_id = p.order_id "
             f"{extra} GROUP BY o.{by}",
             by,
+            steep=STEEP_PAGE,
         ),
     )
 
 
 @query("order_summary_country", _summary_sql("shipping_country"))
 def order_summary_country(s):
-    return shown(
-        O.order_summary(s.tables(), *RANGE, "shipping_country", order_by=[("paid", "desc")])
-    )
+    rows = O.order_summary(s.tables(), *RANGE, "shipping_country", order_by=[("paid", "desc")])
+    return shown(rows, steep=STEEP)
 
 
 @query("order_summary_province", _summary_sql("province"))
 def order_summary_province(s):
-    return shown(O.order_summary(s.tables(), *RANGE, "province"))
+    return shown(O.order_summary(s.tables(), *RANGE, "province"), steep=STEEP)
 
 
 @query(
@@ -699,11 +710,12 @@ def order_summary_province(s):
             f"SELECT order_id, {', '.join(f'sum({c}) AS {c}' for c in Q.TOTALS)} FROM profit "
             "GROUP BY order_id",
             "order_id",
+            steep=STEEP_PAGE,
         ),
     ),
 )
 def order_key_summary(s):
-    return shown(O.order_key_summary(s.tables(), *RANGE))
+    return shown(O.order_key_summary(s.tables(), *RANGE), steep=STEEP)
 
 
 def _totals_sql(grain: str, swapped: bool) -> str:
@@ -731,14 +743,13 @@ def _totals_sql(grain: str, swapped: bool) -> str:
 
 @query("order_totals_order", _totals_sql("order_id", False))
 def order_totals_order(s):
-    return shown(O.order_totals(s.tables(), "order_id", *RANGE, TZ))
+    return shown(O.order_totals(s.tables(), "order_id", *RANGE, TZ), steep=STEEP)
 
 
 @query("order_totals_month", _totals_sql("month", True))
 def order_totals_month(s):
-    return shown(
-        O.order_totals(s.tables(), "month", *RANGE, TZ, by="event", swapped_cost_flags=True)
-    )
+    rows = O.order_totals(s.tables(), "month", *RANGE, TZ, by="event", swapped_cost_flags=True)
+    return shown(rows, steep=STEEP)
 
 
 @query(

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stored
+
 EVERY_REGION = "All Regions"
 NO_SCOPE: tuple[str, ...] = ()
 
@@ -182,7 +184,10 @@ def with_order_shipping(
     `contains`, kept to test the other one against.
     """
     if method == "contains":
-        pairs = order_name_matches(items, shipping, scope)
+        # Matches are few unless most orders have a cost of their own. Their size is unknown before
+        # they are computed, so they are stored first: a small set is then broadcast and the sale
+        # entries are not shuffled at all.
+        pairs = stored(order_name_matches(items, shipping, scope), "order-shipping")
         return items.join(pairs, [*scope, "order_name"], "left")
     ids = shipping.select(
         *scope,

@@ -31,7 +31,7 @@ from ledgerloom.operators.rollups import (
 )
 from ledgerloom.plans.period import priced_lines
 from ledgerloom.plans.tables import StoreTables
-from ledgerloom.session import scratch_dir
+from ledgerloom.session import stored
 
 PAGE_LIMIT = 2000
 # Ids of a page are broadcast only up to this page size (a few MB of text).
@@ -136,15 +136,28 @@ def _of_range(df: DataFrame, start, end, tz: str) -> DataFrame:
     return df.where(in_local_range("order_created_at", tz, start, end))
 
 
-def _profit_per_order(t: StoreTables, start, end, tz: str, only: DataFrame | None) -> DataFrame:
-    """Costs and profit per order. `only` restricts all sources to its orders before any shuffle."""
+def _priced(t: StoreTables, start, end, tz: str, only: DataFrame | None = None) -> DataFrame:
+    """Sale entries of orders created in the range, with costs; of the orders in `only` if given."""
+    sales = _restricted(t, _of_range(t.sales, start, end, tz), only)
+    return priced_lines(t, with_sale_fields(sales))
+
+
+def _restricted(t: StoreTables, df: DataFrame, only: DataFrame | None) -> DataFrame:
+    return df if only is None else df.join(only, [*t.scope, "order_id"], "left_semi")
+
+
+def _profit_per_order(
+    t: StoreTables, priced: DataFrame, start, end, tz: str, only: DataFrame | None = None
+) -> DataFrame:
+    """Costs and profit per order, plus `_source` for rows that stem from one source only.
+
+    `only` restricts payments and shipments to its orders, like the sale entries, before any shuffle.
+    """
     keys = [*t.scope, "order_id"]
 
     def source(df: DataFrame) -> DataFrame:
-        df = _of_range(df, start, end, tz)
-        return df if only is None else df.join(only, keys, "left_semi")
+        return _restricted(t, _of_range(df, start, end, tz), only)
 
-    priced = priced_lines(t, with_sale_fields(source(t.sales)))
     measures = [m for m in ORDER_PROFIT_INPUTS if m not in ("fulfillment_cost", "payment_fees")]
     sources = {
         "sales": plain_sums(priced, keys, measures),
@@ -154,7 +167,7 @@ def _profit_per_order(t: StoreTables, start, end, tz: str, only: DataFrame | Non
         ).select(*keys, "fulfillment_cost"),
     }
     merged = merge_by_key(sources, ["order_id"], "sales", t.scope)
-    return order_profit(with_settings(merged, t.settings, t.scope), keys)
+    return order_profit(with_settings(merged, t.settings, t.scope), [*keys, "_source"])
 
 
 def order_totals(
@@ -239,10 +252,16 @@ def order_variants(priced: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def _page_rows(t: StoreTables, orders: DataFrame, totals: DataFrame) -> DataFrame:
     keys = [*t.scope, "order_id"]
     joined = orders.select(*keys, *sorted(set(ORDER_COLUMNS.values()))).join(
-        totals.select(*keys, *sorted(set(TOTAL_COLUMNS.values()))), keys, "left"
+        totals.select(*keys, "_source", *sorted(set(TOTAL_COLUMNS.values()))), keys, "left"
     )
     shown = {**ORDER_COLUMNS, **TOTAL_COLUMNS}
-    return joined.select(*keys, *[F.col(shown[c]).alias(c) for c in PAGE_COLUMNS])
+    return joined.select(*keys, "_source", *[F.col(shown[c]).alias(c) for c in PAGE_COLUMNS])
+
+
+def _page_order(t: StoreTables, order_by: Sequence[tuple[str, str]]) -> list[Column]:
+    """The caller's sort with ties broken by order, then by the source of the row."""
+    tail = [F.col(k).asc_nulls_first() for k in (*t.scope, "order_id", "_source")]
+    return [*sort_columns(order_by, PAGE_COLUMNS), *tail]
 
 
 def order_page(
@@ -254,37 +273,31 @@ def order_page(
     order_by: Sequence[tuple[str, str]] = (("date", "desc"),),
     limit: int = PAGE_LIMIT,
 ) -> DataFrame:
-    """First `limit` orders by the caller's sort, with profit figures and the variant list.
+    """First `limit` rows by the caller's sort, with profit figures and the variant list.
 
-    Ties are broken by order id. When every sort column is an order attribute the page is cut
-    before any sale entry is read, and only the entries of its orders are priced. Otherwise totals of
-    the whole range are needed to sort; the cut page is then stored and variants are built for its
-    orders alone.
+    An order without sale entries shows one row per source that knows it. When every sort column is
+    an order attribute, the orders that can reach the page are cut before any sale entry is read, and
+    only their entries are priced. Otherwise totals of the whole range are needed to sort; the cut
+    page is then stored and variants are built for its orders alone.
     """
     keys = [*t.scope, "order_id"]
     orders = orders_in_range(t, start, end, tz, where)
-    tail = [F.col(k).asc() for k in keys]
-    by_order_only = all(column in ORDER_COLUMNS for column, _ in order_by)
-    if by_order_only:
+    ranking = _page_order(t, order_by)
+    if all(column in ORDER_COLUMNS for column, _ in order_by):
         renamed = [(ORDER_COLUMNS[column], way) for column, way in order_by]
         terms = sort_columns(renamed, orders.columns)
-        orders = orders.orderBy(*terms, *tail).limit(limit)
-        page_ids = _page_ids(orders, keys, limit)
-        page = _page_rows(t, orders, _profit_per_order(t, start, end, tz, page_ids))
+        orders = orders.orderBy(*terms, *[F.col(k).asc() for k in keys]).limit(limit)
+        ids = _page_ids(orders, keys, limit)
+        priced = _priced(t, start, end, tz, ids)
+        rows = _page_rows(t, orders, _profit_per_order(t, priced, start, end, tz, ids))
+        page = rows.orderBy(*ranking).limit(limit)
     else:
-        rows = _page_rows(t, orders, _profit_per_order(t, start, end, tz, None))
-        cut = rows.orderBy(*sort_columns(order_by, PAGE_COLUMNS), *tail).limit(limit)
-        spark = orders.sparkSession
-        path = scratch_dir(spark, "order-page")
-        cut.write.parquet(path)
-        page = spark.read.schema(cut.schema).parquet(path)
-        page_ids = _page_ids(page, keys, limit)
-    shown = _of_range(t.sales, start, end, tz).join(page_ids, keys, "left_semi")
-    variants = order_variants(priced_lines(t, with_sale_fields(shown)), t.scope)
-    full = page.join(variants, keys, "left")
-    return full.orderBy(*sort_columns(order_by, PAGE_COLUMNS), *tail).select(
-        *t.scope, *PAGE_COLUMNS, "variants_json"
-    )
+        totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
+        rows = _page_rows(t, orders, totals)
+        page = stored(rows.orderBy(*ranking).limit(limit), "order-page")
+        priced = _priced(t, start, end, tz, _page_ids(page, keys, limit))
+    full = page.join(order_variants(priced, t.scope), keys, "left")
+    return full.orderBy(*ranking).select(*t.scope, *PAGE_COLUMNS, "variants_json")
 
 
 def _page_ids(page: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -302,11 +315,9 @@ def order_page_export(
 ) -> DataFrame:
     """Every order of the range in page form, without variants and without a limit."""
     orders = orders_in_range(t, start, end, tz, where)
-    rows = _page_rows(t, orders, _profit_per_order(t, start, end, tz, None))
-    tail = [F.col(k).asc() for k in (*t.scope, "order_id")]
-    return rows.orderBy(*sort_columns(order_by, PAGE_COLUMNS), *tail).select(
-        *t.scope, *PAGE_COLUMNS
-    )
+    totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
+    rows = _page_rows(t, orders, totals)
+    return rows.orderBy(*_page_order(t, order_by)).select(*t.scope, *PAGE_COLUMNS)
 
 
 def order_summary(
@@ -323,7 +334,7 @@ def order_summary(
     if by not in orders.columns:
         raise ValueError(f"unknown order column {by!r}")
     keys = [*t.scope, "order_id"]
-    totals = _profit_per_order(t, start, end, tz, None)
+    totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
     joined = orders.select(*keys, F.col(by).alias("_by")).join(totals, keys, "left")
     summed = joined.groupBy(*t.scope, "_by").agg(
         *[F.sum(column).alias(name) for name, column in TOTAL_COLUMNS.items()]
@@ -336,7 +347,7 @@ def order_summary(
 
 def order_key_summary(t: StoreTables, start: str | date, end: str | date, tz: str = "UTC"):
     """Summary by order id straight from the aggregates, including orders known to one source only."""
-    totals = _profit_per_order(t, start, end, tz, None)
+    totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
     return totals.groupBy(*t.scope, "order_id").agg(
         *[F.sum(column).alias(name) for name, column in TOTAL_COLUMNS.items()]
     )

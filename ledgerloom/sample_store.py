@@ -7,6 +7,8 @@ the other sources, which leaves days with some ads but none of Google's.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +33,17 @@ SELECT 40D AS margin_pct, 6.5D AS shipping_margin, 3D AS return_margin,
 
 
 class SampleStore:
+    """Lazily built tables; each is planned once per store object."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cache
     def orders(self) -> DataFrame:
         key = F.col("o_orderkey")
         order = self.table("orders").select(
@@ -87,6 +93,7 @@ class SampleStore:
             ).alias("tags"),
         ).withColumns(utc_parts("order_created_at", "created"))
 
+    @cache
     def sales(self) -> DataFrame:
         order = self.orders().select(
             "o_orderkey", "order_id", "order_name", "order_created_at", "customer_order_index",
@@ -120,6 +127,7 @@ class SampleStore:
         )
         return entry.join(order, "o_orderkey").drop("o_orderkey")
 
+    @cache
     def transactions(self) -> DataFrame:
         key = F.col("o_orderkey")
         return self.orders().select(
@@ -133,6 +141,7 @@ class SampleStore:
             (F.col("o_totalprice") * 0.029 + 0.3).alias("amount"),
         )
 
+    @cache
     def fulfillments(self) -> DataFrame:
         key = F.col("o_orderkey")
         shipped = self.orders().where(F.col("o_orderstatus") != "O")
@@ -151,6 +160,7 @@ class SampleStore:
         day = F.date_sub(F.col("ts").cast("date"), shift)
         return with_day_keys(events.withColumn("snapshot_date", day), "snapshot_date")
 
+    @cache
     def google_ads(self) -> DataFrame:
         return self._events(["click"], 10222).select(
             (F.col("value") * 1000000).alias("cost_micros"),
@@ -159,6 +169,7 @@ class SampleStore:
             "date", "month", "year", "week", _tenant_of_user(),
         )
 
+    @cache
     def tiktok_ads(self) -> DataFrame:
         return self._events(["view"], 10227).select(
             F.col("value").alias("spend"),
@@ -167,6 +178,7 @@ class SampleStore:
             "date", "month", "year", "week", _tenant_of_user(),
         )
 
+    @cache
     def meta_ads(self) -> DataFrame:
         bought = F.struct(
             F.lit("purchase").alias("action_type"),
@@ -204,11 +216,13 @@ class SampleStore:
             F.when(key % 3 == 0, "").otherwise(end.cast("string")).alias("EndDate"),
         )
 
+    @cache
     def schedule(self) -> DataFrame:
         from ledgerloom.operators.ingest_settings import cost_schedule_model
 
         return cost_schedule_model(self.raw_schedule())
 
+    @cache
     def product_costs(self) -> DataFrame:
         key = F.col("p_partkey")
         known = self.table("part").where(F.col("p_brand") != "Brand#11")
@@ -221,6 +235,7 @@ class SampleStore:
             F.when(F.col("p_size") % 4 != 0, F.col("p_size") / 10).alias("packing_fee"),
         )
 
+    @cache
     def shipping_entries(self) -> DataFrame:
         region = self.table("region").where(F.col("r_name") != "AFRICA")
         nation = self.table("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -239,6 +254,7 @@ class SampleStore:
             (F.col("n_nationkey") * 2 + F.col("extra")).alias("position"),
         )
 
+    @cache
     def order_shipping(self, wildcards: bool = False) -> DataFrame:
         """Shipping costs agreed for the dearest orders; ids are prefixes of other ids at times."""
         key = F.col("o_orderkey").cast("string")
@@ -256,9 +272,11 @@ class SampleStore:
             (F.col("o_orderkey") % 23).cast("double").alias("shipping_cost"),
         )
 
+    @cache
     def settings(self) -> DataFrame:
         return self.spark.sql(SETTINGS_SQL)
 
+    @cache
     def tables(self) -> StoreTables:
         return StoreTables(
             orders=self.orders(),
@@ -277,7 +295,7 @@ class SampleStore:
 
 
 def _after(instant: Column, seconds: Column) -> Column:
-    return instant + F.make_dt_interval(secs=seconds)
+    return F.timestamp_micros(F.unix_micros(instant) + seconds * 1000000)
 
 
 def _tenant_of_user() -> Column:
