@@ -115,6 +115,8 @@ fx_schedule AS (
            AS frequency,
          ['staff-costs', 'marketing-expenses', 'operational-expenses', NULL][s_nationkey % 4 + 1]
            AS tag,
+         ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][s_suppkey % 5 + 1]
+           AS tenant_id,
          DATE '1995-01-01' + CAST((s_suppkey * 97) % 2400 AS INTEGER) AS start_date,
          CASE WHEN s_suppkey % 3 = 0 THEN DATE '9999-01-01'
               ELSE DATE '1995-01-01' + CAST((s_suppkey * 97) % 2400 + (s_suppkey * 31) % 900 AS INTEGER)
@@ -134,8 +136,8 @@ fx_ship AS (
   WHERE r_name <> 'AFRICA'),
 fx_order_shipping AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS linked_order_id,
-         CAST(o_orderkey % 23 AS DOUBLE) AS linked_shipping
-  FROM orders WHERE o_totalprice >= 495000),
+         CAST(o_orderkey % 23 AS DOUBLE) AS linked_shipping, tenant_id AS link_tenant
+  FROM fx_orders WHERE o_totalprice >= 495000),
 fx_tiers AS (
   SELECT * FROM (VALUES (1, 2e0, 0.5e0, 1e0, 0.25e0, 0, 5), (2, 3e0, 0.4e0, 1.5e0, 0.2e0, 5, 9),
                         (3, 5e0, 0.3e0, 2e0, 0.1e0, 10, 9999999))
@@ -179,13 +181,21 @@ fields AS (
   FROM fields_a)"""
 
 
-def priced(swapped: bool = False, contains: bool = True, fallback: bool = False) -> str:
+def priced(
+    swapped: bool = False,
+    contains: bool = True,
+    fallback: bool = False,
+    margin: str = "40e0",
+    per_store: bool = False,
+) -> str:
     """CTE `priced`: `fields` with every lookup and cost decision."""
     link = (
         "order_name LIKE '%' || linked_order_id || '%'"
         if contains
         else "replace(order_name, '#', '') = linked_order_id"
     )
+    if per_store:
+        link += " AND tenant_id = link_tenant"
     sold, back = ("RETURN", "ORDER") if swapped else ("ORDER", "RETURN")
     last = ", shipping_charges" if fallback else ""
     return f"""
@@ -204,7 +214,7 @@ priced_a AS (
 priced_b AS (
   SELECT *,
     CASE WHEN line_type <> 'PRODUCT' THEN 0 WHEN variant_cost > 0 THEN variant_cost
-         ELSE unit_price_ex_tax * (1 - 40e0 / 100) END AS unit_product_cost,
+         ELSE unit_price_ex_tax * (1 - ({margin}) / 100) END AS unit_product_cost,
     CASE WHEN line_type = 'PRODUCT' AND variant_id IS NOT NULL THEN coalesce(packing_fee, 0)
          ELSE 0 END AS unit_handling_fee
   FROM priced_a),
@@ -291,7 +301,7 @@ def ledger() -> str:
 days AS (SELECT CAST(d AS DATE) AS day
          FROM generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY) AS g(d)),
 ledger AS (
-  SELECT id, coalesce(tag, '') AS tag, day, {keys('day')},
+  SELECT id, coalesce(tag, '') AS tag, day, tenant_id, {keys('day')},
          day(last_day(day)) AS days_in_month,
          CASE frequency WHEN 'Monthly' THEN cost / day(last_day(day)) WHEN 'Weekly' THEN cost / 7
               WHEN 'Yearly' THEN cost / 365 WHEN 'Daily' THEN cost
@@ -450,8 +460,11 @@ def with_base(*parts: str, final: str) -> str:
     return f"WITH {', '.join([BASE.strip(), *[p.strip() for p in parts if p]])} SELECT {final}"
 
 
-def pnl(grain: str, tz: str = "UTC", policy: str = "parity") -> str:
+def pnl(grain: str, tz: str = "UTC", policy: str = "parity", stores: bool = False) -> str:
+    """The period P&L. With `stores` the period is prefixed by the store and split off at the end."""
     corrected = policy == "corrected"
+    if stores:
+        grain = f"tenant_id || '|' || {grain}"
     wide = grain in ("variant_id", "order_id")
     other = "CAST(NULL AS VARCHAR)" if wide else grain
     sources = ["by_google", "by_tiktok", "by_meta", "by_sales", "by_expenses", "by_fees",
@@ -471,8 +484,13 @@ merged AS (
   SELECT {key} AS period, {', '.join(f'{alias[s]}.* EXCLUDE (period)' for s in sources)}
   FROM {chain})"""
     ctes, final = metrics("merged", "period", policy, True)
+    if stores:
+        final = ("split_part(period, '|', 1) AS tenant_id, split_part(period, '|', 2) AS period, "
+                 f"* EXCLUDE (period) FROM (SELECT {final})")
+    costs = priced(not corrected, not corrected, corrected,
+                   "30 + length(tenant_id)" if stores else "40e0", stores)
     return with_base(
-        lines(tz), priced(not corrected, not corrected, corrected),
+        lines(tz), costs,
         sales_by(grain, not corrected), ads_by(other), ledger(), expenses_by(other),
         fees_by(other, tz), shipments_by(other, tz), merged, ctes, final=final,
     )

@@ -583,6 +583,19 @@ _pnl("pnl_year", "year")
 _pnl("pnl_day_corrected", "date", policy="corrected")
 _pnl("pnl_month_corrected", "month", policy="corrected")
 _pnl("pnl_day_null_propagating", "date", policy="propagate")
+
+
+@query("pnl_month_all_stores", Q.pnl("month", TZ, stores=True))
+def pnl_month_all_stores(s):
+    return shown(P.period_pnl(fixtures.all_stores(s), "month", *RANGE, TZ), steep=STEEP)
+
+
+@query("pnl_week_all_stores_corrected", Q.pnl("week", TZ, "corrected", stores=True))
+def pnl_week_all_stores_corrected(s):
+    rows = P.period_pnl(fixtures.all_stores(s), "week", *RANGE, TZ, "corrected")
+    return shown(rows, steep=STEEP)
+
+
 _pnl("pnl_by_variant", "variant_id")
 _pnl("pnl_by_order", "order_id")
 
@@ -824,3 +837,468 @@ def order_filter_values(s):
 def fulfillment_export(s):
     rows = O.fulfillment_export(s.tables(), TZ)
     return shown(rows.withColumns({c: at(c) for c in ("order_created_at", "fulfilled_at")}), 4)
+
+
+@query(
+    "filter_value_rows",
+    Q.with_base(
+        final="DISTINCT kind, value FROM ("
+        "SELECT 'cities' AS kind, shipping_city AS value FROM fx_orders UNION ALL "
+        "SELECT 'countries', shipping_country FROM fx_orders UNION ALL "
+        "SELECT 'provinces', province FROM fx_orders UNION ALL "
+        "SELECT 'tags', unnest(CAST(CAST(tags AS JSON) AS VARCHAR[])) FROM fx_orders UNION ALL "
+        "SELECT 'gateways', unnest(CAST(CAST(payment_gateways AS JSON) AS VARCHAR[])) FROM fx_orders)"
+    ),
+)
+def filter_value_rows(s):
+    return O.filter_value_rows(s.orders())
+
+
+# --- ingest -------------------------------------------------------------------------------------
+
+ORDER_MODEL_SQL = f"""
+  tenant_id AS tenantid, order_id, order_name, {at_sql('order_created_at')}, customer_order_index,
+  customer_id, customer_name, split_part(customer_name, '#', 1) AS customer_first_name,
+  split_part(customer_name, '#', 2) AS customer_last_name, customer_email,
+  o_totalprice AS received_shop,
+  CASE WHEN o_orderkey % 8 = 0 THEN 0e0 ELSE o_totalprice / 2 END AS received_presentment,
+  presentment_currency, CASE WHEN o_orderkey % 8 <> 0 THEN 2e0 END AS fx_rate,
+  first_carrier, '[{{"note":"none"}}]' AS refunds, payment_gateways, tags, fulfillment_status,
+  financial_status, country_code, province_code, province, shipping_city, shipping_country,
+  strftime(order_created_at, '%Y') AS created_year, strftime(order_created_at, '%m') AS created_month,
+  strftime(order_created_at, '%d') AS created_day,
+  CASE WHEN o_orderstatus <> 'O' THEN 1 ELSE 0 END AS fulfillment_count"""
+
+
+def _order_models(s: SampleStore) -> DataFrame:
+    return ingest_orders.orders_model(ingest_orders.parse_orders(fixtures.order_documents(s)))
+
+
+@query("ingest_orders", Q.with_base(final=f"{ORDER_MODEL_SQL} FROM fx_orders"))
+def ingest_orders_model(s):
+    rows = _order_models(s).withColumn("fulfillment_count", F.size("fulfillments"))
+    return rows.withColumn("order_created_at", at("order_created_at")).drop(
+        "date", "fulfillments", "transactions", "agreements"
+    )
+
+
+CARRIED_SQL = f"""order_id, order_name, {at_sql('order_created_at')},
+  strftime(order_created_at, '%Y') AS created_year, strftime(order_created_at, '%m') AS created_month,
+  strftime(order_created_at, '%d') AS created_day, country_code, province_code,
+  customer_order_index, customer_id"""
+SALE_DAY_SQL = f"""{at_sql('happened_at')}, strftime(happened_at, '%Y') AS happened_year,
+  strftime(happened_at, '%m') AS happened_month, strftime(happened_at, '%d') AS happened_day,
+  quarter(happened_at)::INTEGER AS happened_quarter"""
+
+
+@query(
+    "ingest_sales_items",
+    Q.with_base(
+        final=f"""tenant_id AS tenantid, {CARRIED_SQL}, {SALE_DAY_SQL}, variant_id,
+          'gid/' || product_name AS product_id, product_name, line_type, action_type, sale_id, quantity,
+          unit_price, discount_before_taxes, discount_before_taxes / 2 AS discount_after_taxes,
+          total_tax, total_amount, CASE WHEN tax_rate_sum <> 0 THEN tax_rate_sum + 0.01e0 END
+          AS tax_rate_sum, CASE WHEN tax_rate_sum <> 0 THEN 2 ELSE 0 END AS tax_lines
+          FROM fx_sales
+          UNION ALL SELECT tenant_id, {CARRIED_SQL}, {SALE_DAY_SQL}, NULL, NULL, NULL, 'ADJUSTMENT',
+          action_type, sale_id || '-x', 0, NULL, discount_before_taxes * 0.5e0,
+          discount_before_taxes / 2, total_tax * 0.5e0, total_amount * 0.5e0, NULL, NULL
+          FROM fx_sales WHERE abs(quantity) > 25"""
+    ),
+)
+def ingest_sales_items(s):
+    parsed = ingest_orders.parse_orders(fixtures.sale_documents(s))
+    items = ingest_orders.sales_items_model(ingest_orders.orders_model(parsed))
+    return items.withColumns(
+        {
+            "order_created_at": at("order_created_at"),
+            "happened_at": at("happened_at"),
+            "tax_lines": F.when(F.col("tax_rates").isNotNull(), F.size("tax_rates")),
+        }
+    ).drop("tax_rates", "payment_gateways", "tags", "fx_rate")
+
+
+@query(
+    "ingest_transactions",
+    Q.with_base(
+        """fees AS (SELECT *, fx_transactions.amount AS fee, 'USD' AS fee_currency FROM fx_orders
+            JOIN fx_transactions USING (order_id) WHERE o_orderkey % 7 <> 0
+          UNION ALL SELECT *, 0.25e0, 'EUR' FROM fx_orders JOIN fx_transactions USING (order_id)
+            WHERE o_orderkey % 7 = 1)""",
+        final=f"""tenant_id AS tenantid, {CARRIED_SQL}, payment_gateways, tags,
+          CASE WHEN o_orderkey % 8 <> 0 THEN 2e0 END AS fx_rate, 'T' || o_orderkey AS transaction_id,
+          {at_sql('transaction_at')}, strftime(transaction_at, '%Y') AS transaction_year,
+          strftime(transaction_at, '%m') AS transaction_month,
+          strftime(transaction_at, '%d') AS transaction_day, error_code, kind, 'Card' AS gateway,
+          fee AS amount, fee_currency AS currency_code FROM fees""",
+    ),
+)
+def ingest_transactions(s):
+    rows = ingest_orders.transactions_model(_order_models(s))
+    return rows.withColumns({c: at(c) for c in ("order_created_at", "transaction_at")})
+
+
+@query(
+    "ingest_fulfillments",
+    Q.with_base(
+        "sent AS (SELECT o.*, resource_id, total_quantity, fulfilled_at FROM fx_orders o "
+        "JOIN fx_fulfillments USING (order_id))",
+        final=f"""tenant_id AS tenantid, {CARRIED_SQL}, payment_gateways, tags,
+          CASE WHEN o_orderkey % 8 <> 0 THEN 2e0 END AS fx_rate, resource_id, total_quantity,
+          strftime(fulfilled_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, {at_sql('fulfilled_at')},
+          strftime(fulfilled_at, '%Y') AS fulfillment_year,
+          strftime(fulfilled_at, '%m') AS fulfillment_month,
+          strftime(fulfilled_at, '%d') AS fulfillment_day FROM sent""",
+    ),
+)
+def ingest_fulfillments(s):
+    rows = ingest_orders.fulfillments_model(_order_models(s))
+    return rows.withColumns({c: at(c) for c in ("order_created_at", "fulfilled_at")})
+
+
+def _ad_events(s: SampleStore) -> DataFrame:
+    return s.table("events").select(
+        "event_id",
+        F.col("value").cast("string").alias("value"),
+        (F.col("user_id") % 7).cast("string").alias("clicks"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        "event_type",
+    )
+
+
+AD_DAY_SQL = Q.keys("ts")
+
+
+@query(
+    "ingest_google_ads",
+    f"""SELECT value AS cost_micros, CAST(user_id % 7 AS DOUBLE) AS clicks, NULL::DOUBLE AS conversions,
+      {AD_DAY_SQL} FROM events""",
+)
+def ingest_google_ads(s):
+    raw = _ad_events(s).select(
+        F.from_json(
+            F.to_json(F.struct(F.col("value").alias("costMicros"), "clicks")),
+            "costMicros string, clicks string, conversions string",
+        ).alias("metrics"),
+        F.col("day").alias("snapshotDate"),
+    )
+    return ingest_settings.google_ads_model(raw)
+
+
+@query(
+    "ingest_tiktok_ads",
+    f"""SELECT value AS spend, CAST(user_id % 7 AS DOUBLE) AS clicks,
+      CAST(event_id % 3 AS DOUBLE) AS conversion, {AD_DAY_SQL} FROM events""",
+)
+def ingest_tiktok_ads(s):
+    raw = _ad_events(s).select(
+        F.col("value").alias("spend"),
+        "clicks",
+        (F.col("event_id") % 3).cast("string").alias("conversion"),
+        F.col("day").alias("snapshotDate"),
+    )
+    return ingest_settings.tiktok_ads_model(raw)
+
+
+@query(
+    "ingest_meta_ads",
+    f"""SELECT value AS spend, value / 2 AS cpc, NULL::DOUBLE AS ctr, 1.5e0 AS cpm,
+      CAST(user_id % 7 AS DOUBLE) AS clicks, 'campaign ' || event_type AS campaign_name,
+      strftime(ts, '%Y-%m-%d') AS date_start, strftime(ts, '%Y-%m-%d') AS date_stop,
+      CAST(event_id % 10 AS VARCHAR) AS account_id, strftime(ts, '%Y-%m-%d') AS snapshot_date,
+      {AD_DAY_SQL}, CASE event_type WHEN 'purchase' THEN 2 ELSE 1 END AS actions,
+      CASE event_type WHEN 'purchase' THEN value + 1 END AS bought FROM events""",
+)
+def ingest_meta_ads(s):
+    kind = F.col("event_type")
+    text = F.when(
+        kind == "purchase",
+        F.concat(
+            F.lit('[{"action_type":"purchase","value":"'), "value",
+            F.lit('"},{"action_type":"purchase","value":1}]'),
+        ),
+    ).otherwise('[{"action_type":"link_click","value":"4"}]')
+    empty = F.from_json(F.lit("[]"), "array<struct<action_type: string, value: string>>")
+    lists = ("action_values", "purchase_roas", "outbound_clicks_ctr", "cost_per_outbound_click",
+             "outbound_clicks")
+    raw = _ad_events(s).select(
+        F.col("value").alias("spend"),
+        F.from_json(text, "array<struct<action_type: string, value: string>>").alias("actions"),
+        (F.col("value").cast("double") / 2).cast("string").alias("cpc"),
+        F.lit(None).cast("string").alias("ctr"),
+        F.lit("1.5").alias("cpm"),
+        "clicks",
+        *[empty.alias(name) for name in lists],
+        F.concat(F.lit("campaign "), kind).alias("campaign_name"),
+        F.col("day").alias("date_start"),
+        F.col("day").alias("date_stop"),
+        (F.col("event_id") % 10).cast("string").alias("account_id"),
+        F.col("day").alias("snapshotDate"),
+    )
+    model = ingest_settings.meta_ads_model(raw).drop(*lists)
+    return model.withColumns(
+        {
+            "bought": R.purchase_conversions(F.col("actions")),
+            "actions": F.size("actions"),
+            **{c: F.col(c).cast("string") for c in ("date_start", "date_stop", "snapshot_date")},
+        }
+    )
+
+
+@query(
+    "ingest_cost_schedule",
+    Q.with_base(
+        final="""id, s_name AS expense_name, 'ACTIVE' AS status, 'general' AS category, cost,
+          frequency, tag, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date
+          FROM fx_schedule JOIN supplier ON id = CAST(s_suppkey AS VARCHAR)"""
+    ),
+)
+def ingest_cost_schedule(s):
+    model = ingest_settings.cost_schedule_model(s.raw_schedule())
+    return model.withColumns({c: F.col(c).cast("string") for c in ("start_date", "end_date")})
+
+
+@query(
+    "ingest_product_costs",
+    """SELECT CAST(p_partkey AS VARCHAR) AS variant_id, 'product ' || (p_partkey // 3) AS product_id,
+      p_retailprice AS product_cost, CASE WHEN p_size > 10 THEN CAST(p_size AS DOUBLE) END AS packing_fee,
+      p_name AS title, p_brand AS sku, p_retailprice AS price FROM part""",
+)
+def ingest_product_costs(s):
+    key = F.col("p_partkey")
+    price = F.col("p_retailprice").cast("string")
+    raw = s.table("part").select(
+        key.cast("string").alias("variantId"),
+        F.concat(F.lit("product "), F.floor(key / 3)).alias("productId"),
+        price.alias("productCost"),
+        F.when(F.col("p_size") > 10, F.col("p_size").cast("string")).alias("packingFee"),
+        F.col("p_name").alias("title"),
+        F.col("p_brand").alias("sku"),
+        price.alias("price"),
+    )
+    return ingest_settings.product_costs_model(raw)
+
+
+@query(
+    "ingest_shipping_list",
+    Q.with_base(
+        final="ship_country AS country_name, region, ship_country AS country_code, "
+        "CAST(ship_cost AS DOUBLE) AS shipping_cost, back_cost AS return_cost FROM fx_ship"
+    ),
+)
+def ingest_shipping_list(s):
+    raw = s.shipping_entries().select(
+        F.col("country_name").alias("countryName"),
+        "region",
+        F.col("country_code").alias("countryCode"),
+        F.col("shipping_cost").cast("string").alias("shippingCost"),
+        F.col("return_cost").cast("string").alias("returnShippingCost"),
+    )
+    listed = ingest_settings.shipping_by_country_model(ingest_settings.shipping_entries_model(raw))
+    return listed.select(F.inline("entries"))
+
+
+@query(
+    "ingest_order_shipping",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_totalprice AS shipping_cost FROM orders",
+)
+def ingest_order_shipping(s):
+    raw = s.table("orders").select(
+        F.col("o_orderkey").cast("string").alias("orderId"),
+        F.col("o_totalprice").cast("string").alias("shippingCost"),
+    )
+    return ingest_settings.order_shipping_model(raw)
+
+
+@query(
+    "ingest_default_values",
+    """WITH tiers AS (
+      SELECT *, 1 AS n, 0 AS low, 9999999 AS high FROM customer WHERE c_custkey % 3 <> 1
+      UNION ALL SELECT *, 1, 0, 5 FROM customer WHERE c_custkey % 3 = 1
+      UNION ALL SELECT *, 2, 6, 99 FROM customer WHERE c_custkey % 3 = 1)
+    SELECT 'S' || c_custkey AS tenantid, CAST(c_custkey % 50 AS DOUBLE) AS margin_pct,
+      6.5e0 AS shipping_margin, CASE WHEN c_custkey % 2 = 0 THEN 3e0 END AS return_margin,
+      TRUE AS exclude_returned_cost,
+      CASE WHEN c_custkey % 3 = 1 THEN 'variablePricing' ELSE 'simplePricing' END AS pricing,
+      n AS tier, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE c_custkey + n END AS fulfillment_base,
+      0.5e0 AS fulfillment_additional, 1e0 * n AS packaging_base, 0.25e0 AS packaging_additional,
+      low AS min_units, high AS max_units
+    FROM (SELECT * EXCLUDE (c_custkey), CAST(c_custkey AS DOUBLE) AS k, c_custkey FROM tiers)""".replace(
+        "ELSE c_custkey + n END", "ELSE k + n END"
+    ),
+)
+def ingest_default_values(s):
+    key = F.col("c_custkey")
+    rest = '"packagingBaseCostPerOrder":%s,"packagingCostPerAdditionalProduct":"0.25"'
+    simple = '{"baseCostPerOrder":%s,"costPerAdditionalProduct":0.5,' + rest % "1" + "}"
+    tier = (
+        '{"fulFillmentBaseCostPerOrder":%s,"fulFillmentCostPerAdditionalProduct":"0.5",'
+        + rest
+        + ',"minUnits":{"id":%s},"maxUnits":{"id":"%s"}}'
+    )
+    both = "[" + tier % ("%s", "1", "0", "5") + "," + tier % ("%s", "2", "6", "99") + "]"
+    raw = s.table("customer").select(
+        F.concat(F.lit("S"), key).alias("tenantid"),
+        (key % 50).cast("string").alias("defaultGrossProfitMargin"),
+        F.lit("6.5").alias("defaultShippingMargin"),
+        F.when(key % 2 == 0, "3").alias("defaultReturnMargin"),
+        F.when(key % 3 == 0, F.format_string(simple, (key + 1).cast("string")))
+        .when(key % 3 == 2, simple % "null")
+        .otherwise(
+            F.format_string(both, (key + 1).cast("string"), (key + 2).cast("string"))
+        )
+        .alias("defaultFulfillmentCosts"),
+    )
+    model = ingest_settings.default_values_model(raw)
+    fields = [c for c in model.columns if c != "tiers"]
+    exploded = model.select(*fields, F.posexplode("tiers").alias("pos", "t"))
+    return exploded.select(*fields, (F.col("pos") + 1).alias("tier"), "t.*")
+
+
+@query(
+    "ingest_transaction_fees",
+    f"""SELECT value / 100 AS fee_pct, event_type AS name, event_id % 2 = 0 AS apply_on_countries,
+      CAST(event_id AS DOUBLE) AS id, 0.3e0 AS fixed_fee, '["IE","US"]' AS countries,
+      CASE WHEN event_id % 3 = 0 THEN 0e0 ELSE value END AS currency_conversion_fee, {AD_DAY_SQL}
+      FROM events""",
+)
+def ingest_transaction_fees(s):
+    key = F.col("event_id")
+    raw = _ad_events(s).select(
+        (F.col("value").cast("double") / 100).cast("string").alias("feePerc"),
+        F.col("event_type").alias("name"),
+        F.when(key % 2 == 0, "true").otherwise("false").alias("applyOnCountries"),
+        key.cast("string").alias("id"),
+        F.lit("0.3").alias("fixedFee"),
+        F.lit('["IE","US"]').alias("countries"),
+        F.when(key % 3 == 0, "").otherwise(F.col("value")).alias("currencyConversionFee"),
+        F.col("day").alias("snapshotDate"),
+    )
+    return ingest_settings.transaction_fees_model(raw)
+
+
+# --- files --------------------------------------------------------------------------------------
+
+
+def _write_lake(rows: DataFrame, root: str, table: str) -> None:
+    """Write raw lines in lake layout, a partition per store and month of the order."""
+    (
+        rows.withColumn("tablename", F.lit(table))
+        .hint("rebalance", "tenantid", "date")
+        .write.partitionBy("tenantid", "tablename", "date")
+        .option("compression", "gzip")
+        .mode("append")
+        .json(f"{root}/tenants")
+    )
+
+
+def _monthly(documents: DataFrame) -> DataFrame:
+    month = F.concat(F.substring("date", 1, 7), F.lit("-01"))
+    return documents.withColumn("date", month)
+
+
+@query(
+    "lake_roundtrip",
+    Q.with_base(
+        final="tenant_id AS tenantid, strftime(order_created_at, '%Y-%m-01') AS date, "
+        "count(*) AS orders, 'rawShopifyOrdersCreated' AS tablename FROM fx_orders "
+        f"WHERE order_created_at >= DATE '{START}' GROUP BY ALL"
+    ),
+)
+def lake_roundtrip(s):
+    root = scratch_dir(s.spark, "lake")
+    _write_lake(_monthly(fixtures.order_documents(s)), root, "rawShopifyOrdersCreated")
+    raw = read_lake(s.spark, root, "*", "rawShopifyOrdersCreated", LAKE["orders"])
+    kept = between_dates(raw, *RANGE)
+    counted = kept.select("tenantid", "tablename", "date", F.get_json_object("json", "$.id").alias("id"))
+    return counted.groupBy("tenantid", "tablename", "date").agg(F.count("id").alias("orders"))
+
+
+def _job_sql(model: str, table: str, ts: str, amount: str, where: str = "TRUE") -> str:
+    return (
+        f"SELECT '{model}' AS model, tenant_id AS tenantid, strftime({ts}, '%Y') AS year, "
+        f"count(*) AS lines, sum({amount}) AS amount FROM {table} WHERE {where} GROUP BY ALL"
+    )
+
+
+@query(
+    "ingest_orders_job",
+    Q.with_base(
+        "fees AS (SELECT t.*, o_orderkey FROM fx_transactions t JOIN fx_orders USING (order_id))",
+        "fee_rows AS (SELECT transaction_at, tenant_id, amount FROM fees WHERE o_orderkey % 7 <> 0 "
+        "UNION ALL SELECT transaction_at, tenant_id, 0.25e0 FROM fees WHERE o_orderkey % 7 = 1)",
+        "sale_rows AS (SELECT happened_at, tenant_id, total_amount FROM fx_sales UNION ALL "
+        "SELECT happened_at, tenant_id, total_amount * 0.5e0 FROM fx_sales WHERE abs(quantity) > 25)",
+        final=Q.rounded(
+            " UNION ALL ".join(
+                [
+                    _job_sql("orders", "fx_orders", "order_created_at", "o_totalprice"),
+                    _job_sql("transactions", "fee_rows", "transaction_at", "amount"),
+                    _job_sql("fulfillments", "fx_fulfillments", "fulfilled_at",
+                             "CAST(total_quantity AS DOUBLE)"),
+                    _job_sql("sales_items", "sale_rows", "happened_at", "total_amount"),
+                ]
+            ),
+            "model, tenantid, year, lines",
+        ),
+    ),
+)
+def ingest_orders_job(s):
+    """Write all four models twice; the second run replaces every order by itself."""
+    root = scratch_dir(s.spark, "models")
+    documents = fixtures.order_documents(s).drop("date")
+    orders = ingest_orders.orders_model(ingest_orders.parse_orders(documents))
+    sale_docs = ingest_orders.parse_orders(fixtures.sale_documents(s))
+    for _ in range(2):
+        write_order_models(orders, root)
+    items = ingest_orders.sales_items_model(ingest_orders.orders_model(sale_docs))
+    path = model_path(root, "sales_items")
+    write_model(items, path, ["tenantid", "happened_year"], ["tenantid", "order_id"])
+    parts = []
+    for model, year, amount in (
+        ("orders", "created_year", "received_shop"),
+        ("transactions", "transaction_year", "amount"),
+        ("fulfillments", "fulfillment_year", "total_quantity"),
+        ("sales_items", "happened_year", "total_amount"),
+    ):
+        rows = read_model(s.spark, root, model, None, year, (1990, 2010))
+        parts.append(
+            rows.groupBy(F.lit(model).alias("model"), "tenantid", F.col(year).alias("year")).agg(
+                F.count("*").alias("lines"), F.sum(F.col(amount).cast("double")).alias("amount")
+            )
+        )
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return shown(union)
+
+
+@query(
+    "parquet_year_roundtrip",
+    Q.with_base(
+        final=Q.rounded(
+            "SELECT tenant_id AS tenantid, strftime(happened_at, '%Y') AS happened_year, "
+            "count(*) AS lines, sum(total_amount) AS total_amount FROM fx_sales GROUP BY ALL",
+            "tenantid, happened_year, lines",
+        )
+    ),
+)
+def parquet_year_roundtrip(s):
+    root = scratch_dir(s.spark, "models")
+    rows = s.sales().withColumnRenamed("tenant_id", "tenantid")
+    rows = rows.withColumn("happened_year", F.date_format("happened_at", "yyyy"))
+    write_model(rows, model_path(root, "sales_items"), ["tenantid", "happened_year"])
+    stored = read_model(s.spark, root, "sales_items", None, "happened_year", (1994, 2002))
+    return shown(
+        stored.groupBy("tenantid", "happened_year").agg(
+            F.count("*").alias("lines"), F.sum("total_amount").alias("total_amount")
+        )
+    )
+
+
+@query("order_csv_roundtrip", ORACLE["order_page_export"])
+def order_csv_roundtrip(s):
+    export = O.order_page_export(s.tables(), *RANGE, TZ)
+    path = write_csv(export, scratch_dir(s.spark, "export"), gzip=True)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in export.schema.fields)
+    return shown(read_csv(s.spark, path, schema), steep=STEEP)

@@ -7,6 +7,7 @@ the other sources, which leaves days with some ads but none of Google's.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -294,13 +295,41 @@ class SampleStore:
         )
 
 
+STORES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def all_stores(store: SampleStore) -> StoreTables:
+    """The same tables split over five stores, each with lookups and a margin of its own."""
+    every = F.explode(F.array(*[F.lit(n) for n in STORES])).alias("tenant_id")
+    owners = store.orders().select("order_id", "tenant_id")
+    margins = (
+        store.table("customer")
+        .select(F.col("c_mktsegment").alias("tenant_id"))
+        .distinct()
+        .withColumn("own_margin", (30 + F.length("tenant_id")).cast("double"))
+    )
+    settings = margins.join(store.settings()).withColumn("margin_pct", F.col("own_margin"))
+    schedule = store.schedule().withColumn(
+        "tenant_id",
+        F.get(F.array(*[F.lit(n) for n in STORES]), (F.col("id").cast("int") % 5)),
+    )
+    return replace(
+        store.tables(),
+        schedule=schedule,
+        product_costs=store.product_costs().select(every, "*"),
+        order_shipping=store.order_shipping().join(owners, "order_id"),
+        shipping_entries=store.shipping_entries().select(every, "*"),
+        settings=settings.drop("own_margin"),
+        scope=("tenant_id",),
+    )
+
+
 def _after(instant: Column, seconds: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(instant) + seconds * 1000000)
 
 
 def _tenant_of_user() -> Column:
-    names = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-    store = F.get(F.array(*[F.lit(n) for n in names]), (F.col("user_id") % 5).cast("int"))
+    store = F.get(F.array(*[F.lit(n) for n in STORES]), (F.col("user_id") % 5).cast("int"))
     return store.alias("tenant_id")
 
 

@@ -33,7 +33,7 @@ def read_lake(
         spark.read.schema(columns)
         .option("basePath", base)
         .option("mode", "FAILFAST")
-        .json(f"{base}/tenantid={tenant}/tablename={table}/{day}/*.jsonl.gz")
+        .json(f"{base}/tenantid={tenant}/tablename={table}/{day}/*.json*.gz")
     )
 
 
