@@ -97,6 +97,13 @@ def in_utc_years(ts: str | Column, start: str | date, end: str | date) -> Column
     return (t >= low) & (t < high)
 
 
+def prune_years(df: DataFrame, year_column: str, years: tuple[int, int]) -> DataFrame:
+    """Restrict a model to UTC years by its partition column, where it has one."""
+    if year_column not in df.columns:
+        return df
+    return df.where(F.col(year_column).cast("int").between(*years))
+
+
 def grain_column(grain: str, allowed: tuple[str, ...] = GRAINS) -> str:
     if grain not in allowed:
         raise ValueError(f"grain must be one of {allowed}, got {grain!r}")

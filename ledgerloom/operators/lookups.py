@@ -42,26 +42,45 @@ def setting_columns() -> dict[str, Column]:
     }
 
 
-def with_product_costs(
-    items: DataFrame, costs: DataFrame, scope: Sequence[str] = NO_SCOPE
+def _left_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    spread_over: Sequence[str],
+    needed: Column | None = None,
 ) -> DataFrame:
-    """Add `cost_variant_id`, `variant_cost` and `packing_fee`; duplicate variants fan out.
+    """Left join on `keys` (same names on both sides) that never piles up rows without a match.
 
-    Lines without a variant cannot match. They get a spread of placeholder keys, so that a shuffled
-    join does not send all of them to one task.
+    Rows whose first key is NULL, or that `needed` rules out, cannot match. If the join shuffles, an
+    ordinary key would send all of them to one task. They get one of 4096 placeholder keys instead,
+    by a hash of `spread_over`, and the join condition still keeps them from matching anything.
     """
-    spread = F.pmod(F.xxhash64("order_id", "sale_id", "happened_at"), F.lit(4096))
-    key = F.when(F.col("variant_id").isNull(), spread).otherwise(F.lit(-1))
+    first = keys[0]
+    wanted = F.col(first).isNotNull() if needed is None else needed & F.col(first).isNotNull()
+    slot = F.pmod(F.xxhash64(*spread_over), F.lit(4096)).cast("string")
+    left = left.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
+    left = left.withColumn(
+        "_key", F.when(F.col("_wanted"), F.col(first)).otherwise(F.concat(F.lit("none-"), slot))
+    )
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = F.col("_wanted") & (F.col("_key") == F.col(f"_right_{first}"))
+    for key in keys[1:]:
+        on = on & (F.col(key) == F.col(f"_right_{key}"))
+    return left.join(right, on, "left").drop("_wanted", "_key", *[f"_right_{k}" for k in keys])
+
+
+def with_product_costs(
+    items: DataFrame, costs: DataFrame, scope: Sequence[str] = NO_SCOPE
+) -> DataFrame:
+    """Add `cost_variant_id`, `variant_cost` and `packing_fee`; duplicate variants fan out."""
     lookup = costs.select(
         *scope,
+        "variant_id",
         F.col("variant_id").alias("cost_variant_id"),
         F.col("product_cost").alias("variant_cost"),
         "packing_fee",
-        F.lit(-1).cast("bigint").alias("_spread"),
-    ).where(F.col("cost_variant_id").isNotNull())
-    left = items.withColumns({"_variant": F.col("variant_id"), "_spread": key.cast("bigint")})
-    right = lookup.withColumn("_variant", F.col("cost_variant_id"))
-    return left.join(right, [*scope, "_variant", "_spread"], "left").drop("_variant", "_spread")
+    )
+    return _left_lookup(items, lookup, ["variant_id", *scope], ["order_id", "sale_id"])
 
 
 def shipping_table(entries: DataFrame, scope: Sequence[str] = NO_SCOPE) -> DataFrame:
@@ -75,11 +94,15 @@ def shipping_table(entries: DataFrame, scope: Sequence[str] = NO_SCOPE) -> DataF
 
 
 def with_region_shipping(
-    items: DataFrame, entries: DataFrame, scope: Sequence[str] = NO_SCOPE
+    items: DataFrame,
+    entries: DataFrame,
+    scope: Sequence[str] = NO_SCOPE,
+    needed: Column | None = None,
 ) -> DataFrame:
     """Add the costs of the order's region and of its country as a whole.
 
     Columns: `region_shipping`, `region_return`, `region_found` and the same for `everywhere_`.
+    Rows outside `needed` are left without.
     """
     table = shipping_table(entries, scope)
 
@@ -94,14 +117,16 @@ def with_region_shipping(
     by_region = side(
         "region",
         table.withColumnRenamed("region", "province_code"),
-        [*scope, "country_code", "province_code"],
+        ["country_code", "province_code", *scope],
     )
     whole = side(
-        "everywhere", table.where(F.col("region") == EVERY_REGION), [*scope, "country_code"]
+        "everywhere", table.where(F.col("region") == EVERY_REGION), ["country_code", *scope]
     )
-    joined = items.join(by_region, [*scope, "country_code", "province_code"], "left").join(
-        whole, [*scope, "country_code"], "left"
+    spread = ["order_id"]
+    joined = _left_lookup(
+        items, by_region, ["country_code", "province_code", *scope], spread, needed
     )
+    joined = _left_lookup(joined, whole, ["country_code", *scope], spread, needed)
     return joined.fillna(False, ["region_found", "everywhere_found"])
 
 
@@ -188,7 +213,7 @@ def with_order_shipping(
         # they are computed, so they are stored first: a small set is then broadcast and the sale
         # entries are not shuffled at all.
         pairs = stored(order_name_matches(items, shipping, scope), "order-shipping")
-        return items.join(pairs, [*scope, "order_name"], "left")
+        return _left_lookup(items, pairs, ["order_name", *scope], ["order_id"])
     ids = shipping.select(
         *scope,
         F.col("order_id").alias("linked_order_id"),

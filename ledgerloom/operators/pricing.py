@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import costs as C
+from ledgerloom.functions.sales import SHIPPING, line_is
 from ledgerloom.functions.timekeys import with_day_keys
 from ledgerloom.operators import lookups as L
 
@@ -34,7 +35,7 @@ def price_lines(
     joined = L.with_settings(items, settings, scope).withColumns(L.setting_columns())
     joined = L.with_order_shipping(joined, order_shipping, scope, shipping_match)
     joined = L.with_product_costs(joined, product_costs, scope)
-    joined = L.with_region_shipping(joined, shipping_entries, scope)
+    joined = L.with_region_shipping(joined, shipping_entries, scope, line_is(SHIPPING))
     unit_cost = C.unit_product_cost(F.col("unit_price_ex_tax"))
     joined = joined.withColumn("unit_price_ex_tax", C.unit_price_ex_tax())
     joined = joined.withColumns(

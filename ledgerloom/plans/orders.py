@@ -16,6 +16,7 @@ from ledgerloom.functions.timekeys import (
     in_local_range,
     in_utc_years,
     local_date,
+    prune_years,
     utc_years,
     with_period_keys,
 )
@@ -123,11 +124,8 @@ def orders_in_range(
     where: Sequence[tuple[str, str, object]] = (),
 ) -> DataFrame:
     """Orders created in a local date range that satisfy the caller's predicates."""
-    low, high = utc_years(start, end)
-    kept = t.orders.where(
-        F.col("created_year").cast("int").between(low, high)
-        & in_local_range("order_created_at", tz, start, end)
-    )
+    orders = prune_years(t.orders, "created_year", utc_years(start, end))
+    kept = orders.where(in_local_range("order_created_at", tz, start, end))
     kept = kept.withColumn("order_date", local_date("order_created_at", tz).cast("string"))
     return kept.where(predicate(kept, where)) if where else kept
 
@@ -216,7 +214,9 @@ def order_totals(
     return order_metrics(with_settings(merged, t.settings, t.scope), keys)
 
 
-def variant_lines(priced: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def variant_lines(
+    priced: DataFrame, scope: Sequence[str] = (), extra: Sequence[str] = ()
+) -> DataFrame:
     """Product lines with their profit, one row each.
 
     As shipped, the cost is extended by the quantity before and multiplied by it once more here.
@@ -234,19 +234,35 @@ def variant_lines(priced: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         F.col("sold_product_cost").alias("product_cost"),
         profit.alias("gross_profit"),
         ratio(profit, F.col("total_amount")).alias("gpm"),
+        *extra,
     )
 
 
-def order_variants(priced: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+# Lines per variant list. Longer orders continue in further parts.
+PART_LINES = 10_000
+
+
+def order_variants(
+    priced: DataFrame, scope: Sequence[str] = (), part_lines: int = PART_LINES
+) -> DataFrame:
     """Variant list of every order as JSON text, in a stable order.
 
-    The list is one cell per order by contract. `variant_lines` is the same content as rows.
+    Lists are built per order and `variants_part`. Nearly all orders have part 0 only; the lines of an
+    order with more than `part_lines` of them are spread over parts by hash, so that no task ever
+    holds the whole of a huge order. `variant_lines` is the same content as rows.
     """
-    lines = variant_lines(priced, scope)
+    lines = variant_lines(priced.select("*", F.col("sale_id").alias("_sale")), scope, ("_sale",))
     keys = [*scope, "order_id"]
-    entry = F.struct(*[c for c in lines.columns if c not in keys])
+    sizes = lines.groupBy(*keys).agg(F.count("*").alias("_lines"))
+    huge = stored(sizes.where(F.col("_lines") > part_lines), "huge-orders")
+    parts = F.ceil(F.col("_lines") / F.lit(part_lines))
+    split = lines.join(huge, keys, "left").withColumn(
+        "variants_part",
+        F.coalesce(F.pmod(F.xxhash64("_sale"), parts), F.lit(0)).cast("int"),
+    )
+    entry = F.struct(*[c for c in lines.columns if c not in (*keys, "_sale")])
     listed = F.to_json(F.array_sort(F.collect_list(entry)), {"ignoreNullFields": "false"})
-    return lines.groupBy(*keys).agg(listed.alias("variants_json"))
+    return split.groupBy(*keys, "variants_part").agg(listed.alias("variants_json"))
 
 
 def _page_rows(t: StoreTables, orders: DataFrame, totals: DataFrame) -> DataFrame:
@@ -275,7 +291,8 @@ def order_page(
 ) -> DataFrame:
     """First `limit` rows by the caller's sort, with profit figures and the variant list.
 
-    An order without sale entries shows one row per source that knows it. When every sort column is
+    An order without sale entries shows one row per source that knows it, and an order with more
+    than `PART_LINES` product lines goes on in rows of `variants_part` 1, 2, ... When every sort column is
     an order attribute, the orders that can reach the page are cut before any sale entry is read, and
     only their entries are priced. Otherwise totals of the whole range are needed to sort; the cut
     page is then stored and variants are built for its orders alone.
@@ -297,7 +314,9 @@ def order_page(
         page = stored(rows.orderBy(*ranking).limit(limit), "order-page")
         priced = _priced(t, start, end, tz, _page_ids(page, keys, limit))
     full = page.join(order_variants(priced, t.scope), keys, "left")
-    return full.orderBy(*ranking).select(*t.scope, *PAGE_COLUMNS, "variants_json")
+    return full.orderBy(*ranking, F.col("variants_part").asc_nulls_first()).select(
+        *t.scope, *PAGE_COLUMNS, "variants_part", "variants_json"
+    )
 
 
 def _page_ids(page: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -373,7 +392,7 @@ def filter_value_rows(
 ) -> DataFrame:
     """Distinct (kind, value) pairs offered as filters; NULL is a value of its own."""
     if years is not None:
-        orders = orders.where(F.col("created_year").cast("int").between(*years))
+        orders = prune_years(orders, "created_year", years)
     single = [
         F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
         for kind, column in FILTER_COLUMNS.items()

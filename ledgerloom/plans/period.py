@@ -13,6 +13,8 @@ from ledgerloom.functions.timekeys import (
     grain_column,
     in_local_range,
     in_utc_years,
+    prune_years,
+    utc_years,
     with_period_keys,
 )
 from ledgerloom.operators.lookups import with_settings
@@ -34,7 +36,8 @@ SALES_GRAINS = ("variant_id", "order_id")
 
 def sale_lines(t: StoreTables, start: str | date, end: str | date, tz: str) -> DataFrame:
     """Sale entries of a local date range with period keys and sale fields."""
-    kept = t.sales.where(in_local_range("happened_at", tz, start, end))
+    sales = prune_years(t.sales, "happened_year", utc_years(start, end))
+    kept = sales.where(in_local_range("happened_at", tz, start, end))
     return with_sale_fields(with_period_keys(kept, "happened_at", tz))
 
 
@@ -88,12 +91,16 @@ def period_pnl(
         shipping_match="exact" if corrected else "contains",
         corrected_returns=corrected,
     )
+    years = utc_years(start, end)
+    payments = prune_years(t.transactions, "transaction_year", years)
+    shipments = t.fulfillments
     if corrected:
-        payments = t.transactions.where(in_local_range("transaction_at", tz, start, end))
-        shipments = t.fulfillments.where(in_local_range("order_created_at", tz, start, end))
+        payments = payments.where(in_local_range("transaction_at", tz, start, end))
+        shipments = shipments.where(in_local_range("order_created_at", tz, start, end))
     else:
-        payments = t.transactions.where(in_utc_years("transaction_at", start, end))
-        shipments = t.fulfillments.where(in_utc_years("fulfilled_at", start, end))
+        payments = payments.where(in_utc_years("transaction_at", start, end))
+        shipments = prune_years(shipments, "fulfillment_year", years)
+        shipments = shipments.where(in_utc_years("fulfilled_at", start, end))
     payments = keyed(with_period_keys(payments, "transaction_at", tz))
     shipments = keyed(with_period_keys(shipments, "order_created_at", tz))
     days = F.col("date").between(str(start), str(end))

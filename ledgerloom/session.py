@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Size up to which Spark may broadcast a join side on its own; nothing else decides that here.
+    "spark.sql.autoBroadcastJoinThreshold": "32m",
     # Store ids such as 007 and the day 9999-99-99 must stay text.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
@@ -43,17 +46,21 @@ def local_session(app: str, cpus: int = 8, shuffle_partitions: int | None = None
     return spark
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="ledgerloom-")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below `spark.checkpoint.dir`, the shared folder every executor can reach.
 
-    Only where the cluster names none (local tests) is a temporary folder made and recorded.
+    Only a local session without that setting gets a temporary folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

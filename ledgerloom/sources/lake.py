@@ -20,21 +20,37 @@ def read_lake(
     table: str,
     schema: str,
     partition: str | None = None,
+    days: tuple[str | date, str | date] | None = None,
 ) -> DataFrame:
     """Scan one lake table, with `tenantid`, `tablename` and `date` taken from the path.
 
-    `tenant` may be `*` to read all stores in one job. Each .gz file is one split, so the producer's
-    file count sets the parallelism of this stage; everything behind the first shuffle is free of it.
+    `tenant` may be `*` to read all stores in one job. `days` restricts the scan to a range of date
+    partitions; only folders of its months are listed. Each .gz file is one split, so the producer's
+    file count sets the parallelism of this stage.
     """
     base = f"{root.rstrip('/')}/tenants"
-    day = f"date={partition}" if partition else "date=*"
+    folders = [f"date={partition or '*'}"]
+    if days is not None and partition is None:
+        folders = [f"date={month}-*" for month in _months(*days)]
     columns = T.StructType.fromDDL(f"{schema}, {PATH_COLUMNS}")
-    return (
+    pattern = folders[0] if len(folders) == 1 else "{" + ",".join(folders) + "}"
+    raw = (
         spark.read.schema(columns)
         .option("basePath", base)
         .option("mode", "FAILFAST")
-        .json(f"{base}/tenantid={tenant}/tablename={table}/{day}/*.json*.gz")
+        .json(f"{base}/tenantid={tenant}/tablename={table}/{pattern}/*.json*.gz")
     )
+    return raw if days is None else between_dates(raw, *days)
+
+
+def _months(start: str | date, end: str | date) -> list[str]:
+    first, last = str(start)[:7], str(end)[:7]
+    months = []
+    year, month = int(first[:4]), int(first[5:7])
+    while f"{year:04d}-{month:02d}" <= last:
+        months.append(f"{year:04d}-{month:02d}")
+        year, month = (year, month + 1) if month < 12 else (year + 1, 1)
+    return months
 
 
 def between_dates(raw: DataFrame, start: str | date, end: str | date) -> DataFrame:

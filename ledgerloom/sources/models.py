@@ -38,20 +38,21 @@ def write_model(
     df: DataFrame,
     path: str,
     partition_columns: Sequence[str] = (),
-    merge_keys: Sequence[str] = (),
+    replaced: DataFrame | None = None,
 ) -> None:
     """Write a model; with partition columns only the partitions present in `df` are replaced.
 
     The rebalance hint lets adaptive execution merge small partitions and split large ones, so
     neither a busy year nor a busy store becomes one task or one file, and small lookups end up in
-    one file. With `merge_keys`, rows already stored in those partitions whose keys are not in `df`
-    are kept; without them the caller must hand over complete partitions.
+    one file. `replaced` holds the keys the batch replaces (for example all order ids of the batch):
+    rows already stored in the touched partitions under other keys are kept. Without it the caller
+    must hand over complete partitions.
     """
     if not partition_columns:
         df.hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(path)
         return
-    if merge_keys:
-        df = _with_kept_rows(df, path, partition_columns, merge_keys)
+    if replaced is not None:
+        df = _with_kept_rows(df, path, partition_columns, replaced)
     (
         df.hint("rebalance", *partition_columns)
         .write.mode("overwrite")
@@ -62,8 +63,12 @@ def write_model(
     )
 
 
+# Partition values of a batch become literal filters up to this number per column.
+LITERAL_PARTITIONS = 2000
+
+
 def _with_kept_rows(
-    df: DataFrame, path: str, partitions: Sequence[str], keys: Sequence[str]
+    df: DataFrame, path: str, partitions: Sequence[str], replaced: DataFrame
 ) -> DataFrame:
     try:
         stored = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -72,8 +77,13 @@ def _with_kept_rows(
             return df
         raise
     touched = df.select(*partitions).distinct()
+    for column in partitions:
+        # Literal values prune whole folders. The semi join below is what decides.
+        rows = df.select(column).distinct().limit(LITERAL_PARTITIONS + 1).collect()
+        if len(rows) <= LITERAL_PARTITIONS:
+            stored = stored.where(F.col(column).isin([row[0] for row in rows]))
     kept = stored.join(touched, list(partitions), "left_semi").join(
-        df.select(*keys).distinct(), list(keys), "left_anti"
+        replaced, replaced.columns, "left_anti"
     )
     return df.unionByName(kept)
 
