@@ -101,14 +101,12 @@ def main() -> None:
         "distinct_split": lambda: rollups.distinct_totals(lines(), ["date"]),
         "distinct_direct": lambda: rollups.distinct_totals_direct(lines(), ["date"]),
         "contains_join": lambda: lookups.with_order_shipping(lines(), t.order_shipping),
-        "contains_join_nested_loop": lambda: lookups.with_order_shipping(
-            lines(), t.order_shipping, method="nested_loop"
-        ),
         "ingest_orders": documents,
     }
     for name, build in cases.items():
         timed(name, build)
-    headline = [n for n in timings if n not in ("distinct_direct", "contains_join_nested_loop")]
+    # The direct form is there to compare with; it is not a headline query.
+    headline = [n for n in timings if n != "distinct_direct"]
     print(
         json.dumps(
             {

@@ -205,32 +205,21 @@ def with_order_shipping(
     """Add `linked_order_id` and `linked_shipping`, the shipping cost linked to the order.
 
     `contains` repeats a line for every linked id found inside its order name (`#1001` holds both
-    1001 and 100). `exact` matches the number after `#` only. `nested_loop` is the direct form of
-    `contains`, kept to test the other one against.
+    1001 and 100). `exact` matches the number after `#` only.
     """
     if method == "contains":
         # Matches are few unless most orders have a cost of their own. Their size is unknown before
         # they are computed, so they are stored first: a small set is then broadcast and the sale
         # entries are not shuffled at all.
         pairs = stored(order_name_matches(items, shipping, scope), "order-shipping")
-        return _left_lookup(items, pairs, ["order_name", *scope], ["order_id"])
+        return _left_lookup(items, pairs, ["order_name", *scope], ["sale_id"])
     ids = shipping.select(
         *scope,
         F.col("order_id").alias("linked_order_id"),
         F.col("shipping_cost").alias("linked_shipping"),
     )
     if method == "exact":
-        keyed = items.withColumn("linked_order_id", F.regexp_replace("order_name", "^#", ""))
-        renamed = ids.withColumn("_id", F.col("linked_order_id"))
-        return (
-            keyed.join(renamed, [*scope, "linked_order_id"], "left")
-            .drop("linked_order_id")
-            .withColumnRenamed("_id", "linked_order_id")
-        )
-    if method == "nested_loop":
-        escaped = F.replace(F.col("linked_order_id"), F.lit("\\"), F.lit("\\\\"))
-        on = F.like(F.col("order_name"), F.concat(F.lit("%"), escaped, F.lit("%")))
-        if scope:
-            raise ValueError("nested_loop is a single-store test form")
-        return items.join(ids, on, "left")
+        keyed = items.withColumn("_number", F.regexp_replace("order_name", "^#", ""))
+        numbered = ids.withColumn("_number", F.col("linked_order_id"))
+        return _left_lookup(keyed, numbered, ["_number", *scope], ["sale_id"]).drop("_number")
     raise ValueError(f"unknown method {method!r}")

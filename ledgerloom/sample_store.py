@@ -308,7 +308,11 @@ def all_stores(store: SampleStore) -> StoreTables:
         .distinct()
         .withColumn("own_margin", (30 + F.length("tenant_id")).cast("double"))
     )
-    settings = margins.join(store.settings()).withColumn("margin_pct", F.col("own_margin"))
+    shared = store.settings().drop("margin_pct")
+    row = shared.agg(F.min(F.struct("*"))).scalar()
+    settings = margins.withColumn("shared", row).select(
+        "tenant_id", F.col("own_margin").alias("margin_pct"), "shared.*"
+    )
     schedule = store.schedule().withColumn(
         "tenant_id",
         F.get(F.array(*[F.lit(n) for n in STORES]), (F.col("id").cast("int") % 5)),
@@ -319,7 +323,7 @@ def all_stores(store: SampleStore) -> StoreTables:
         product_costs=store.product_costs().select(every, "*"),
         order_shipping=store.order_shipping().join(owners, "order_id"),
         shipping_entries=store.shipping_entries().select(every, "*"),
-        settings=settings.drop("own_margin"),
+        settings=settings,
         scope=("tenant_id",),
     )
 
