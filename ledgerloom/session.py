@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # INT96 timestamps carry no usable statistics; date ranges could not skip row groups.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Size up to which Spark may broadcast a join side on its own; nothing else decides that here.
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     # Store ids such as 007 and the day 9999-99-99 must stay text.

@@ -39,6 +39,7 @@ def write_model(
     path: str,
     partition_columns: Sequence[str] = (),
     replaced: DataFrame | None = None,
+    sort_by: Sequence[str] = (),
 ) -> None:
     """Write a model; with partition columns only the partitions present in `df` are replaced.
 
@@ -46,16 +47,19 @@ def write_model(
     neither a busy year nor a busy store becomes one task or one file, and small lookups end up in
     one file. `replaced` holds the keys the batch replaces (for example all order ids of the batch):
     rows already stored in the touched partitions under other keys are kept. Without it the caller
-    must hand over complete partitions.
+    must hand over complete partitions. Rows are sorted by `sort_by` within a file, so that readers of
+    a short date range skip most row groups of a year.
     """
     if not partition_columns:
         df.hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(path)
         return
     if replaced is not None:
         df = _with_kept_rows(df, path, partition_columns, replaced)
+    rows = df.hint("rebalance", *partition_columns)
+    if sort_by:
+        rows = rows.sortWithinPartitions(*partition_columns, *sort_by)
     (
-        df.hint("rebalance", *partition_columns)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy(*partition_columns)

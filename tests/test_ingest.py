@@ -7,7 +7,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.timekeys import in_local_range, prune_years, utc_years
 from ledgerloom.operators import ingest_orders as O
 from ledgerloom.operators import ingest_settings as S
 from ledgerloom.plans.ingest import ingest_orders, ingest_settings
@@ -269,3 +271,16 @@ def test_from_lake_to_reports(spark, tmp_path):
     assert [r.orderId for r in page] == ["#1", "#2"] and page[0].fulfillment == 6.0
     statuses = load_tables(spark, models, "A").orders.select("order_id", "financial_status").collect()
     assert dict(map(tuple, statuses)) == {"gid/1": "PAID", "gid/2": "REFUNDED"}
+
+
+def test_short_ranges_prune_years_and_row_groups(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    seconds = F.timestamp_seconds(F.lit(1577836800) + F.col("id") * 86400)
+    sales = spark.range(800).select(F.col("id"), seconds.alias("happened_at"))
+    sales = sales.withColumn("happened_year", F.date_format("happened_at", "yyyy"))
+    write_model(sales, path, ["happened_year"], sort_by=["happened_at"])
+    stored = prune_years(spark.read.parquet(path), "happened_year", utc_years("2021-03-01", "2021-03-31"))
+    kept = stored.where(in_local_range("happened_at", "Asia/Kolkata", "2021-03-01", "2021-03-31"))
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(happened_at" in text and "happened_year" in text.split("PartitionFilters")[1]
+    assert kept.count() == 31
