@@ -496,9 +496,10 @@ merged AS (
     )
 
 
-def order_profit(swapped: bool = False) -> str:
+def order_profit(swapped: bool = False, stores: bool = False) -> str:
     """CTEs up to `profit`: order page figures per order; sources other than sales stand alone."""
-    return f"""{lines('UTC')}, {priced(swapped)},
+    costs = priced(swapped, margin="30 + length(tenant_id)" if stores else "40e0", per_store=stores)
+    return f"""{lines('UTC')}, {costs},
 per_sales AS (
   SELECT order_id, sum(total_amount) AS paid, sum(discount_before_taxes) AS discount,
          sum(shipping_charges) AS shipping_charged, sum(shipping_cost) AS shipping_cost,
@@ -540,7 +541,7 @@ def page(tz: str) -> str:
     t = local("order_created_at", tz)
     return f"""
 page AS (
-  SELECT o.order_id AS key, strftime({t}, '%Y-%m-%d') AS date, customer_name AS customer, tags,
+  SELECT o.order_id AS key, o.tenant_id, strftime({t}, '%Y-%m-%d') AS date, customer_name AS customer, tags,
          financial_status AS payment_status, presentment_currency AS currency_code,
          shipping_country, shipping_city, province_code AS shipping_region, customer_email,
          fulfillment_status, financial_status AS status, order_name AS "orderId",

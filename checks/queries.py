@@ -710,6 +710,36 @@ def order_summary_country(s):
     return shown(rows, steep=STEEP)
 
 
+@query(
+    "order_summary_filtered",
+    _summary_sql("presentment_currency", "WHERE o.financial_status = 'PAID'"),
+)
+def order_summary_filtered(s):
+    where = [("financial_status", "=", "PAID")]
+    rows = O.order_summary(s.tables(), *RANGE, "presentment_currency", where=where)
+    return shown(rows, steep=STEEP)
+
+
+@query(
+    "order_page_all_stores",
+    Q.with_base(
+        Q.order_profit(stores=True),
+        Q.page("UTC"),
+        "cut AS (SELECT * FROM page QUALIFY row_number() OVER (PARTITION BY tenant_id "
+        "ORDER BY paid DESC NULLS LAST, key, src NULLS FIRST) <= 2000)",
+        final=Q.rounded(
+            f"SELECT tenant_id, {PAGE_SQL_COLUMNS} FROM cut",
+            ", ".join(["tenant_id", *Q.PAGE_TEXT]),
+            steep=STEEP_PAGE,
+        ),
+    ),
+)
+def order_page_all_stores(s):
+    stores = fixtures.all_stores(s)
+    page = O.order_page(stores, *RANGE, order_by=[("paid", "desc")])
+    return shown(page.drop("variants_part", "variants_json"), steep=STEEP)
+
+
 @query("order_summary_province", _summary_sql("province"))
 def order_summary_province(s):
     return shown(O.order_summary(s.tables(), *RANGE, "province"), steep=STEEP)
@@ -827,15 +857,17 @@ def order_filter_values(s):
         final=Q.rounded(
             f"""SELECT strftime({Q.local('order_created_at', TZ)}, '%Y-%m-%d') AS order_date, resource_id,
           total_quantity, order_id, order_name, {at_sql('order_created_at')}, {at_sql('fulfilled_at')},
-          {', '.join(TIER_COLUMNS)} FROM fx_shipped""",
+          CAST((SELECT count(*) FROM fx_tiers WHERE total_quantity BETWEEN low AND high) AS INTEGER)
+          AS matching, {', '.join(TIER_COLUMNS)} FROM fx_shipped""",
             "order_date, resource_id, total_quantity, order_id, order_name, order_created_at, "
-            "fulfilled_at",
+            "fulfilled_at, matching",
             4,
         )
     ),
 )
 def fulfillment_export(s):
-    rows = O.fulfillment_export(s.tables(), TZ)
+    rows = O.fulfillment_export(s.tables(), TZ, *RANGE)
+    rows = rows.withColumn("matching", F.size("matching_tiers")).drop("matching_tiers")
     return shown(rows.withColumns({c: at(c) for c in ("order_created_at", "fulfilled_at")}), 4)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.lists import first_tier
+from ledgerloom.functions.lists import matching_tiers
 from ledgerloom.functions.numbers import zero_if_null
 from ledgerloom.functions.sales import PRODUCT, SHIPPING, ex_tax, line_is, returned
 from ledgerloom.functions.timekeys import days_in_month
@@ -54,8 +54,11 @@ def extended_cost(unit_cost: Column, of_returns: bool) -> Column:
 
 
 def unit_handling_fee() -> Column:
-    has_variant = line_is(PRODUCT) & F.col("variant_id").isNotNull()
-    return F.when(has_variant, zero_if_null(F.col("packing_fee"))).otherwise(_zero())
+    return (
+        F.when(~line_is(PRODUCT), _zero())
+        .when(F.col("variant_id").isNull(), _zero())
+        .otherwise(zero_if_null(F.col("packing_fee")))
+    )
 
 
 def shipping_candidates() -> Column:
@@ -127,16 +130,18 @@ def return_shipping_cost(corrected: bool = False) -> Column:
 
 
 def fulfillment_costs(tiers: Column) -> dict[str, Column]:
-    """Packaging, fulfillment and combined cost of a shipment from the first matching tier.
+    """Matching tiers, and packaging, fulfillment and combined cost from the first of them.
 
     The combined cost holds the two base costs only, without the part for additional units.
     """
     units = F.col("total_quantity")
-    tier = first_tier(tiers, units)
+    matching = matching_tiers(tiers, units)
+    tier = F.get(matching, F.lit(0))
     pack, ship = tier["packaging_base"].cast("double"), tier["fulfillment_base"].cast("double")
     pack_more = tier["packaging_additional"].cast("double")
     ship_more = tier["fulfillment_additional"].cast("double")
     return {
+        "matching_tiers": matching,
         "packaging_base": pack,
         "packaging_additional": pack_more,
         "fulfillment_base": ship,

@@ -23,6 +23,6 @@ def purchase_conversions(actions: Column) -> Column:
     return list_sum(F.transform(bought, lambda a: a["value"].cast("double")))
 
 
-def first_tier(tiers: Column, units: Column) -> Column:
-    """First fulfillment tier whose unit bounds hold the quantity, as a struct."""
-    return F.get(F.filter(tiers, lambda t: units.between(t["min_units"], t["max_units"])), F.lit(0))
+def matching_tiers(tiers: Column, units: Column) -> Column:
+    """Fulfillment tiers whose unit bounds hold the quantity, in their order."""
+    return F.filter(tiers, lambda t: units.between(t["min_units"], t["max_units"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import ratio
@@ -280,6 +280,20 @@ def _page_order(t: StoreTables, order_by: Sequence[tuple[str, str]]) -> list[Col
     return [*sort_columns(order_by, PAGE_COLUMNS), *tail]
 
 
+def _cut(
+    rows: DataFrame, ranking: Sequence[Column], limit: int, scope: Sequence[str]
+) -> DataFrame:
+    """First rows by rank, of every store if there are many.
+
+    Both forms drop rows before the exchange: top-k per task for one store, and a group limit below
+    the window for many.
+    """
+    if not scope:
+        return rows.orderBy(*ranking).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*ranking))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
 def order_page(
     t: StoreTables,
     start: str | date,
@@ -289,7 +303,7 @@ def order_page(
     order_by: Sequence[tuple[str, str]] = (("date", "desc"),),
     limit: int = PAGE_LIMIT,
 ) -> DataFrame:
-    """First `limit` rows by the caller's sort, with profit figures and the variant list.
+    """First `limit` rows of a store by the caller's sort, with profit figures and variant lists.
 
     An order without sale entries shows one row per source that knows it, and an order with more
     than `PART_LINES` product lines goes on in rows of `variants_part` 1, 2, ... When every sort column is
@@ -303,25 +317,27 @@ def order_page(
     if all(column in ORDER_COLUMNS for column, _ in order_by):
         renamed = [(ORDER_COLUMNS[column], way) for column, way in order_by]
         terms = sort_columns(renamed, orders.columns)
-        orders = orders.orderBy(*terms, *[F.col(k).asc() for k in keys]).limit(limit)
-        ids = _page_ids(orders, keys, limit)
+        terms += [F.col(k).asc() for k in keys]
+        orders = _cut(orders, terms, limit, t.scope)
+        ids = _page_ids(t, orders, limit)
         priced = _priced(t, start, end, tz, ids)
         rows = _page_rows(t, orders, _profit_per_order(t, priced, start, end, tz, ids))
-        page = rows.orderBy(*ranking).limit(limit)
+        page = _cut(rows, ranking, limit, t.scope)
     else:
         totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
         rows = _page_rows(t, orders, totals)
-        page = stored(rows.orderBy(*ranking).limit(limit), "order-page")
-        priced = _priced(t, start, end, tz, _page_ids(page, keys, limit))
+        page = stored(_cut(rows, ranking, limit, t.scope), "order-page")
+        priced = _priced(t, start, end, tz, _page_ids(t, page, limit))
     full = page.join(order_variants(priced, t.scope), keys, "left")
     return full.orderBy(*ranking, F.col("variants_part").asc_nulls_first()).select(
         *t.scope, *PAGE_COLUMNS, "variants_part", "variants_json"
     )
 
 
-def _page_ids(page: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    ids = page.select(*keys)
-    return F.broadcast(ids) if limit <= BROADCAST_LIMIT else ids
+def _page_ids(t: StoreTables, page: DataFrame, limit: int) -> DataFrame:
+    """Keys of a page. Those of one store are at most `limit` and may be broadcast."""
+    ids = page.select(*t.scope, "order_id")
+    return F.broadcast(ids) if not t.scope and limit <= BROADCAST_LIMIT else ids
 
 
 def order_page_export(
@@ -427,9 +443,18 @@ def order_filter_values(
     return row.select(*scope, *[F.when(complete, F.col(k)).alias(k) for k in kinds])
 
 
-def fulfillment_export(t: StoreTables, tz: str = "UTC") -> DataFrame:
-    """Every shipment with its tier and costs, newest order date first."""
-    priced = price_shipments(t.fulfillments, t.settings, t.scope)
+def fulfillment_export(
+    t: StoreTables,
+    tz: str = "UTC",
+    start: str | date | None = None,
+    end: str | date | None = None,
+) -> DataFrame:
+    """Every shipment of the years of the range with its tiers and costs, newest order date first."""
+    shipments = t.fulfillments
+    if start is not None and end is not None:
+        shipments = prune_years(shipments, "fulfillment_year", utc_years(start, end))
+        shipments = shipments.where(in_utc_years("fulfilled_at", start, end))
+    priced = price_shipments(shipments, t.settings, t.scope)
     return priced.select(
         *t.scope,
         local_date("order_created_at", tz).cast("string").alias("order_date"),
@@ -439,6 +464,7 @@ def fulfillment_export(t: StoreTables, tz: str = "UTC") -> DataFrame:
         "order_name",
         "order_created_at",
         "fulfilled_at",
+        "matching_tiers",
         "packaging_base",
         "packaging_additional",
         "fulfillment_base",

@@ -37,7 +37,8 @@ def load_tables(
     """Read the models of one store, or of all stores keyed by `tenantid`."""
 
     def read(table: str, year: str | None = None) -> DataFrame:
-        return read_model(spark, root, table, tenant, year, years)
+        df = read_model(spark, root, table, tenant, year, years)
+        return df if tenant is None else df.drop("tenantid")
 
     return StoreTables(
         orders=read("orders", "created_year"),
@@ -52,5 +53,5 @@ def load_tables(
         order_shipping=read("order_shipping"),
         shipping_entries=read("shipping_entries"),
         settings=read("settings"),
-        scope=("tenantid",),
+        scope=("tenantid",) if tenant is None else (),
     )
