@@ -26,10 +26,10 @@ def rounded(query: str, plain: str = "", digits: int = 2, steep: tuple[str, ...]
     Columns in `steep` are rounded to thousands once they exceed 10000.
     """
     names = [n.strip() for n in plain.split(",") if n.strip()]
-    fine = f"floor({{x}} * 1e{digits} + 0.5001e0) / 1e{digits}"
+    fine = f"floor({{x}} * 1e{digits} + 0.50003e0) / 1e{digits}"
     parts = list(names)
     for n in steep:
-        coarse = f"floor({n} / 1e3 + 0.5001e0) * 1e3"
+        coarse = f"floor({n} / 1e3 + 0.50003e0) * 1e3"
         parts.append(f"CASE WHEN abs({n}) > 1e4 THEN {coarse} ELSE {fine.format(x=n)} END AS {n}")
     skip = [*names, *steep]
     parts.append(fine.format(x=f"COLUMNS(* EXCLUDE ({', '.join(skip)}))" if skip else "COLUMNS(*)"))

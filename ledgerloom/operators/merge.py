@@ -8,6 +8,7 @@ unmatched keys never pile up on a NULL join key as they do in a chain of outer j
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,38 +27,47 @@ def merge_by_key(
     Without an anchor there is one row per key. With an anchor the result is that of a chain of full
     outer joins in which every condition compares with the anchor's key: a key the anchor lacks, and
     a NULL key, gives one row per source that has it. `scope` columns belong to the key but may not
-    be NULL.
+    be NULL. `_source` then names the only source of a row, and is NULL for a merged one.
+
+    The expressions are SQL text, because a hundred of them go over to the JVM much faster that way.
     """
     keys = list(keys)
     group = [*scope, *keys]
-    stacked = None
     owner = {}
+    types = {}
     for name, df in sources.items():
-        columns = [c for c in df.columns if c not in group]
-        clash = set(columns) & set(owner)
-        if clash:
-            raise ValueError(f"columns {sorted(clash)} occur in two sources")
-        owner.update(dict.fromkeys(columns, name))
-        part = df.select(*group, *columns, F.lit(True).alias(f"_has_{name}"))
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    flags = {name: F.max(f"_has_{name}").alias(f"_has_{name}") for name in sources}
+        for field in df.schema.fields:
+            if field.name in group:
+                continue
+            if field.name in owner:
+                raise ValueError(f"column {field.name!r} occurs in two sources")
+            owner[field.name] = name
+            types[field.name] = field.dataType.simpleString()
+
+    def part(name: str) -> DataFrame:
+        columns = [
+            f"`{c}`" if owner[c] == name else f"CAST(NULL AS {types[c]}) AS `{c}`" for c in owner
+        ]
+        flags = [f"{'true' if n == name else 'CAST(NULL AS boolean)'} AS `_has_{n}`" for n in sources]
+        return sources[name].selectExpr(*[f"`{k}`" for k in group], *columns, *flags)
+
+    stacked = reduce(DataFrame.union, [part(name) for name in sources])
     merged = stacked.groupBy(*group).agg(
-        *[F.max(c).alias(c) for c in owner], *flags.values()
+        *[F.expr(f"max(`{c}`) AS `{c}`") for c in [*owner, *[f"_has_{n}" for n in sources]]]
     )
     if anchor is None:
         return merged.drop(*[f"_has_{name}" for name in sources])
-    present = F.array_compact(
-        F.array(*[F.when(F.col(f"_has_{name}"), F.lit(name)) for name in sources])
+    present = ", ".join(f"CASE WHEN `_has_{name}` THEN '{name}' END" for name in sources)
+    joined = " AND ".join([f"`_has_{anchor}` IS NOT NULL", *[f"`{k}` IS NOT NULL" for k in keys]])
+    whole = "array(CAST(NULL AS string))"
+    split = merged.selectExpr(
+        "*", f"explode(CASE WHEN {joined} THEN {whole} ELSE array_compact(array({present})) END) AS _source"
     )
-    joined = F.col(f"_has_{anchor}").isNotNull()
-    for key in keys:
-        joined = joined & F.col(key).isNotNull()
-    split = merged.withColumn(
-        "_only",
-        F.explode(F.when(joined, F.array(F.lit(None).cast("string"))).otherwise(present)),
+    return split.selectExpr(
+        *[f"`{k}`" for k in group],
+        *[
+            f"CASE WHEN _source IS NULL OR _source = '{name}' THEN `{c}` END AS `{c}`"
+            for c, name in owner.items()
+        ],
+        "_source",
     )
-    kept = [
-        F.when(F.col("_only").isNull() | (F.col("_only") == name), F.col(c)).alias(c)
-        for c, name in owner.items()
-    ]
-    return split.select(*group, *kept, F.col("_only").alias("_source"))

@@ -292,3 +292,10 @@ def test_top_page_is_cut_before_pricing(store):
     text = O.order_page(store, *RANGE)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in text and "LeftSemi" in text
     assert "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_pages_of_many_stores_are_limited_below_the_window(store, spark):
+    orders = store.orders.withColumn("tenant_id", F.concat(F.lit("t"), F.col("order_id")))
+    cut = O._cut(orders, [F.col("order_name").asc()], 2000, ["tenant_id"])
+    assert "WindowGroupLimit" in cut._jdf.queryExecution().executedPlan().toString()
+    assert cut.count() == 4
