@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.sources.schemas import ORDER_OBJECT_LINES, ORDER_TEXT_LINES
+
 # Partition that holds settings without a history. Not a valid DATE, so `date` stays text.
 CURRENT_PARTITION = "9999-99-99"
 PATH_COLUMNS = "tenantid string, tablename string, date string"
@@ -28,21 +31,40 @@ def read_lake(
     partitions; only folders of its months are listed. Each .gz file is one split, so the producer's
     file count sets the parallelism of this stage.
     """
-    base = f"{root.rstrip('/')}/tenants"
-    folders = [f"date={partition or '*'}"]
-    if days is not None and partition is None:
-        folders = [f"date={month}-*" for month in _months(*days)]
     columns = T.StructType.fromDDL(f"{schema}, {PATH_COLUMNS}")
-    pattern = folders[0] if len(folders) == 1 else "{" + ",".join(folders) + "}"
     raw = (
         spark.read.schema(columns)
-        .option("basePath", base)
+        .option("basePath", f"{root.rstrip('/')}/tenants")
         .option("mode", "FAILFAST")
-        .json(f"{base}/tenantid={tenant}/tablename={table}/{pattern}/*.json*.gz")
+        .json(_files(root, tenant, table, partition, days))
     )
     return raw if days is None else between_dates(raw, *days)
 
 
+def _files(root, tenant, table, partition, days) -> str:
+    folders = [f"date={partition or '*'}"]
+    if days is not None and partition is None:
+        folders = [f"date={month}-*" for month in _months(*days)]
+    pattern = folders[0] if len(folders) == 1 else "{" + ",".join(folders) + "}"
+    return f"{root.rstrip('/')}/tenants/tenantid={tenant}/tablename={table}/{pattern}/*.json*.gz"
+
+
+def order_line_schema(
+    spark: SparkSession,
+    root: str,
+    tenant: str,
+    table: str,
+    days: tuple[str | date, str | date] | None = None,
+) -> str:
+    """Schema of order lines by a look at one of them: `json` as an object, or as text.
+
+    Objects are parsed by the scan itself. The text schema reads both kinds, only slower.
+    """
+    line = spark.read.text(_files(root, tenant, table, None, days)).first()
+    is_object = line is not None and isinstance(json.loads(line[0]).get("json"), dict)
+    return ORDER_OBJECT_LINES if is_object else ORDER_TEXT_LINES
+
+
 def _months(start: str | date, end: str | date) -> list[str]:
     first, last = str(start)[:7], str(end)[:7]
     months = []
