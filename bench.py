@@ -87,7 +87,8 @@ def main() -> None:
         """Raw documents as gzipped lines in which `json` is an object, read back by schema."""
         path = scratch_dir(spark, "bench-lake")
         line = F.concat(F.lit('{"json":'), F.col("json"), F.lit("}"))
-        make(store).select(line).write.option("compression", "gzip").text(path)
+        lines = make(store).select(line).repartition(4 * CPUS)
+        lines.write.option("compression", "gzip").text(path)
         return spark.read.schema(ORDER_OBJECT_LINES).option("mode", "FAILFAST").json(path)
 
     raw_orders = timed("write_order_lines", lambda: lake_lines(order_documents), consume=False)
