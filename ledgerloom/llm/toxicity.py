@@ -1,8 +1,9 @@
 """Character n-gram linear classifier with naive Bayes scaled features.
 
 A text's features are the hashed character n-grams of its words that occur in it, each worth the
-log-count ratio of its bin between toxic and other labelled texts. Ratios within NOISE standard errors of
-0 count as 0, so long harmless texts gather no score. A logistic regression weighs the features.
+log-count ratio of its bin between toxic and other labelled texts. Ratios are shrunk by NOISE standard
+errors, and those then below LEAST count as 0, so long harmless texts gather no score. A logistic
+regression weighs the features.
 
 The ratios come from every labelled training text. The regression is fitted on at most FIT_ROWS of them,
 those with the smallest hash of their id; that is the only bound, and it is on labelled rows alone.
@@ -24,8 +25,9 @@ from ledgerloom.llm.text import CHUNK_BYTES, IS_WORD, constants, mix
 SIZES = (3, 4, 5, 6, 7)
 BITS = 18
 NOISE = 3.0
+LEAST = 0.5
 FIT_ROWS = 12_000
-ROUNDS = 100
+ROUNDS = 150
 PENALTY = 1e-3
 THRESHOLD = 0.7
 #: Bits of the map of labelled ids that spares other texts the shuffle: 2 MB.
@@ -61,11 +63,12 @@ def features(text: str) -> np.ndarray:
 
 
 def log_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
-    """Log-count ratio of each bin, 0 within NOISE standard errors, otherwise shrunk by them."""
+    """Log-count ratio of each bin, shrunk by NOISE standard errors; 0 where less than LEAST is left."""
     p, q = (toxic + 1) / (n_toxic + 2), (clean + 1) / (n_clean + 2)
     error = np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
     ratio = np.log(p / q)
-    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - NOISE * error)
+    left = np.abs(ratio) - NOISE * error
+    return np.where(left >= LEAST, np.sign(ratio) * left, 0.0)
 
 
 def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
@@ -75,10 +78,11 @@ def fit_linear(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) ->
     bins = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     used, column = np.unique(bins, return_inverse=True)
     value = ratio[bins]
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    toxic = (labels == 1).mean() if n else 0.5
+    share = np.where(labels == 1, toxic**-0.5, (1 - toxic) ** -0.5) / max(1, n)  # halfway to equal classes
     w, b = np.zeros(len(used)), 0.0
     grad2, bias2 = np.full(len(used), 1e-8), 1e-8
-    for _ in range(ROUNDS):  # AdaGrad on the whole sample
+    for _ in range(ROUNDS):
         z = np.bincount(at, value * w[column], n) + b
         d = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
         g, gb = np.bincount(column, value * d[at], len(used)) + PENALTY * w / max(1, len(used)), d.sum()
