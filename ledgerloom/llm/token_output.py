@@ -244,6 +244,12 @@ class Encoder:
         return np.where(found == 0, np.uint64(1), found)
 
 
+@cache
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which serves many tasks and keeps what it has seen."""
+    return Encoder(path)
+
+
 def _wide_before(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Whether the character before a place may be white space beyond ASCII."""
     two, three = data[(places - 2).clip(0)], data[(places - 3).clip(0)]
@@ -283,7 +289,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         part, attempt = context.partitionId(), context.taskAttemptId()
         filesystem, root = _filesystem(folder)
         filesystem.create_dir(root, recursive=True)
-        encoder = Encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         ids: list[int | None] = []
         counts: list[int] = []
         tokens: list[np.ndarray] = []
@@ -368,5 +374,5 @@ def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 
 def texts_to_ids(texts: pd.Series, tokenizer_path: str) -> list[np.ndarray]:
     """Ids of each text with the end id, encoded as the files are."""
-    flat, sizes = Encoder(tokenizer_path).encode(texts_of(texts))
+    flat, sizes = worker_encoder(tokenizer_path).encode(texts_of(texts))
     return np.split(flat, np.cumsum(sizes)[:-1])
