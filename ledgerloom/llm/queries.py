@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.decontamination import passages
 from ledgerloom.llm.fingerprints import fingerprint_next
 from ledgerloom.llm.frames import table
+from ledgerloom.llm.jaccard_join import classes
+from ledgerloom.llm import oracle
 from ledgerloom.llm.packing import pack, word_count
 from ledgerloom.llm.token_output import token_output
 from ledgerloom.llm.toxicity import toxicity
@@ -22,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,15 +41,22 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "matched", "width")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pack(docs, word_count(F.col("text")), tie=F.xxhash64("text"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_token_id_output": op8_token_id_output,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": oracle.NGRAM_JACCARD}
