@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return pd.Series(in_bitmap(found.value, keys.to_numpy(np.int64).view(np.uint64), MAP_BITS))
 
         few = texts.where(F.col("id").isNotNull()).where(maybe(F.xxhash64("id")))
-        return few.join(wanted, "id")
+        return few.join(wanted.hint("merge"), "id")  # one plan at every size
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, 1 << BITS), np.int64)
