@@ -30,3 +30,83 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies
 FROM d JOIN u USING (sid) JOIN roots USING (sid) JOIN heads USING (root) LEFT JOIN degree USING (sid) WHERE d.size > 0
 UNION ALL SELECT doc_id, doc_id, 0, 1 FROM d WHERE size = 0
 """
+
+
+def _byte(text: str, place: int) -> str:
+    return f"ascii(substr(md5({text}), {place}, 1))"
+
+
+def _day(text: str, place: int) -> str:
+    return f"DATE '2024-01-01' + ({_byte(text, place)} * 37 + {_byte(text, place + 1)} * 11) % 366"
+
+
+#: Every capture against all intervals, the heaviest active one by a window.
+URL_LISTS = rf"""
+WITH captures AS (
+    SELECT row_number() OVER () AS r, page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS fetched,
+        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '') AS host
+    FROM pages
+),
+hosts AS (SELECT DISTINCT host AS d FROM captures WHERE host IS NOT NULL),
+domains AS (SELECT DISTINCT array_to_string(string_split(d, '.')[-2:], '.') AS d FROM hosts),
+entries AS (
+    SELECT 'malware' AS list, d AS domain, 'block' AS rule, 'add' AS action, {_day("d", 1)} AS happened FROM hosts
+    UNION ALL SELECT 'malware', d, 'block', 'remove', {_day("d", 1)} + {_byte("d", 3)} % 90 + 1 FROM hosts
+    UNION ALL SELECT 'malware', d, 'block', 'add', {_day("d", 1)} + {_byte("d", 3)} % 90 + 60 FROM hosts
+    UNION ALL SELECT 'trusted', d, 'allow', 'add', {_day("d", 5)} FROM hosts
+    UNION ALL SELECT 'trusted', d, 'allow', 'remove', {_day("d", 7)} FROM hosts
+    UNION ALL SELECT 'spam', d, 'block', 'add', {_day("d", 1)} FROM domains
+),
+events AS (SELECT list, domain, rule, happened, max(action) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT *, lead(happened) OVER (PARTITION BY list, domain, rule ORDER BY happened) AS until FROM events),
+active AS (
+    SELECT c.r, s.*, row_number() OVER (
+        PARTITION BY c.r ORDER BY len(string_split(s.domain, '.')) DESC, s.happened DESC, (s.rule = 'block') DESC, s.domain DESC) AS weight
+    FROM captures c JOIN spans s
+    ON (c.host = s.domain OR ends_with(c.host, '.' || s.domain)) AND s.action = 'add'
+        AND s.happened <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)
+),
+judged AS (
+    SELECT r, max(rule = 'block') FILTER (weight = 1) AS blocked, max(domain) FILTER (weight = 1) AS domain,
+        count(*) AS n_active, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
+    FROM active GROUP BY r
+)
+SELECT page_id, url, fetched, host, coalesce(blocked, false) AS blocked, domain, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists
+FROM captures LEFT JOIN judged USING (r)
+"""
+
+
+def licenses(phrases: dict[str, str], templates: dict[str, str], containment: float, block: int, step: int) -> str:
+    """Every block of every text against every template, and every place against every phrase."""
+    import re
+
+    def sql_list(words) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    def places(phrase: str) -> str:
+        words = phrase.split()
+        k = len(words)
+        return f"list_filter(range(1, len(ws) - {k} + 2), lambda i: ws[i:i + {k - 1}] = {sql_list(words)})"
+
+    found = ", ".join(f"{places(p)} AS p{i}" for i, p in enumerate(phrases))
+    every = " || ".join(f"p{i}" for i in range(len(phrases)))
+    base = " || ".join(f"(CASE WHEN len(p{i}) > 0 THEN ['{label}'] ELSE [] END)" for i, label in enumerate(phrases.values()))
+    notices = ", ".join(f"('{label}', {sql_list(sorted(set(re.findall('[a-z0-9]+', t.lower()))))})" for label, t in templates.items())
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
+templates(label, words) AS (VALUES {notices}),
+blocks AS (SELECT r, ws, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(0, greatest(len(ws) - {step}, 1), {step}) END) AS s FROM w),
+sets AS (SELECT r, list_distinct(ws[s + 1:s + {block}]) AS words FROM blocks),
+held AS (
+    SELECT r, label, max(len(list_intersect(sets.words, t.words)) / len(t.words)) AS share FROM sets, templates t
+    WHERE len(list_intersect(sets.words, t.words)) >= ceil({containment} * len(t.words) - 1e-9) GROUP BY r, label
+),
+noted AS (SELECT r, list(label) AS names, max(share) AS share FROM held GROUP BY r),
+placed AS (SELECT r, doc_id, ws, {found} FROM w),
+based AS (SELECT r, doc_id, ws, {every} AS spots, list_sort(list_distinct({base})) AS base FROM placed)
+SELECT doc_id, len(ws) AS n_words, len(spots) AS n_base, list_min(spots) - 1 AS first_word, list_max(spots) - 1 AS last_word,
+    array_to_string(base, ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(base || coalesce(names, []))), ',') AS labels,
+    CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM based LEFT JOIN noted USING (r)
+"""

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import oracle
 from ledgerloom.llm.decontamination import passages
 from ledgerloom.llm.fingerprints import fingerprint_next
 from ledgerloom.llm.frames import table
+from ledgerloom.llm.html_text import extract
 from ledgerloom.llm.jaccard_join import classes
-from ledgerloom.llm import oracle
+from ledgerloom.llm.licenses import BLOCK, CONTAINMENT, PHRASES, STEP, TEMPLATES, scan
 from ledgerloom.llm.packing import pack, word_count
+from ledgerloom.llm.pii import find, summary
 from ledgerloom.llm.token_output import token_output
 from ledgerloom.llm.toxicity import toxicity
+from ledgerloom.llm.url_lists import judge, page_captures, page_lists, validity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,14 +33,31 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(find(table(spark, sf_dir, "documents")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge(page_captures(pages), validity(page_lists(pages)))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_next(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,10 +74,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_url_filters": op5_url_filters,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_license_scans": op7_license_scans,
     "op8_token_id_output": op8_token_id_output,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": oracle.NGRAM_JACCARD}
+#: The others can't be written in SQL; tests compare them with brute force.
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracle.NGRAM_JACCARD,
+    "op5_url_filters": oracle.URL_LISTS,
+    "op7_license_scans": oracle.licenses(PHRASES, TEMPLATES, CONTAINMENT, BLOCK, STEP),
+}
