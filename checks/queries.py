@@ -624,7 +624,7 @@ def _with_variant_check(page: DataFrame) -> DataFrame:
             "variant_profit": total("gross_profit"),
             "variant_gpm": total("gpm"),
         }
-    ).drop("variants_json", "variants_part")
+    ).drop("variants_json")
 
 
 def _page_sql(order_by: str) -> str:
@@ -691,6 +691,29 @@ def order_page_filtered(s):
     return shown(rows, steep=STEEP)
 
 
+@query(
+    "order_page_any_of",
+    Q.with_base(
+        Q.order_profit(),
+        Q.page(TZ),
+        final=Q.rounded(
+            f"SELECT {PAGE_SQL_COLUMNS} FROM page WHERE (payment_status = 'PAID' OR currency_code = 'EUR') "
+            "AND coalesce(list_contains(from_json(tags, '[\"VARCHAR\"]'), '5-LOW'), false) "
+            "AND NOT (payment_status = 'PAID' AND currency_code = 'EUR')",
+            ", ".join(Q.PAGE_TEXT),
+            steep=STEEP_PAGE,
+        ),
+    ),
+)
+def order_page_any_of(s):
+    where = [
+        ("any", [("financial_status", "=", "PAID"), ("presentment_currency", "=", "EUR")]),
+        ("tags", "has", "5-LOW"),
+        ("not", ("all", [("financial_status", "=", "PAID"), ("presentment_currency", "=", "EUR")])),
+    ]
+    return shown(O.order_page_export(s.tables(), *RANGE, TZ, where), steep=STEEP)
+
+
 def _summary_sql(by: str, extra: str = "") -> str:
     sums = ", ".join(f"sum({c}) AS {c}" for c in Q.TOTALS)
     return Q.with_base(
@@ -737,7 +760,7 @@ def order_summary_filtered(s):
 def order_page_all_stores(s):
     stores = fixtures.all_stores(s)
     page = O.order_page(stores, *RANGE, order_by=[("paid", "desc")])
-    return shown(page.drop("variants_part", "variants_json"), steep=STEEP)
+    return shown(page.drop("variants_json"), steep=STEEP)
 
 
 @query("order_summary_province", _summary_sql("province"))

@@ -94,7 +94,13 @@ def product_costs_model(raw: DataFrame) -> DataFrame:
 
 
 def shipping_entries_model(raw: DataFrame) -> DataFrame:
-    """Shipping cost table as rows; `position` keeps the order of the file."""
+    """Shipping cost table as rows; `position` keeps the order of the lake.
+
+    Entries come by lake date, then by file name, then by line. The line number counts lines of a task,
+    which reads a file from its start, so it orders lines within one file only.
+    """
+    at = [F.col(c) if c in raw.columns else F.lit("").alias(c) for c in ("date", "file")]
+    line = F.monotonically_increasing_id().alias("line")
     return raw.select(
         *_store(raw),
         F.col("countryName").alias("country_name"),
@@ -102,7 +108,7 @@ def shipping_entries_model(raw: DataFrame) -> DataFrame:
         F.col("countryCode").alias("country_code"),
         _num("shippingCost").alias("shipping_cost"),
         _num("returnShippingCost").alias("return_cost"),
-        F.monotonically_increasing_id().alias("position"),
+        F.struct(*at, line).alias("position"),
     )
 
 

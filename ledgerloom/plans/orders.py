@@ -35,8 +35,8 @@ from ledgerloom.plans.tables import StoreTables
 from ledgerloom.session import stored
 
 PAGE_LIMIT = 2000
-# Ids of a page are broadcast only up to this page size (a few MB of text).
-BROADCAST_LIMIT = 100_000
+# Parts in which the orders of one store are ranked before its page is cut.
+RANK_PARTS = 32
 
 # Output column -> order column.
 ORDER_COLUMNS = {
@@ -88,21 +88,41 @@ _OPERATORS = {
     "between": lambda c, v: c.between(*v),
     "like": lambda c, v: c.like(v),
     "is_null": lambda c, v: c.isNull() if v else c.isNotNull(),
+    # Membership in a list that is stored as JSON text: tags, payment gateways.
+    "has": lambda c, v: F.array_contains(F.from_json(c, "array<string>"), v),
 }
 
 
-def predicate(df: DataFrame, where: Sequence[tuple[str, str, object]]) -> Column:
-    """AND of (column, operator, value) triples over the columns of `df`; no SQL text."""
+def predicate(df: DataFrame, where: Sequence[tuple]) -> Column:
+    """Condition over the columns of `df` from typed nodes; no SQL text.
+
+    A node is (column, operator, value), ("all", nodes), ("any", nodes) or ("not", node). The nodes of
+    `where` must all hold. No nodes hold under "all" and fail under "any".
+    """
     condition = F.lit(True)
-    for column, operator, value in where:
-        if column not in df.columns:
-            raise ValueError(f"unknown column {column!r}")
-        if operator not in _OPERATORS:
-            raise ValueError(f"unknown operator {operator!r}")
-        condition = condition & _OPERATORS[operator](F.col(column), value)
+    for node in where:
+        condition = condition & _condition(df, node)
     return condition
 
 
+def _condition(df: DataFrame, node: tuple) -> Column:
+    if len(node) == 2 and node[0] == "all":
+        return predicate(df, node[1])
+    if len(node) == 2 and node[0] == "any":
+        condition = F.lit(False)
+        for one in node[1]:
+            condition = condition | _condition(df, one)
+        return condition
+    if len(node) == 2 and node[0] == "not":
+        return ~_condition(df, node[1])
+    column, operator, value = node
+    if column not in df.columns:
+        raise ValueError(f"unknown column {column!r}")
+    if operator not in _OPERATORS:
+        raise ValueError(f"unknown operator {operator!r}")
+    return _OPERATORS[operator](F.col(column), value)
+
+
 def sort_columns(order_by: Sequence[tuple[str, str]], allowed: Sequence[str]) -> list[Column]:
     """Sort terms of (column, "asc" | "desc") pairs; NULLs come last either way."""
     terms = []
@@ -121,7 +141,7 @@ def orders_in_range(
     start: str | date,
     end: str | date,
     tz: str,
-    where: Sequence[tuple[str, str, object]] = (),
+    where: Sequence[tuple] = (),
 ) -> DataFrame:
     """Orders created in a local date range that satisfy the caller's predicates."""
     orders = prune_years(t.orders, "created_year", utc_years(start, end))
@@ -238,31 +258,17 @@ def variant_lines(
     )
 
 
-# Lines per variant list. Longer orders continue in further parts.
-PART_LINES = 10_000
+def order_variants(priced: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Variant list of every order as JSON text, in a stable order; one row for each order.
 
-
-def order_variants(
-    priced: DataFrame, scope: Sequence[str] = (), part_lines: int = PART_LINES
-) -> DataFrame:
-    """Variant list of every order as JSON text, in a stable order.
-
-    Lists are built per order and `variants_part`. Nearly all orders have part 0 only; the lines of an
-    order with more than `part_lines` of them are spread over parts by hash, so that no task ever
-    holds the whole of a huge order. `variant_lines` is the same content as rows.
+    A list is as long as its order. `variant_lines` is the same content as rows, for readers that don't
+    want an order in one cell.
     """
-    lines = variant_lines(priced.select("*", F.col("sale_id").alias("_sale")), scope, ("_sale",))
+    lines = variant_lines(priced, scope)
     keys = [*scope, "order_id"]
-    sizes = lines.groupBy(*keys).agg(F.count("*").alias("_lines"))
-    huge = stored(sizes.where(F.col("_lines") > part_lines), "huge-orders")
-    parts = F.ceil(F.col("_lines") / F.lit(part_lines))
-    split = lines.join(huge, keys, "left").withColumn(
-        "variants_part",
-        F.coalesce(F.pmod(F.xxhash64("_sale"), parts), F.lit(0)).cast("int"),
-    )
-    entry = F.struct(*[c for c in lines.columns if c not in (*keys, "_sale")])
+    entry = F.struct(*[c for c in lines.columns if c not in keys])
     listed = F.to_json(F.array_sort(F.collect_list(entry)), {"ignoreNullFields": "false"})
-    return split.groupBy(*keys, "variants_part").agg(listed.alias("variants_json"))
+    return lines.groupBy(*keys).agg(listed.alias("variants_json"))
 
 
 def _page_rows(t: StoreTables, orders: DataFrame, totals: DataFrame) -> DataFrame:
@@ -285,13 +291,17 @@ def _cut(
 ) -> DataFrame:
     """First rows by rank, of every store if there are many.
 
-    Both forms drop rows before the exchange: top-k per task for one store, and a group limit below
-    the window for many.
+    One store takes the top k of each task first. Of many stores each is ranked in parts, and then among
+    the first rows of its parts, so no task ranks a whole store.
     """
     if not scope:
         return rows.orderBy(*ranking).limit(limit)
-    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*ranking))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+    part = F.pmod(F.xxhash64("order_id"), F.lit(RANK_PARTS))
+    for keys in ([*scope, "_part"], scope):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*ranking))
+        rows = rows.withColumn("_part", part).withColumn("_rank", rank)
+        rows = rows.where(F.col("_rank") <= limit).drop("_rank", "_part")
+    return rows
 
 
 def order_page(
@@ -299,14 +309,13 @@ def order_page(
     start: str | date,
     end: str | date,
     tz: str = "UTC",
-    where: Sequence[tuple[str, str, object]] = (),
+    where: Sequence[tuple] = (),
     order_by: Sequence[tuple[str, str]] = (("date", "desc"),),
     limit: int = PAGE_LIMIT,
 ) -> DataFrame:
     """First `limit` rows of a store by the caller's sort, with profit figures and variant lists.
 
-    An order without sale entries shows one row per source that knows it, and an order with more
-    than `PART_LINES` product lines goes on in rows of `variants_part` 1, 2, ... When every sort column is
+    An order without sale entries shows one row per source that knows it. When every sort column is
     an order attribute, the orders that can reach the page are cut before any sale entry is read, and
     only their entries are priced. Otherwise totals of the whole range are needed to sort; the cut
     page is then stored and variants are built for its orders alone.
@@ -319,7 +328,7 @@ def order_page(
         terms = sort_columns(renamed, orders.columns)
         terms += [F.col(k).asc() for k in keys]
         orders = _cut(orders, terms, limit, t.scope)
-        ids = _page_ids(t, orders, limit)
+        ids = orders.select(*keys)
         priced = _priced(t, start, end, tz, ids)
         rows = _page_rows(t, orders, _profit_per_order(t, priced, start, end, tz, ids))
         page = _cut(rows, ranking, limit, t.scope)
@@ -327,17 +336,9 @@ def order_page(
         totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
         rows = _page_rows(t, orders, totals)
         page = stored(_cut(rows, ranking, limit, t.scope), "order-page")
-        priced = _priced(t, start, end, tz, _page_ids(t, page, limit))
+        priced = _priced(t, start, end, tz, page.select(*keys))
     full = page.join(order_variants(priced, t.scope), keys, "left")
-    return full.orderBy(*ranking, F.col("variants_part").asc_nulls_first()).select(
-        *t.scope, *PAGE_COLUMNS, "variants_part", "variants_json"
-    )
-
-
-def _page_ids(t: StoreTables, page: DataFrame, limit: int) -> DataFrame:
-    """Keys of a page. Those of one store are at most `limit` and may be broadcast."""
-    ids = page.select(*t.scope, "order_id")
-    return F.broadcast(ids) if not t.scope and limit <= BROADCAST_LIMIT else ids
+    return full.orderBy(*ranking).select(*t.scope, *PAGE_COLUMNS, "variants_json")
 
 
 def order_page_export(
@@ -345,12 +346,16 @@ def order_page_export(
     start: str | date,
     end: str | date,
     tz: str = "UTC",
-    where: Sequence[tuple[str, str, object]] = (),
+    where: Sequence[tuple] = (),
     order_by: Sequence[tuple[str, str]] = (("date", "desc"),),
 ) -> DataFrame:
-    """Every order of the range in page form, without variants and without a limit."""
+    """Every order of the range in page form, without variants and without a limit.
+
+    With a filter only the entries, payments and shipments of the orders that pass are priced.
+    """
     orders = orders_in_range(t, start, end, tz, where)
-    totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
+    only = orders.select(*t.scope, "order_id") if where else None
+    totals = _profit_per_order(t, _priced(t, start, end, tz, only), start, end, tz, only)
     rows = _page_rows(t, orders, totals)
     return rows.orderBy(*_page_order(t, order_by)).select(*t.scope, *PAGE_COLUMNS)
 
@@ -361,7 +366,7 @@ def order_summary(
     end: str | date,
     by: str,
     tz: str = "UTC",
-    where: Sequence[tuple[str, str, object]] = (),
+    where: Sequence[tuple] = (),
     order_by: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
     """Order totals summed by any order column. As shipped, the margin percentages are summed too."""
@@ -369,7 +374,8 @@ def order_summary(
     if by not in orders.columns:
         raise ValueError(f"unknown order column {by!r}")
     keys = [*t.scope, "order_id"]
-    totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
+    only = orders.select(*keys) if where else None
+    totals = _profit_per_order(t, _priced(t, start, end, tz, only), start, end, tz, only)
     joined = orders.select(*keys, F.col(by).alias("_by")).join(totals, keys, "left")
     summed = joined.groupBy(*t.scope, "_by").agg(
         *[F.sum(column).alias(name) for name, column in TOTAL_COLUMNS.items()]

@@ -18,8 +18,6 @@ RUNTIME_CONF = {
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Size up to which Spark may broadcast a join side on its own; nothing else decides that here.
     "spark.sql.autoBroadcastJoinThreshold": "32m",
-    # Order pages hold 2000 rows per store; the default of 1000 would rank whole stores.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Store ids such as 007 and the day 9999-99-99 must stay text.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,20 +48,9 @@ def _files(root, tenant, table, partition, days) -> str:
     return f"{root.rstrip('/')}/tenants/tenantid={tenant}/tablename={table}/{pattern}/*.json*.gz"
 
 
-def order_line_schema(
-    spark: SparkSession,
-    root: str,
-    tenant: str,
-    table: str,
-    days: tuple[str | date, str | date] | None = None,
-) -> str:
-    """Schema of order lines by a look at one of them: `json` as an object, or as text.
-
-    Objects are parsed by the scan itself. The text schema reads both kinds, only slower.
-    """
-    line = spark.read.text(_files(root, tenant, table, None, days)).first()
-    is_object = line is not None and isinstance(json.loads(line[0]).get("json"), dict)
-    return ORDER_OBJECT_LINES if is_object else ORDER_TEXT_LINES
+#: What the lines of an order table hold. Text lines read objects as well, so a lake of both kinds, or of
+#: an unknown one, is read as text; a lake known to hold objects alone is parsed by the scan itself.
+ORDER_LINES = {"text": ORDER_TEXT_LINES, "object": ORDER_OBJECT_LINES}
 
 
 def _months(start: str | date, end: str | date) -> list[str]:

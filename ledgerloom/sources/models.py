@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stored
+
 
 def model_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/models/{table}"
@@ -40,21 +42,24 @@ def write_model(
     partition_columns: Sequence[str] = (),
     replaced: DataFrame | None = None,
     sort_by: Sequence[str] = (),
+    keep: Column | None = None,
 ) -> None:
-    """Write a model; with partition columns only the partitions present in `df` are replaced.
+    """Write a model; with partition columns only the partitions that the batch touches are replaced.
 
     The rebalance hint lets adaptive execution merge small partitions and split large ones, so
     neither a busy year nor a busy store becomes one task or one file, and small lookups end up in
     one file. `replaced` holds the keys the batch replaces (for example all order ids of the batch):
-    rows already stored in the touched partitions under other keys are kept. Without it the caller
-    must hand over complete partitions. Rows are sorted by `sort_by` within a file, so that readers of
+    stored rows of these keys go, from whatever partition they are in, and all others stay. `keep`
+    says the same as a condition on stored rows. A partition that loses its last row is dropped after
+    the write. Without both the caller must hand over complete partitions. Rows are sorted by `sort_by` within a file, so that readers of
     a short date range skip most row groups of a year.
     """
     if not partition_columns:
         df.hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(path)
         return
-    if replaced is not None:
-        df = _with_kept_rows(df, path, partition_columns, replaced)
+    emptied = None
+    if replaced is not None or keep is not None:
+        df, emptied = _with_kept_rows(df, path, partition_columns, replaced, keep)
     rows = df.hint("rebalance", *partition_columns)
     if sort_by:
         rows = rows.sortWithinPartitions(*partition_columns, *sort_by)
@@ -65,31 +70,45 @@ def write_model(
         .partitionBy(*partition_columns)
         .parquet(path)
     )
-
-
-# Partition values of a batch become literal filters up to this number per column.
-LITERAL_PARTITIONS = 2000
+    if emptied is not None:
+        _drop_partitions(emptied, path)
 
 
 def _with_kept_rows(
-    df: DataFrame, path: str, partitions: Sequence[str], replaced: DataFrame
-) -> DataFrame:
+    df: DataFrame, path: str, partitions: Sequence[str], replaced: DataFrame | None, keep: Column | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The batch with the stored rows that stay in the partitions it touches, and the partitions left empty.
+
+    Touched are the partitions the batch has rows in and those that hold a row it replaces, found by a
+    scan of keys and partition columns alone. The joins on partition columns prune folders at run time.
+    """
     try:
-        stored = df.sparkSession.read.schema(df.schema).parquet(path)
+        model = df.sparkSession.read.schema(df.schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return df
+            return df, None
         raise
-    touched = df.select(*partitions).distinct()
-    for column in partitions:
-        # Literal values prune whole folders. The semi join below is what decides.
-        rows = df.select(column).distinct().limit(LITERAL_PARTITIONS + 1).collect()
-        if len(rows) <= LITERAL_PARTITIONS:
-            stored = stored.where(F.col(column).isin([row[0] for row in rows]))
-    kept = stored.join(touched, list(partitions), "left_semi").join(
-        replaced, replaced.columns, "left_anti"
-    )
-    return df.unionByName(kept)
+    columns = list(partitions)
+    if replaced is not None:
+        gone = model.join(replaced, replaced.columns, "left_semi")
+    else:
+        gone = model.where(~F.coalesce(keep, F.lit(False)))
+    touched = stored(df.select(columns).union(gone.select(columns)).distinct(), "touched")
+    kept = model.join(touched, columns, "left_semi")
+    kept = kept.where(keep) if replaced is None else kept.join(replaced, replaced.columns, "left_anti")
+    rows = df.unionByName(kept)
+    return rows, stored(touched.join(rows.select(columns).distinct(), columns, "left_anti"), "emptied")
+
+
+def _drop_partitions(partitions: DataFrame, path: str) -> None:
+    """Delete the folders of partitions that have no rows any more; names only pass the driver."""
+    spark = partitions.sparkSession
+    jvm = spark.sparkContext._jvm
+    named = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in partitions.toLocalIterator():
+        folder = "/".join([path, *(named(c, str(row[c])) for c in partitions.columns)])
+        target = jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = True) -> str:

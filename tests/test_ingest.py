@@ -17,7 +17,7 @@ from ledgerloom.plans.orders import order_page
 from ledgerloom.plans.period import period_pnl
 from ledgerloom.plans.tables import load_tables
 from ledgerloom.sources.calendar import calendar
-from ledgerloom.sources.lake import CURRENT_PARTITION, order_line_schema, read_lake
+from ledgerloom.sources.lake import CURRENT_PARTITION, ORDER_LINES, read_lake
 from ledgerloom.sources.models import model_path, read_csv, read_model, write_csv, write_model
 from ledgerloom.sources.schemas import LAKE
 
@@ -119,16 +119,82 @@ def test_object_and_text_lines_read_alike(spark, tmp_path, rows):
     put(root, "A", "objects", "2020-01-05", document(1))
     put(root, "A", "texts", "2020-01-05", {"json": json.dumps(document(1)["json"])})
     got = []
-    for table, kind in (("objects", "struct"), ("texts", "string")):
-        schema = order_line_schema(spark, root, "A", table)
-        raw = read_lake(spark, root, "A", table, schema)
+    for table, lines, kind in (("objects", "object", "struct"), ("objects", "text", "string"), ("texts", "text", "string")):
+        raw = read_lake(spark, root, "A", table, ORDER_LINES[lines])
         assert dict(raw.dtypes)["json"].startswith(kind)
         orders = O.orders_model(O.parse_orders(raw.select("tenantid", "json")))
         # The text of lists that stay JSON may differ in white space.
         orders = orders.withColumn("refunds", F.regexp_replace("refunds", r"\s", ""))
         models = (lambda o: o, O.sales_items_model, O.transactions_model, O.fulfillments_model)
         got.append([rows(model(orders)) for model in models])
-    assert got[0] == got[1] and all(len(part) == 1 for part in got[0])
+    assert got[0] == got[1] == got[2] and all(len(part) == 1 for part in got[0])
+
+
+def stored_orders(spark, models, table="orders"):
+    return read_model(spark, models, table)
+
+
+def test_stores_with_object_and_text_lines_load_in_one_job(spark, tmp_path):
+    lake, models = f"{tmp_path}/lake", f"{tmp_path}/models"
+    table = "rawShopifyOrdersCreated"
+    put(lake, "A", table, "2020-01-05", *[document(n) for n in range(40)])
+    put(lake, "B", table, "2020-01-05", {"json": json.dumps(document(99)["json"])})
+    ingest_orders(spark, lake, models, "2020-01-01", "2020-01-31")
+    counts = {r.tenantid: r["count"] for r in stored_orders(spark, models).groupBy("tenantid").count().collect()}
+    assert counts == {"A": 40, "B": 1}
+
+
+def test_reingest_replaces_moved_and_removed_rows(spark, tmp_path):
+    lake, models = f"{tmp_path}/lake", f"{tmp_path}/models"
+    table = "rawShopifyOrdersCreated"
+
+    def shipped(day):
+        return [{"legacyResourceId": "f1", "createdAt": f"{day}T10:00:00Z", "totalQuantity": 2, "trackingInfo": []}]
+
+    put(lake, "A", table, "2020-01-05", document(1, fulfillments=shipped("2020-01-06")), document(2, fulfillments=shipped("2020-01-06")))
+    ingest_orders(spark, lake, models, "2020-01-05", "2020-01-05")
+    put(lake, "A", table, "2020-01-07", document(1, fulfillments=shipped("2021-01-06")), document(2, fulfillments=[]))
+    ingest_orders(spark, lake, models, "2020-01-07", "2020-01-07")
+    left = stored_orders(spark, models, "fulfillments").collect()
+    assert [(r.order_id, str(r.fulfillment_year)) for r in left] == [("gid/1", "2021")]
+    assert os.listdir(f"{model_path(models, 'fulfillments')}/tenantid=A") == ["fulfillment_year=2021"]
+    assert stored_orders(spark, models).count() == 2
+
+
+def test_one_run_over_days_keeps_the_latest_version(spark, tmp_path):
+    lake = f"{tmp_path}/lake"
+    for day, name in (("2020-01-05", "old"), ("2020-01-06", "new"), ("2020-01-04", "oldest")):
+        put(lake, "A", "rawShopifyOrdersCreated", day, document(1, name=name))
+    for versions, names in (("latest", ["new"]), ("all", ["new", "old", "oldest"])):
+        models = f"{tmp_path}/{versions}"
+        ingest_orders(spark, lake, models, "2020-01-01", "2020-01-31", versions=versions)
+        assert sorted(r.order_name for r in stored_orders(spark, models).collect()) == names
+
+
+def test_ads_of_a_range_leave_other_days(spark, tmp_path):
+    lake, models = f"{tmp_path}/lake", f"{tmp_path}/models"
+    for tenant in ("A", "B"):
+        for day in ("2020-01-01", "2020-01-02"):
+            put(lake, tenant, "tikTok", day, {"spend": "1", "clicks": "2", "conversion": "3", "snapshotDate": day})
+    ingest_settings(spark, lake, models, "tiktok_ads", "2020-01-01", "2020-01-01")
+    ingest_settings(spark, lake, models, "tiktok_ads", "2020-01-02", "2020-01-02")
+    ingest_settings(spark, lake, models, "tiktok_ads", "2020-01-02", "2020-01-02", tenant="A")
+    rows = sorted((r.tenantid, r.date) for r in read_model(spark, models, "tiktok_ads").collect())
+    assert rows == [(t, d) for t in ("A", "B") for d in ("2020-01-01", "2020-01-02")]
+
+
+def test_first_shipping_entry_follows_the_lake(spark, tmp_path):
+    lake, models = f"{tmp_path}/lake", f"{tmp_path}/models"
+    table = "defaultsnapshot_shippingCostsByCountry"
+
+    def entry(cost, **more):
+        return {"countryName": "Ireland", "region": "r", "countryCode": "IE", "shippingCost": cost, "returnShippingCost": 0, **more}
+
+    put(lake, "A", table, "2020-01-01", entry(1), entry(7))
+    put(lake, "A", table, "2020-01-02", *[entry(2, pad=str(i) * 50) for i in range(2000)])
+    ingest_settings(spark, lake, models, "shipping_entries")
+    first = read_model(spark, models, "shipping_entries").orderBy("position").first()
+    assert first.shipping_cost == 1
 
 
 def test_json_is_parsed_once(spark):
