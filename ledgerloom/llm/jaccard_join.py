@@ -209,7 +209,7 @@ def _ended(entries: DataFrame, level: str, deeper: str | None) -> tuple[DataFram
     sizes = entries.where(F.col(level) != 0).groupBy(level).agg(F.count("*").alias("n"), F.min("sig").alias("lo"), F.max("sig").alias("hi"))
     # written first, so that the join has two plain shuffles and a hot bucket's can be split
     sizes = stored(sizes.where("lo <> hi").select(level, "n"), "bucket-sizes")
-    counted = entries.join(sizes, level)
+    counted = entries.join(sizes.hint("merge"), level)  # one plan at every size
     small = counted if deeper is None else counted.where(F.col("n") <= SMALL)
     small = small.select("sig", F.col(level).alias("bucket"), "n")
     return small, None if deeper is None else counted.where((F.col("n") > SMALL) & (F.col(deeper) != 0)).drop("n")
