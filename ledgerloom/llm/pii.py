@@ -9,16 +9,21 @@ others, which count as known from ACCEPTED on. Tokens found so are further spans
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import row_key, stored
+from ledgerloom.llm.frames import row_key
+from ledgerloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENT = 0.8
 SUPPORT = 5
 ACCEPTED = 0.9
 ROUNDS = 3
+#: Matches folded together.
+RUN = 256
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The contract's patterns, with possessive quantifiers and run-start checks that keep them linear. A
@@ -34,22 +39,48 @@ _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also where nested functions read it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(values: Column) -> Column:
+    """An array cut into arrays of RUN elements, so that a fold's growing state stays short."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / RUN).cast("int")), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """All matches with their places in code points: array of (start, end, value).
+    """All matches with their places in code points, and the gaps beside them.
 
-    The text between matches comes from splitting at the same pattern; lengths add up to places.
+    Array of (start, end, value, before, after). The text between matches comes from splitting at the same
+    pattern; lengths add up to places, first inside runs of matches, then over the runs.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(values.alias("value"), F.slice(F.split(text, pattern, -1), 1, F.size(values)).alias("gap"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    shape = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
+    no_run = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
+
+    def placed(start: Column, end: Column, s: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after"))
 
     def add(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.char_length(pair["gap"])
+        start = done["at"] + F.char_length(pair["before"])
         end = start + F.char_length(pair["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(done["out"], F.array(placed(start, end, pair))).alias("out"))
+
+    def add_run(done: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda s: placed(done["at"] + s["start"], done["at"] + s["end"], s))
+        return F.struct((done["at"] + run["at"]).alias("at"), F.concat(done["out"], F.array(moved)).alias("out"))
+
+    def zipped(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        return _bound(gaps, lambda g: F.arrays_zip(found.alias("value"), F.slice(g, F.lit(1), F.size(found)).alias("before"), F.slice(g, F.lit(2), F.size(found)).alias("after")))
+
+    def located(pairs: Column) -> Column:
+        inside = F.transform(_runs(pairs), lambda run: F.aggregate(run, empty, add))
+        return F.flatten(F.aggregate(inside, no_run, add_run, lambda done: done["out"]))
 
-    return F.aggregate(pairs, empty, add, lambda done: done["out"])
+    return _bound(_bound(values, zipped), located)
 
 
 def _luhn(value: Column) -> Column:
@@ -90,24 +121,20 @@ def base_spans(text: Column) -> Column:
 
 def _tokens(text: Column) -> Column:
     """Tokens with a digit, without the punctuation around them, and the words beside them."""
-    values = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    gaps = F.split(text, _TOKEN, -1)
-    spans = _located(text, _TOKEN)
 
-    def one(s: Column, i: Column) -> Column:
+    def one(s: Column) -> Column:
         lead = F.char_length(F.regexp_extract(s["value"], r"^[^\p{L}0-9+]*+", 0))
         core = F.regexp_replace(F.regexp_extract(s["value"], r"^[^\p{L}0-9+]*+(.*+)$", 1), r"(?<![^\p{L}0-9])[^\p{L}0-9]++$|(?<=[\p{L}0-9])[^\p{L}0-9]++$", "")
-        before, after = F.get(gaps, i), F.get(gaps, i + 1)
         return F.struct(
             (s["start"] + lead).alias("start"),
             (s["start"] + lead + F.char_length(core)).alias("end"),
             core.alias("value"),
-            F.lower(F.regexp_extract(before, r"(?<!\S)(\S++)\s*+$", 1)).alias("left"),
-            F.lower(F.regexp_extract(after, r"^\s*+(\S++)", 1)).alias("right"),
+            F.lower(F.regexp_extract(s["before"], r"(?<!\S)(\S++)\s*+$", 1)).alias("left"),
+            F.lower(F.regexp_extract(s["after"], r"^\s*+(\S++)", 1)).alias("right"),
         )
 
     none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-    return F.when(text.rlike("[0-9]"), F.filter(F.transform(spans, one), lambda t: t["end"] > t["start"])).otherwise(none)
+    return F.when(text.rlike("[0-9]"), F.filter(F.transform(_located(text, _TOKEN), one), lambda t: t["end"] > t["start"])).otherwise(none)
 
 
 def _shape(value: Column) -> Column:
@@ -185,16 +212,48 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans by the first one's."""
+    """The text with each span replaced by its kind in brackets; overlapping spans by the first one's.
+
+    A run of spans works on its own stretch of the text, so a place is not counted from the text's start
+    for each span.
+    """
+    shape = "array<struct<start:int,end:int,kind:string>>"
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    no_run = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
+
+    def keep(done: Column, s: Column) -> Column:
+        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        more = F.struct(s["end"].alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+        return F.when(s["start"] >= done["at"], more).otherwise(done)
+
+    def keep_run(done: Column, run: Column) -> Column:
+        def joined(kept: Column) -> Column:
+            return F.struct(kept["at"].alias("at"), F.concat(done["out"], F.array(kept["out"])).alias("out"))
+
+        return _bound(F.aggregate(run, F.struct(done["at"].alias("at"), F.array().cast(shape).alias("out")), keep), joined)
+
+    def replaced(run: Column) -> Column:
+        """The text from the end of the span before a run to the end of its last span, masked."""
+        first = F.coalesce(run["before"], F.lit(0))
+        stretch = F.substring(text, first + 1, F.element_at(run["spans"], -1)["end"] - first)
+
+        def add(part: Column) -> Column:
+            def one(done: Column, s: Column) -> Column:
+                kept = F.substring(part, done["at"] + 1, s["start"] - first - done["at"])
+                return F.struct((s["end"] - first).alias("at"), F.concat(done["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+
+            return F.aggregate(run["spans"], begin, one, lambda done: done["out"])
+
+        return _bound(stretch, add)
 
-    def add(done: Column, s: Column) -> Column:
-        kept = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        more = F.struct(s["end"].alias("at"), F.concat(done["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        inside = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
-        return F.when(s["start"] >= done["at"], more).otherwise(inside)
+    def whole(runs: Column) -> Column:
+        ends = F.transform(runs, lambda r: F.element_at(r, -1)["end"])
+        before = F.concat(F.array(F.lit(0)), ends)
+        pieces = F.transform(F.arrays_zip(runs.alias("spans"), F.slice(before, F.lit(1), F.size(runs)).alias("before")), replaced)
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(before, -1) + 1, F.char_length(text)))
 
-    return F.aggregate(spans, begin, add, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
+    runs = F.aggregate(_runs(spans), no_run, keep_run, lambda done: done["out"])
+    return _bound(F.filter(runs, lambda r: F.size(r) > 0), whole)
 
 
 def without_pii(docs: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ ODD_PII = [
     "", None, "a@b.c_x@d.e", "a@b..c a@b", "x.y@@z.w a@b.c@d.e", "a@b.c.@d.e-", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004",
     "é 4111 1111 1111 1111, 4111-1111-1111-1111", "+1 (017) 555-7713. +123 +44 20 7946 0958)", "4" * 5000, "4111111111111111" * 3,
     "日本 1.2.3.4 é +12345678901 x@y.zz", "5 - 5 5-5 5  5", "+1.2.3.4.5.6.7.8.9.0", "." * 3000 + "@a.b", "ab" * 40000, "0000.0.0.0 1.1.1.0256",
-    "a@b.cc 4111111111111111 " * 300,
+    "a@b.cc 4111111111111111 " * 300, "".join(f"é {i} u{i}@ex.org, 10.0.{i % 256}.1 +123456789{i} " for i in range(2000)),
 ]
 
 
@@ -173,6 +173,24 @@ def test_masking(docs_of):
     assert not any("1111" in (t or "") for _, t, _ in out)
 
 
+def brute_mask(text, spans):
+    out, at = "", 0
+    for s in spans:
+        if s.start >= at:
+            out, at = out + text[at : s.start] + f"[{s.kind.upper()}]", s.end
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("run", [2, 256])
+def test_masking_over_runs_of_spans(docs_of, monkeypatch, run):
+    monkeypatch.setattr(pii, "RUN", run)
+    texts = [t for t in ODD_PII if t]
+    rows = docs_of(list(enumerate(texts)))
+    spans = {r.doc_id: r.spans for r in pii.find(rows).collect()}
+    got = {r.doc_id: r.text for r in pii.without_pii(rows).collect()}
+    assert got == {i: brute_mask(t, spans[i]) for i, t in enumerate(texts)}
+
+
 # ---- toxicity ----
 
 
