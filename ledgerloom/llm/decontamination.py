@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import bitmap, in_bitmap, row_key, stored, texts_of
+from ledgerloom.llm.frames import bitmap, in_bitmap, row_key, texts_of
 from ledgerloom.llm.text import batches, hash_words, windows
+from ledgerloom.session import stored
 
 MASKS = ("110110111", "1011101011", "1110011101", "1101010111")
 WIDTH = 13

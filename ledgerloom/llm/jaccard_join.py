@@ -23,8 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import bitmap, connected, in_bitmap, row_key, sorted_groups, stored, texts_of
+from ledgerloom.llm.frames import bitmap, connected, in_bitmap, row_key, sorted_groups, texts_of
 from ledgerloom.llm.text import batches, constants, hash_words, mix, shingles
+from ledgerloom.session import stored
 
 SIMILARITY = 0.8
 RUNS = 12

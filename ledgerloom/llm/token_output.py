@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import shared_folder, stored, texts_of
+from ledgerloom.llm.frames import texts_of
 from ledgerloom.llm.text import constants, mix, power_tables
+from ledgerloom.session import scratch_dir, stored
 
 BLOCK = 4096
 PERCENTILE = 0.9
@@ -368,7 +369,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
     """Write the documents' token files and return what is read back from them, a row per document."""
-    folder = folder or shared_folder(docs.sparkSession, "tokens")
+    folder = folder or scratch_dir(docs.sparkSession, "tokens")
     return read_token_files(write_token_files(docs, tokenizer_path, folder))
 
 
