@@ -13,6 +13,11 @@ def local(ts: str, tz: str) -> str:
     return f"(({ts} AT TIME ZONE 'UTC') AT TIME ZONE '{tz}')"
 
 
+def within(sql: str, start: str, end: str) -> str:
+    """A query over another date range than the one that holds all rows."""
+    return sql.replace(START, start).replace(END, end)
+
+
 def keys(t: str) -> str:
     return (
         f"strftime({t}, '%Y-%m-%d') AS date, strftime({t}, '%Y-%m') AS month, "
@@ -108,7 +113,7 @@ fx_meta AS (
   SELECT value AS spend, CAST(user_id % 7 AS DOUBLE) AS clicks,
          CASE WHEN event_type = 'purchase' THEN CAST(user_id % 4 AS DOUBLE) END AS bought,
          date, month, year, week, tenant_id
-  FROM fx_ad_days WHERE event_type IN ('signup', 'purchase')),
+  FROM fx_ad_days WHERE event_type IN ('signup', 'purchase', 'error')),
 fx_schedule AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS id, s_acctbal AS cost,
          ['Monthly', 'Weekly', 'Yearly', 'Daily', 'Just Once', 'Quarterly'][s_suppkey % 6 + 1]
@@ -138,6 +143,10 @@ fx_order_shipping AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS linked_order_id,
          CAST(o_orderkey % 23 AS DOUBLE) AS linked_shipping, tenant_id AS link_tenant
   FROM fx_orders WHERE o_totalprice >= 495000),
+fx_every_order_shipping AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS linked_order_id,
+         CAST(o_orderkey % 23 AS DOUBLE) AS linked_shipping
+  FROM fx_orders),
 fx_tiers AS (
   SELECT * FROM (VALUES (1, 2e0, 0.5e0, 1e0, 0.25e0, 0, 5), (2, 3e0, 0.4e0, 1.5e0, 0.2e0, 5, 9),
                         (3, 5e0, 0.3e0, 2e0, 0.1e0, 10, 9999999))
@@ -323,17 +332,28 @@ by_expenses AS (
   FROM ledger GROUP BY ALL)"""
 
 
-def fees_by(grain: str, tz: str) -> str:
+def spanned(span: str, ts: str, day: str) -> str:
+    """WHERE clause for the UTC years (`years`) or the local days (`days`) of the range, or none."""
+    return {
+        "": "",
+        "years": f"WHERE year({ts}) BETWEEN year(DATE '{START}') AND year(DATE '{END}')",
+        "days": f"WHERE strftime({day}, '%Y-%m-%d') BETWEEN '{START}' AND '{END}'",
+    }[span]
+
+
+def fees_by(grain: str, tz: str, span: str = "") -> str:
+    day = local("transaction_at", tz)
     return f"""
-paid_in AS (SELECT *, {keys(local('transaction_at', tz))} FROM fx_transactions),
+paid_in AS (SELECT *, {keys(day)} FROM fx_transactions {spanned(span, 'transaction_at', day)}),
 by_fees AS (
   SELECT {grain} AS period, sum(amount * fx_rate) AS payment_fees
   FROM paid_in WHERE kind = 'SALE' AND error_code IS NULL GROUP BY ALL)"""
 
 
-def shipments_by(grain: str, tz: str) -> str:
+def shipments_by(grain: str, tz: str, span: str = "") -> str:
+    day = local("order_created_at", tz)
     return f"""
-sent AS (SELECT *, {keys(local('order_created_at', tz))} FROM fx_shipped),
+sent AS (SELECT *, {keys(day)} FROM fx_shipped {spanned(span, 'fulfilled_at', day)}),
 by_shipments AS (
   SELECT {grain} AS period, sum(packaging_cost) AS packaging_cost,
          sum(fulfillment_only_cost) AS fulfillment_only_cost, sum(fulfillment_cost) AS fulfillment_cost
@@ -487,12 +507,13 @@ merged AS (
     if stores:
         final = ("split_part(period, '|', 1) AS tenant_id, split_part(period, '|', 2) AS period, "
                  f"* EXCLUDE (period) FROM (SELECT {final})")
+    span = "days" if corrected else "years"
     costs = priced(not corrected, not corrected, corrected,
                    "30 + length(tenant_id)" if stores else "40e0", stores)
     return with_base(
         lines(tz), costs,
         sales_by(grain, not corrected), ads_by(other), ledger(), expenses_by(other),
-        fees_by(other, tz), shipments_by(other, tz), merged, ctes, final=final,
+        fees_by(other, tz, span), shipments_by(other, tz, span), merged, ctes, final=final,
     )
 
 

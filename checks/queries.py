@@ -325,12 +325,12 @@ def unit_product_cost(s):
 @query(
     "contains_ship_join",
     Q.with_base(
-        final="order_name, linked_order_id, linked_shipping FROM fx_orders JOIN fx_order_shipping "
+        final="order_name, linked_order_id, linked_shipping FROM fx_orders JOIN fx_every_order_shipping "
         "ON order_name LIKE '%' || linked_order_id || '%'"
     ),
 )
 def contains_ship_join(s):
-    return L.order_name_matches(s.orders(), s.order_shipping())
+    return L.order_name_matches(s.orders(), s.every_order_shipping())
 
 
 @query(
@@ -341,21 +341,22 @@ def contains_ship_join(s):
                THEN substr(CAST(o_orderkey AS VARCHAR), 1, 1) || '%' || right(CAST(o_orderkey AS VARCHAR), 2)
                WHEN o_totalprice >= 498000 THEN '_' || right(CAST(o_orderkey AS VARCHAR), 3)
                ELSE CAST(o_orderkey AS VARCHAR) END AS linked_order_id
-          FROM orders WHERE o_totalprice >= 495000)""",
+          FROM orders)""",
         final="order_name, linked_order_id, CAST(linked_shipping AS DOUBLE) AS linked_shipping "
         "FROM fx_orders JOIN wild ON order_name LIKE '%' || linked_order_id || '%'",
     ),
 )
 def contains_ship_join_wildcards(s):
-    return L.order_name_matches(s.orders(), s.order_shipping(wildcards=True))
+    return L.order_name_matches(s.orders(), s.every_order_shipping(wildcards=True))
 
 
 @query(
     "order_shipping_lines",
     Q.with_base(
+        "held AS (SELECT order_name, linked_order_id, linked_shipping FROM fx_orders "
+        "JOIN fx_every_order_shipping ON order_name LIKE '%' || linked_order_id || '%')",
         "j AS (SELECT month, linked_order_id, linked_shipping FROM (SELECT "
-        f"{Q.keys('happened_at')}, order_name FROM fx_sales) LEFT JOIN fx_order_shipping "
-        "ON order_name LIKE '%' || linked_order_id || '%')",
+        f"{Q.keys('happened_at')}, order_name FROM fx_sales) LEFT JOIN held USING (order_name))",
         final="month, count(*) AS lines, count(linked_order_id) AS linked, "
         "sum(linked_shipping) AS linked_shipping FROM j GROUP BY ALL",
     ),
@@ -363,7 +364,7 @@ def contains_ship_join_wildcards(s):
 def order_shipping_lines(s):
     keyed = with_period_keys(s.sales(), "happened_at", "UTC")
     return (
-        L.with_order_shipping(keyed, s.order_shipping())
+        L.with_order_shipping(keyed, s.every_order_shipping())
         .groupBy("month")
         .agg(
             F.count("*").alias("lines"),
@@ -539,6 +540,27 @@ def social_rollup(s):
     return shown(P.social_rollup(s.google_ads(), s.tiktok_ads(), s.meta_ads(), "date"))
 
 
+@query(
+    "social_rollup_week_all_stores",
+    Q.with_base(
+        Q.ads_by("tenant_id || '|' || week"),
+        """chain AS (SELECT split_part(coalesce(g.period, t.period, m.period), '|', 1) AS tenant_id,
+          split_part(g.period, '|', 2) AS period, g.* EXCLUDE (period), t.* EXCLUDE (period), m.* EXCLUDE (period),
+          google_spend + meta_spend + tiktok_spend AS ad_spend,
+          google_clicks + meta_clicks + tiktok_clicks AS ad_clicks,
+          google_conversions + meta_conversions + tiktok_conversions AS ad_conversions
+          FROM by_google g FULL OUTER JOIN by_tiktok t ON g.period = t.period
+          FULL OUTER JOIN by_meta m ON g.period = m.period)""",
+        final=Q.rounded(
+            "SELECT *, ad_conversions / nullif(ad_clicks, 0) * 100 AS click_to_purchase_pct FROM chain",
+            "tenant_id, period",
+        ),
+    ),
+)
+def social_rollup_week_all_stores(s):
+    return shown(P.social_rollup(s.google_ads(), s.tiktok_ads(), s.meta_ads(), "week", ["tenant_id"]))
+
+
 @query(
     "cost_ledger",
     Q.with_base(
@@ -596,6 +618,32 @@ def pnl_week_all_stores_corrected(s):
     return shown(rows, steep=STEEP)
 
 
+# Ranges that leave rows out on both sides, inside a year and over the turn of one.
+INSIDE = ("1996-03-10", "1996-11-20")
+TURN = ("1996-12-31", "1998-01-01")
+
+
+def _pnl_within(name: str, grain: str, span: tuple[str, str], tz: str, policy: str = "parity"):
+    @query(name, Q.within(Q.pnl(grain, tz, policy), *span))
+    def build(s):
+        return shown(P.period_pnl(s.tables(), grain, *span, tz, policy), steep=STEEP)
+
+
+_pnl_within("pnl_week_inside_year", "week", INSIDE, NEW_YORK, "corrected")
+_pnl_within("pnl_week_turn_of_year", "week", TURN, NEW_YORK, "corrected")
+
+
+@query("cost_ledger_inside_year", Q.within(ORACLE["cost_ledger"], *INSIDE))
+def cost_ledger_inside_year(s):
+    rows = daily_ledger(s.schedule(), *INSIDE)
+    return shown(rows.select("id", "tag", "date", "days_in_month", "daily_cost"), 4)
+
+
+@query("sales_summary_turn_of_year", Q.within(ORACLE["sales_summary"], *TURN))
+def sales_summary_turn_of_year(s):
+    return shown(P.sales_summary(s.tables(), "month", *TURN, TZ))
+
+
 _pnl("pnl_by_variant", "variant_id")
 _pnl("pnl_by_order", "order_id")
 
@@ -668,6 +716,15 @@ def order_page_export(s):
     return shown(O.order_page_export(s.tables(), *RANGE, TZ), steep=STEEP)
 
 
+# The range of an order report is that of its orders; their entries count whenever they happened.
+_PAGE = Q.page(TZ).strip()
+
+
+@query("order_page_export_inside_year", ORACLE["order_page_export"].replace(_PAGE, Q.within(_PAGE, *INSIDE)))
+def order_page_export_inside_year(s):
+    return shown(O.order_page_export(s.tables(), *INSIDE, TZ), steep=STEEP)
+
+
 @query(
     "order_page_filtered",
     Q.with_base(

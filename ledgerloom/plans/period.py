@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -122,15 +123,18 @@ def period_pnl(
 
 
 def social_rollup(
-    google: DataFrame, tiktok: DataFrame, meta: DataFrame, grain: str
+    google: DataFrame, tiktok: DataFrame, meta: DataFrame, grain: str, scope: Sequence[str] = ()
 ) -> DataFrame:
-    """Ad totals per period; only Google's period is shown and a missing source gives NULL totals."""
+    """Ad totals per period; only Google's period is shown and a missing source gives NULL totals.
+
+    With `scope` (store keys) there is a row per store and period.
+    """
     grain_column(grain)
     sources = {
-        name: ad_rollup(ads.withColumn("period", F.col(grain)), name, ["period"])
+        name: ad_rollup(ads.withColumn("period", F.col(grain)), name, [*scope, "period"])
         for name, ads in (("google", google), ("tiktok", tiktok), ("meta", meta))
     }
-    merged = merge_by_key(sources, ["period"], "google")
+    merged = merge_by_key(sources, ["period"], "google", scope)
 
     def total(kind: str):
         return F.col(f"google_{kind}") + F.col(f"meta_{kind}") + F.col(f"tiktok_{kind}")

@@ -189,7 +189,7 @@ class SampleStore:
         actions = F.when(
             F.col("event_type") == "purchase", F.array(bought, clicked)
         ).otherwise(F.array(clicked))
-        return self._events(["signup", "purchase"], 10227).select(
+        return self._events(["signup", "purchase", "error"], 10227).select(
             F.col("value").alias("spend"),
             (F.col("user_id") % 7).cast("double").alias("clicks"),
             actions.alias("actions"),
@@ -256,8 +256,13 @@ class SampleStore:
         )
 
     @cache
-    def order_shipping(self, wildcards: bool = False) -> DataFrame:
+    def order_shipping(self) -> DataFrame:
         """Shipping costs agreed for the dearest orders; ids are prefixes of other ids at times."""
+        return self.every_order_shipping().where(F.col("o_totalprice") >= 495000).drop("o_totalprice")
+
+    @cache
+    def every_order_shipping(self, wildcards: bool = False) -> DataFrame:
+        """A shipping cost for each order, so that names hold many ids; dear orders may have wildcards."""
         key = F.col("o_orderkey").cast("string")
         order_id = key
         if wildcards:
@@ -267,8 +272,8 @@ class SampleStore:
                 .when(F.col("o_totalprice") >= 498000, F.concat(F.lit("_"), F.right(key, F.lit(3))))
                 .otherwise(key)
             )
-        dear = self.table("orders").where(F.col("o_totalprice") >= 495000)
-        return dear.select(
+        return self.table("orders").select(
+            "o_totalprice",
             order_id.alias("order_id"),
             (F.col("o_orderkey") % 23).cast("double").alias("shipping_cost"),
         )
