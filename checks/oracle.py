@@ -6,6 +6,8 @@ the same tolerance as `half_up`, see there.
 
 from __future__ import annotations
 
+import re
+
 START, END = "1994-12-01", "2002-01-31"
 
 
@@ -41,6 +43,18 @@ def rounded(query: str, plain: str = "", digits: int = 2, steep: tuple[str, ...]
     return f"{', '.join(parts)} FROM ({query}) AS q"
 
 
+def every_order(sql: str) -> str:
+    """A priced query with a linked cost for each order, matched once per order name."""
+    link = re.search(r"LEFT JOIN fx_order_shipping ON (.+)", sql)
+    same_store = " AND a.tenant_id = b.tenant_id" if "link_tenant" in link[1] else ""
+    name = "a.order_name LIKE '%' || b.order_id || '%'" if "LIKE" in link[1] else "replace(a.order_name, '#', '') = b.order_id"
+    held = f"""held AS (
+  SELECT a.order_name AS held_name, b.order_id AS linked_order_id,
+         CAST(b.o_orderkey % 23 AS DOUBLE) AS linked_shipping
+  FROM fx_orders a JOIN fx_orders b ON {name}{same_store})"""
+    return sql.replace(link[0], "LEFT JOIN held ON order_name = held_name").replace(BASE.strip(), f"{BASE.strip()}, {held}", 1)
+
+
 BASE = """
 fx_orders AS (
   SELECT o_orderkey, o_totalprice, o_orderstatus, c_mktsegment AS tenant_id,

@@ -1411,3 +1411,18 @@ def order_csv_roundtrip(s):
     path = write_csv(export, scratch_dir(s.spark, "export"), gzip=True)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in export.schema.fields)
     return shown(read_csv(s.spark, path, schema), steep=STEEP)
+
+
+# --- priced reports with a linked cost for every order ------------------------------------------
+
+
+def _every_order(name: str) -> None:
+    build = QUERIES[name]
+
+    @query(f"{name}_every_order", Q.every_order(ORACLE[name]))
+    def with_all(s):
+        return build(fixtures.with_every_order(s))
+
+
+for _name in [n for n, sql in ORACLE.items() if "LEFT JOIN fx_order_shipping" in sql]:
+    _every_order(_name)

@@ -300,6 +300,19 @@ class SampleStore:
         )
 
 
+class EveryOrderStore(SampleStore):
+    """The same tables with a linked shipping cost for every order, so that lines fan out widely."""
+
+    @cache
+    def order_shipping(self) -> DataFrame:
+        return self.every_order_shipping().drop("o_totalprice")
+
+
+@cache
+def with_every_order(store: SampleStore) -> EveryOrderStore:
+    return EveryOrderStore(store.spark, store.dir)
+
+
 STORES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 

@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as contract
 from checks import oracle, queries
 from checks.queries import ORACLE, QUERIES
+from ledgerloom import sample_store
 from ledgerloom.plans.period import period_pnl
 from ledgerloom.sample_store import SampleStore
 
@@ -72,3 +73,13 @@ def test_parity_report_of_a_range(spark, duck, span):
 
 def test_entry_runs(spark):
     assert contract.entry(spark).limit(1).count() == 1
+
+
+def test_priced_reports_link_every_order(spark, duck):
+    """Each priced query has a form in which all orders, not the dearest alone, have a linked cost."""
+    priced = {n for n, sql in ORACLE.items() if "LEFT JOIN fx_order_shipping" in sql}
+    assert len(priced) == 37 and {f"{n}_every_order" for n in priced} <= set(QUERIES)
+    store = SampleStore(spark, SF_DIR)
+    all_linked = sample_store.with_every_order(store)
+    assert all_linked.tables().order_shipping.count() == store.orders().count() > 100 * store.order_shipping().count()
+    assert sample_store.all_stores(all_linked).order_shipping.count() == store.orders().count()
