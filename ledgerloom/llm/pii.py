@@ -1,10 +1,11 @@
 """Personal data by patterns and bootstrapped contexts, in DataFrame functions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns. Their values
-seed a graph of instances (distinct tokens with a digit) and lexical patterns (the token's shape with the
-word before it, and with the word after it). In each round a pattern's confidence is the share of its
-instances that are known, by score; patterns of CONFIDENT or more with SUPPORT known instances score the
-others, which count as known from ACCEPTED on. Tokens found so are further spans of their kind.
+Base spans are e-mail addresses, IP addresses, card and phone numbers by fixed patterns. They seed a
+graph of instances and lexical patterns (the instance's shape with the word before it, and with the word
+after it). Instances are the base spans, each as a whole, and in the text beside them tokens with a digit,
+tokens like an e-mail address and runs of number tokens. In each round a pattern's confidence is the share
+of its instances that are known, by score; patterns of CONFIDENT or more with SUPPORT known instances score
+the others, which count as known from ACCEPTED on. Instances found so are further spans of their kind.
 """
 
 from __future__ import annotations
@@ -34,9 +35,12 @@ _PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_TOKEN = r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[^\s0-9@]++@[^\s0-9@]++(?!\S))"
+#: Two or more number tokens with a blank between them; a sentence mark ends the run.
+_NUMBERS = r"(?<!\S)[^\s\p{L}0-9]*+[0-9][0-9().-]*+(?:\x20[(]*+[0-9][0-9().-]*+(?![^\s,;:!?\x22'\]}>]))++[^\s\p{L}0-9]*+"
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+_BESIDE = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:string,right:string>>"
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,22 +109,38 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The base spans of a text, by start, then kind: array of (start, rank, end, kind, value)."""
+    """The base spans of a text, by start, then kind: array of (start, rank, end, kind, value, left, right).
+
+    `left` and `right` are the words beside a span; what touches it is no word.
+    """
 
     def of(rank: int, kind: str) -> Column:
         def named(s: Column) -> Column:
             parts = {"start": s["start"], "rank": F.lit(rank), "end": s["end"], "kind": F.lit(kind), "value": s["value"]}
+            parts["left"] = F.lower(F.regexp_extract(s["before"], r"(?<!\S)(\S++)\s++\S*+$", 1))
+            parts["right"] = F.lower(F.regexp_extract(s["after"], r"^\S*+\s++(\S++)", 1))
             return F.struct(*[c.alias(n) for n, c in parts.items()])
 
         valid = F.filter(_located(text, _PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
         hint = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
-        return F.when(hint, F.transform(valid, named)).otherwise(F.array().cast(_SPAN))
+        return F.when(hint, F.transform(valid, named)).otherwise(F.array().cast(_BESIDE))
 
     return F.array_sort(F.concat(*[of(r, k) for r, k in enumerate(KINDS)]))
 
 
+def _plain(spans: Column) -> Column:
+    """Spans without the words beside them."""
+    return F.transform(spans, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "rank", "end", "kind", "value")]))
+
+
+def _covered(text: Column, spans: Column) -> Column:
+    """The text with letters in place of its spans, so that nothing moves."""
+    return masked(text, spans, lambda s: F.repeat(F.lit("x"), s["end"] - s["start"]))
+
+
 def _tokens(text: Column) -> Column:
-    """Tokens with a digit, without the punctuation around them, and the words beside them."""
+    """Tokens with a digit, tokens like an e-mail address and runs of numbers, without the punctuation
+    around them, and the words beside them."""
 
     def one(s: Column) -> Column:
         lead = F.char_length(F.regexp_extract(s["value"], r"^[^\p{L}0-9+]*+", 0))
@@ -134,17 +154,22 @@ def _tokens(text: Column) -> Column:
         )
 
     none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-    return F.when(text.rlike("[0-9]"), F.filter(F.transform(_located(text, _TOKEN), one), lambda t: t["end"] > t["start"])).otherwise(none)
+    def found(pattern: str) -> Column:
+        return F.filter(F.transform(_located(text, pattern), one), lambda t: t["end"] > t["start"])
+
+    return F.when(text.rlike("[0-9@]"), F.concat(found(_TOKEN), found(_NUMBERS))).otherwise(none)
 
 
 def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a")
+    """Digits are 9, words a; in an instance written with blanks a group of digits of any length is 9."""
+    shape = F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a")
+    return F.when(value.contains(" "), F.regexp_replace(shape, "9+", "9")).otherwise(shape)
 
 
 def _learned(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """Further instances and their kinds: inst, kind.
 
-    `tokens`: inst, shape, left, right of every token. `seeds`: inst, kind. Patterns and instances are
+    `tokens`: inst, shape, left, right of every instance's places. `seeds`: inst, kind. Patterns and instances are
     hashes, and equal edges are merged before they are shuffled.
     """
     sides = F.array(
@@ -178,13 +203,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
-    parsed = stored(rows.select("key", "doc_id", base_spans(text).alias("base"), _tokens(text).alias("tokens")), "pii")
+    beside = rows.select("key", "doc_id", "text", base_spans(text).alias("beside"))
+    uncovered = F.when(F.size("beside") > 0, _covered(text, F.col("beside"))).otherwise(text).alias("text")
+    parsed = beside.select("key", "doc_id", "beside", uncovered).select("key", "doc_id", "beside", _tokens(text).alias("tokens"))
+    parsed = stored(parsed, "pii").withColumn("base", _plain(F.col("beside")))
     tokens = parsed.select("key", F.explode("tokens").alias("t")).select("key", "t.start", "t.end", "t.value", "t.left", "t.right")
     tokens = tokens.withColumn("inst", F.xxhash64("value"))
     values = parsed.select(F.explode("base").alias("b")).select(F.xxhash64("b.value").alias("inst"), F.col("b.rank").alias("rank"))
     ranked = F.array(*[F.lit(k) for k in KINDS])
     seeds = stored(values.groupBy("inst").agg(F.get(ranked, F.min("rank")).alias("kind")), "pii-seeds")
-    learned = _learned(tokens.withColumn("shape", _shape(F.col("value"))).select("inst", "shape", "left", "right"), seeds)
+    spans = parsed.select(F.explode("beside").alias("b")).select(F.xxhash64("b.value").alias("inst"), "b.value", "b.left", "b.right")
+    instances = tokens.select("inst", "value", "left", "right").union(spans)
+    learned = _learned(instances.select("inst", _shape(F.col("value")).alias("shape"), "left", "right"), seeds)
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     more = tokens.join(learned, "inst").select("key", F.struct("start", rank.alias("rank"), "end", "kind", "value").alias("s"))
     more = more.groupBy("key").agg(F.collect_set("s").alias("more"))
@@ -192,7 +222,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def apart(s: Column) -> Column:
         return ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
-    added = F.filter(F.coalesce(F.col("more"), F.array().cast(_SPAN)), apart)
+    def whole(s: Column) -> Column:
+        """Not a piece of a longer one."""
+        return ~F.exists("more", lambda m: (m["start"] <= s["start"]) & (s["end"] <= m["end"]) & (m["end"] - m["start"] > s["end"] - s["start"]))
+
+    added = F.filter(F.coalesce(F.col("more"), F.array().cast(_SPAN)), lambda s: apart(s) & whole(s))
     return parsed.join(more, "key", "left").select("key", "doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
@@ -211,8 +245,12 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans by the first one's.
+def _bracketed(span: Column) -> Column:
+    return F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+
+
+def masked(text: Column, spans: Column, mask: Callable[[Column], Column] = _bracketed) -> Column:
+    """The text with each span replaced by its mask, the kind in brackets; overlapping spans by the first one's.
 
     A run of spans works on its own stretch of the text, so a place is not counted from the text's start
     for each span.
@@ -240,7 +278,7 @@ def masked(text: Column, spans: Column) -> Column:
         def add(part: Column) -> Column:
             def one(done: Column, s: Column) -> Column:
                 kept = F.substring(part, done["at"] + 1, s["start"] - first - done["at"])
-                return F.struct((s["end"] - first).alias("at"), F.concat(done["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+                return F.struct((s["end"] - first).alias("at"), F.concat(done["out"], kept, mask(s)).alias("out"))
 
             return F.aggregate(run["spans"], begin, one, lambda done: done["out"])
 

@@ -163,6 +163,14 @@ def test_contexts_discover_unseen_identifiers(docs_of):
     assert all(got[i].count("card") == 1 for i in range(12))
 
 
+def test_spans_with_blanks_and_plain_addresses_seed_the_graph(docs_of):
+    rows = [(i, f"w{chr(97 + i)} dial +1 (743) 555-38{i:02} today, write john{chr(97 + i)}@example.com soon") for i in range(12)]
+    rows += [(50, "so dial +1 (743) 555-38 today, ok"), (51, "then write jörg@müller.de, soon"), (52, "only 5 55 and x@y here")]
+    got = {r.doc_id: r.spans for r in pii.summary(pii.find(docs_of(rows))).collect()}
+    assert got[50] == "phone:8:23" and got[51] == "email:11:25" and got[52] == ""
+    assert all(got[i].count(":") == 4 for i in range(12))
+
+
 def test_masking(docs_of):
     rows = [(1, "é mail a@b.cc, ip 1.2.3.4."), (2, "+12345678901, 4111111111111111"), (3, None), (4, "none"), (4, "none"), (5, "+4111111111111111 x")]
     got = pii.without_pii(docs_of(rows))
