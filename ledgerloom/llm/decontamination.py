@@ -5,7 +5,7 @@ leaves it as it is. Seeds of the benchmark and of the documents are joined by ha
 the words are compared along its alignment. A document holds an item if a stretch of WIDTH words of the
 item (all of a shorter one) agrees with it in LEAST of the words, in place.
 
-Items of fewer words than the longest mask are looked for as a whole; those below SHORTEST words are too
+Items of fewer words than the longest mask are looked for as a whole, unchanged; those below SHORTEST words are too
 common to be evidence and are found nowhere.
 """
 
@@ -22,7 +22,10 @@ from ledgerloom.llm.frames import bitmap, in_bitmap, row_key, texts_of
 from ledgerloom.llm.text import batches, hash_words, windows
 from ledgerloom.session import stored
 
-MASKS = ("110110111", "1011101011", "1110011101", "1101010111")
+#: Whichever two words of 10 to 13 are changed, at least one of these masks leaves them out at some place.
+#: The masks from number _LONG on are for items of at least _SPAN words.
+MASKS = ("110110111", "1011101011", "1110011101", "1101010111", "111111", "1111011", "11011101", "111000111")
+_LONG = 4
 WIDTH = 13
 LEAST = 0.8
 SHORTEST = 5
@@ -88,6 +91,8 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for item, words in zip(frame["item"].tolist(), frame["words"], strict=True):
                 words = np.asarray(words, np.int64).view(np.uint64)
                 found = seeds(words, [n for n in whole if n == len(words)])
+                if len(words) < _SPAN:
+                    found = [s for k, s in enumerate(found) if not _LONG <= k < len(MASKS)]
                 places = np.concatenate([np.arange(len(s)) for s in found])
                 yield pd.DataFrame({"hash": np.concatenate(found).view(np.int64), "item": item, "at": places})
 

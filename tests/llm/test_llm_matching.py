@@ -170,6 +170,19 @@ def test_changed_words_are_tolerated(docs_of, spark):
     assert decontamination.without_passages(docs_of(docs), items_of(spark, [])).count() == len(docs)
 
 
+def test_any_two_changed_words_are_tolerated(docs_of, spark):
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (10, 11, 12, 13)]
+    docs = [
+        (10000 * n + 100 * a + b, " ".join(["so", *("zz" if k in (a, b) else w for k, w in enumerate(ws)), "on"]))
+        for n, ws in items
+        for a, b in itertools.combinations(range(n), 2)
+    ]
+    assert all(decontamination.needed(n) == n - 2 for n, _ in items)
+    table = items_of(spark, [(n, " ".join(ws), "x", "x") for n, ws in items])
+    got = {(r.doc_id, r.item_id) for r in decontamination.passages(docs_of(docs), table).collect()}
+    assert got == {(d, d // 10000) for d, _ in docs}
+
+
 def test_best_stretch_is_the_best():
     rng = np.random.default_rng(5)
     for _ in range(100):
