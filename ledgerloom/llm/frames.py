@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import stored
 
-#: Rows of one Arrow batch: texts may be long, so few rows at a time.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch: texts may be long, so few at a time. A longer row is a batch of its own.
+ARROW_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
+}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Bound the batches that Python workers receive."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(ARROW_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, value in ARROW_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

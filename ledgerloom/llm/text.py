@@ -11,8 +11,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 SHINGLE_WORDS = 5
-BATCH_BYTES = 2_000_000
-CHUNK_BYTES = 4_000_000
+#: Texts are worked on in batches of about BATCH_BYTES characters and hashed in chunks of CHUNK_BYTES, which
+#: bounds what a Python worker holds beside its Arrow batch. A single longer text is a batch of its own.
+BATCH_BYTES = 200_000
+CHUNK_BYTES = 400_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -41,34 +43,44 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 IS_WORD, _VALUE = _tables()
+#: Byte tables of words: case-folded words of letters and digits, and whatever stands between white space.
+FOLDED = IS_WORD, _VALUE
+_NOT_SPACE = (np.arange(256) != 32) & ((np.arange(256) < 9) | (np.arange(256) > 13))
+SPACED = _NOT_SPACE, np.where(_NOT_SPACE, constants(256, 13), np.uint64(0))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _power_steps(n: int, base: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; tables beyond the usual chunk are not kept."""
+    if n > CHUNK_BYTES + 4096:
+        return _power_steps(n, _BASE), _power_steps(n, _BASE_INVERSE)
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES // 4)
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
+        _powers[:] = [_power_steps(CHUNK_BYTES + 4096, _BASE), _power_steps(CHUNK_BYTES + 4096, _BASE_INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
 
-def _hash_chunk(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_chunk(data: np.ndarray, is_word: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every word of a chunk that cuts no word."""
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    inside[1:-1] = IS_WORD[data]
+    inside[1:-1] = is_word[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     power, inverse = power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=total[1:])
+    np.cumsum(value[data] * power[: len(data)], out=total[1:])
     return starts, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[str], table: tuple[np.ndarray, np.ndarray] = FOLDED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and where each text's words begin (len(texts) + 1)."""
+    is_word, value = table
     raw = [t.encode("utf-8", "replace") for t in texts]
     first = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(b) + 1 for b in raw], out=first[1:])
@@ -76,9 +88,9 @@ def hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts, hashes, at = [], [], 0
     while at < len(data):
         end = min(at + CHUNK_BYTES, len(data))
-        while end < len(data) and IS_WORD[data[end - 1]]:  # never cut inside a word
+        while end < len(data) and is_word[data[end - 1]]:  # never cut inside a word
             end += 1
-        s, h = _hash_chunk(data[at:end])
+        s, h = _hash_chunk(data[at:end], is_word, value)
         starts.append(s + at)
         hashes.append(h)
         at = end
