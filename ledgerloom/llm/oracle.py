@@ -110,3 +110,94 @@ SELECT doc_id, len(ws) AS n_words, len(spots) AS n_base, list_min(spots) - 1 AS
     CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
 FROM based LEFT JOIN noted USING (r)
 """
+
+
+#: Every prefix of every rebuilt conversation, and all pairs of a node and a node above it. CRC-32 bit by bit.
+PREFIX_TRIE = """
+WITH listed AS (
+    SELECT conv_id, list({'key': md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'size': strlen(coalesce(text, ''))}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+steps AS (
+    SELECT conv_id, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+        lambda x: list_concat([ascii(x)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))) AS bits
+    FROM listed
+),
+heads AS (
+    SELECT conv_id, xor(list_reduce(bits, lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+        WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384::BIGINT) ELSE crc // 2 END), 4294967295::BIGINT) % 9 AS h
+    FROM steps
+),
+rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+    FROM listed o JOIN heads USING (conv_id) LEFT JOIN listed b ON b.conv_id = o.conv_id - o.conv_id % 5
+),
+prefixes AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+members AS (
+    SELECT conv_id, depth, depth = len(turns) AS ends, CASE WHEN depth > 0 THEN turns[depth].size ELSE 0 END AS size,
+        array_to_string(list_transform(turns[1:depth], lambda t: t.key), '') AS prefix
+    FROM prefixes
+),
+nodes AS (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY prefix, depth
+),
+linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.prefix[1:32 * n.depth] = n.prefix) AS n_children
+    FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:32 * (n.depth - 1)]
+),
+above AS (SELECT prefix, unnest(range(0, depth + 1)) AS top, n_convs, size, n_children FROM linked),
+sums AS (
+    SELECT prefix[1:32 * top] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+    FROM above GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM linked JOIN sums USING (prefix)
+"""
+
+#: Every window as text.
+SUBSTRINGS = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+windows AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM starts),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM windows JOIN often USING (h)),
+places AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM places ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+#: All runs of one to three words, counted as text.
+COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+runs AS (
+    SELECT lang, k AS size, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) ks(k) WHERE len(ws) >= k)
+),
+counts AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE size > 1 AND f >= 10),
+cut AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+cuts AS MATERIALIZED (SELECT *, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest FROM cut),
+scores AS (
+    SELECT c.*, x.f AS l, y.f AS r, 1000000 * a::HUGEINT * a // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head
+    JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest
+),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scores),
+longer AS (
+    SELECT lang, phrase, max(a) AS held FROM (
+        SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM candidates WHERE size = 3)
+    GROUP BY lang, phrase
+),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN longer USING (lang, phrase) WHERE nth = 1 AND (held IS NULL OR 100 * held < 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""

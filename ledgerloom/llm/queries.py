@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import oracle
+from ledgerloom.llm.collocations import collocations
 from ledgerloom.llm.decontamination import passages
 from ledgerloom.llm.fingerprints import fingerprint_next
 from ledgerloom.llm.frames import table
@@ -16,6 +17,8 @@ from ledgerloom.llm.jaccard_join import classes
 from ledgerloom.llm.licenses import BLOCK, CONTAINMENT, PHRASES, STEP, TEMPLATES, scan
 from ledgerloom.llm.packing import pack, word_count
 from ledgerloom.llm.pii import find, summary
+from ledgerloom.llm.prefix_trie import prefix_trie
+from ledgerloom.llm.substrings import without_repeats
 from ledgerloom.llm.token_output import token_output
 from ledgerloom.llm.toxicity import toxicity
 from ledgerloom.llm.url_lists import judge, page_captures, page_lists, validity
@@ -72,6 +75,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, word_count(F.col("text")), tie=F.xxhash64("text"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
@@ -83,10 +99,16 @@ QUERIES: dict[str, Query] = {
     "op8_token_id_output": op8_token_id_output,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_packing": op10_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_phrase_collocation_mining": op13_phrase_collocation_mining,
 }
 #: The others can't be written in SQL; tests compare them with brute force.
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.NGRAM_JACCARD,
     "op5_url_filters": oracle.URL_LISTS,
     "op7_license_scans": oracle.licenses(PHRASES, TEMPLATES, CONTAINMENT, BLOCK, STEP),
+    "op11_conversation_prefix_trie": oracle.PREFIX_TRIE,
+    "op12_substring_dedup": oracle.SUBSTRINGS,
+    "op13_phrase_collocation_mining": oracle.COLLOCATIONS,
 }
