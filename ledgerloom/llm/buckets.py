@@ -57,7 +57,7 @@ def chunk_ids() -> Iterator[int]:
 
 def bucket_bits(values: int) -> int:
     """Bits of the bucket number for so many values."""
-    return min(30, max(4, int(np.ceil(np.log2(max(1, values) / BUCKET_VALUES)))))
+    return min(30, max(1, int(np.ceil(np.log2(max(1, values) / BUCKET_VALUES)))))
 
 
 def met(
@@ -73,6 +73,7 @@ def met(
     byte strings or not at all.
     """
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(bits, (2 * parts).bit_length())  # work for every task, few values or many
     shift = np.uint64(64 - bits)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
