@@ -30,9 +30,11 @@ from ledgerloom.plans.ingest import write_order_models
 from ledgerloom.sample_store import SampleStore
 from ledgerloom.session import configure, scratch_dir
 from ledgerloom.sources.calendar import days_spanned
+from ledgerloom.sources.keyindex import files_with
 from ledgerloom.sources.lake import read_lake
 from ledgerloom.sources.models import model_path, read_csv, read_model, write_csv, write_model
 from ledgerloom.sources.schemas import LAKE
+from ledgerloom.sources.snapshots import current, listed, read_files, schema_of
 
 TZ = "Asia/Kolkata"
 NEW_YORK = "America/New_York"
@@ -1382,6 +1384,76 @@ def ingest_orders_job(s):
     return shown(union)
 
 
+#: The runs' lake days, and what each says of the orders it holds.
+VERSIONS = {"2024-01-05": ("2024-01-05", "PENDING"), "2024-01-07": ("2024-01-07", "PAID")}
+
+
+def _versions(s: SampleStore, day: str) -> DataFrame:
+    """All orders as of the earlier day; as of the later one those of 100,000 or more, paid 365 days later."""
+    rows = _order_models(s).drop("date").withColumn("lake_date", F.lit(day)).withColumn("financial_status", F.lit(VERSIONS[day][1]))
+    if day == max(VERSIONS):
+        moved = F.expr("transform(transactions, t -> date_format(cast(t.createdAt AS timestamp) + INTERVAL 365 DAYS, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"))")
+        late = F.zip_with("transactions", moved, lambda t, m: t.withField("createdAt", m))
+        rows = rows.where("received_shop >= 100000").withColumn("transactions", late)
+    return rows
+
+
+def _reingested(s: SampleStore, days: list[str]) -> str:
+    root = scratch_dir(s.spark, "models")
+    for day in days:
+        write_order_models(_versions(s, day), root, small_bytes=0)
+    return root
+
+
+@query(
+    "reingest_versions",
+    Q.with_base(
+        final="tenant_id AS tenantid, order_id, CASE WHEN o_totalprice >= 100000 THEN 'PAID' ELSE 'PENDING' END AS financial_status, "
+        "CASE WHEN o_totalprice >= 100000 THEN '2024-01-07' ELSE '2024-01-05' END AS lake_date FROM fx_orders"
+    ),
+)
+def reingest_versions(s):
+    """Runs over the earlier day, the later one and the earlier one again: the later version stays."""
+    first, second = VERSIONS
+    root = _reingested(s, [first, second, first])
+    return read_model(s.spark, root, "orders", None, "created_year").select("tenantid", "order_id", "financial_status", "lake_date")
+
+
+@query(
+    "reingest_moved_year",
+    Q.with_base(
+        "fees AS (SELECT fx_orders.tenant_id, order_id, transaction_at + CASE WHEN o_totalprice >= 100000 THEN INTERVAL 365 DAY "
+        "ELSE INTERVAL 0 DAY END AS paid_at FROM fx_transactions t JOIN fx_orders USING (order_id) WHERE o_orderkey % 7 <> 0)",
+        final=f"DISTINCT tenant_id AS tenantid, order_id, {at_sql('paid_at')}, strftime(paid_at, '%Y') AS transaction_year FROM fees",
+    ),
+)
+def reingest_moved_year(s):
+    """Transactions that a later version dates 365 days later leave the year they were stored in."""
+    rows = read_model(s.spark, _reingested(s, list(VERSIONS)), "transactions", None, "transaction_year")
+    return rows.withColumnRenamed("transaction_at", "paid_at").select("tenantid", "order_id", at("paid_at"), "transaction_year").distinct()
+
+
+@query(
+    "reingest_indexed",
+    Q.with_base(
+        final="tenant_id AS tenantid, strftime(order_created_at, '%Y') AS year, count(*) AS orders, "
+        "count(*) FILTER (o_totalprice >= 100000) AS replaced FROM fx_orders GROUP BY ALL"
+    ),
+)
+def reingest_indexed(s):
+    """What the files that the index names hold of the orders to replace: all of them."""
+    root = _reingested(s, [min(VERSIONS)])
+    files = listed(s.spark, root, current(s.spark, root))
+    keys = _versions(s, max(VERSIONS)).select("tenantid", "order_id").distinct()
+    some = files_with(s.spark, root, "orders", files, keys)
+    schema = schema_of(files, "orders")
+    found = read_files(s.spark, root, "orders", some, schema, "created_year").join(keys, ["tenantid", "order_id"], "left_semi")
+    year = F.col("created_year").alias("year")
+    replaced = found.groupBy("tenantid", year).agg(F.count("*").alias("replaced"))
+    every = read_model(s.spark, root, "orders", None, "created_year").groupBy("tenantid", year).agg(F.count("*").alias("orders"))
+    return every.join(replaced, ["tenantid", "year"], "left").fillna(0, ["replaced"])
+
+
 @query(
     "parquet_year_roundtrip",
     Q.with_base(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.sources.models import read_model
+from ledgerloom.sources.snapshots import current
 
 
 @dataclass(frozen=True)
@@ -34,10 +35,11 @@ def load_tables(
     tenant: str | None = None,
     years: tuple[int, int] | None = None,
 ) -> StoreTables:
-    """Read the models of one store, or of all stores keyed by `tenantid`."""
+    """Read the models of one store, or of all stores keyed by `tenantid`, all from one snapshot."""
+    snapshot = current(spark, root)
 
     def read(table: str, year: str | None = None) -> DataFrame:
-        df = read_model(spark, root, table, tenant, year, years)
+        df = read_model(spark, root, table, tenant, year, years, snapshot)
         return df if tenant is None else df.drop("tenantid")
 
     return StoreTables(

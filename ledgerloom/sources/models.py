@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.session import stored
+from ledgerloom.sources.snapshots import read_snapshot
 
 
 def model_path(root: str, table: str) -> str:
@@ -22,13 +24,17 @@ def read_model(
     tenant: str | None = None,
     year_column: str | None = None,
     years: tuple[int, int] | None = None,
+    snapshot: int | None = None,
 ) -> DataFrame:
     """Scan a model of one store, or of all stores when no tenant is given.
 
+    A model that a snapshot lists is read as of the latest one, or of `snapshot`; others by their folder.
     `tenantid` and the year come from the path. Both filters are on partition columns, so other
     stores and years are pruned before any file is opened.
     """
-    df = spark.read.parquet(model_path(root, table))
+    df = read_snapshot(spark, root, table, year_column, tenant, years, snapshot)
+    if df is None:
+        df = spark.read.parquet(model_path(root, table))
     if tenant is not None:
         df = df.where(F.col("tenantid") == tenant)
     if year_column and years:
@@ -36,6 +42,16 @@ def read_model(
     return df
 
 
+def folder_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The rows of a model's folder, or None if there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def write_model(
     df: DataFrame,
     path: str,
@@ -82,12 +98,9 @@ def _with_kept_rows(
     Touched are the partitions the batch has rows in and those that hold a row it replaces, found by a
     scan of keys and partition columns alone. The joins on partition columns prune folders at run time.
     """
-    try:
-        model = df.sparkSession.read.schema(df.schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return df, None
-        raise
+    model = folder_rows(df.sparkSession, path, df.schema)
+    if model is None:
+        return df, None
     columns = list(partitions)
     if replaced is not None:
         gone = model.join(replaced, replaced.columns, "left_semi")

@@ -8,14 +8,17 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.timekeys import in_local_range, prune_years, utc_years
 from ledgerloom.operators import ingest_orders as O
 from ledgerloom.operators import ingest_settings as S
+from ledgerloom.plans import ingest
 from ledgerloom.plans.ingest import ingest_orders, ingest_settings
 from ledgerloom.plans.orders import order_page
 from ledgerloom.plans.period import period_pnl
 from ledgerloom.plans.tables import load_tables
+from ledgerloom.sources import keyindex, snapshots
 from ledgerloom.sources.calendar import calendar
 from ledgerloom.sources.lake import CURRENT_PARTITION, ORDER_LINES, read_lake
 from ledgerloom.sources.models import model_path, read_csv, read_model, write_csv, write_model
@@ -157,7 +160,8 @@ def test_reingest_replaces_moved_and_removed_rows(spark, tmp_path):
     ingest_orders(spark, lake, models, "2020-01-07", "2020-01-07")
     left = stored_orders(spark, models, "fulfillments").collect()
     assert [(r.order_id, str(r.fulfillment_year)) for r in left] == [("gid/1", "2021")]
-    assert os.listdir(f"{model_path(models, 'fulfillments')}/tenantid=A") == ["fulfillment_year=2021"]
+    files = snapshots.listed(spark, models, snapshots.current(spark, models)).where("table = 'fulfillments' and file is not null")
+    assert [(r.tenantid, r.year) for r in files.collect()] == [("A", "2021")]
     assert stored_orders(spark, models).count() == 2
 
 
@@ -171,6 +175,140 @@ def test_one_run_over_days_keeps_the_latest_version(spark, tmp_path):
         assert sorted(r.order_name for r in stored_orders(spark, models).collect()) == names
 
 
+def everything(spark, models):
+    """All rows of the four order models, without the names of runs."""
+    out = []
+    for table in ("orders", "sales_items", "transactions", "fulfillments"):
+        out.append(sorted((repr(r.asDict(recursive=True)) for r in read_model(spark, models, table).collect())))
+    return out
+
+
+def test_runs_end_alike_in_any_order(spark, tmp_path):
+    """A stored order gives way to later versions only, whatever the order of runs."""
+    lake, table = f"{tmp_path}/lake", "rawShopifyOrdersCreated"
+    put(lake, "A", table, "2020-01-05", document(1, displayFinancialStatus="PENDING"), document(2))
+    put(lake, "A", table, "2020-01-06", document(2, fulfillments=[]), document(3))
+    put(lake, "A", table, "2020-01-07", document(1, agreements={"edges": []}))
+    ends = []
+    for i, runs in enumerate(([(5, 5), (6, 6), (7, 7)], [(7, 7), (5, 6), (5, 5)], [(5, 7)])):
+        models = f"{tmp_path}/models-{i}"
+        for first, last in runs:
+            ingest_orders(spark, lake, models, f"2020-01-0{first}", f"2020-01-0{last}")
+        ends.append(everything(spark, models))
+    assert all(e == ends[0] for e in ends[1:])
+    statuses = {r.order_id: (r.financial_status, r.lake_date) for r in stored_orders(spark, models).collect()}
+    assert statuses == {"gid/1": ("PAID", "2020-01-07"), "gid/2": ("PAID", "2020-01-06"), "gid/3": ("PAID", "2020-01-06")}
+
+
+def orders_of(spark, numbers, **other):
+    """Orders whose numbers begin with the year of all their dates, or are of 2015."""
+
+    def text(n):
+        day = f"{n // 1000 or 2015}-0{1 + n % 9}-05T10:00:00Z"
+        made = document(n, created=day, **other)
+        told = json.dumps(made["json"])
+        return told.replace("2020-01-06T10:00:00Z", day).replace("2020-01-05T10:01:00Z", day).replace("2019-12-31T23:30:00Z", day)
+
+    texts = [text(n) for n in numbers]
+    raw = spark.createDataFrame([("A", t) for t in texts], "tenantid string, json string")
+    return O.orders_model(O.parse_orders(raw))
+
+
+def test_a_run_killed_between_two_models_is_not_seen(spark, tmp_path, monkeypatch):
+    models = str(tmp_path)
+    ingest.write_order_models(orders_of(spark, range(5)), models)
+    before, number = everything(spark, models), snapshots.current(spark, models)
+    write, written = ingest.write_batch, []
+
+    def killed(rows, root, table, *rest):
+        if table in ("transactions", "fulfillments"):
+            raise KeyboardInterrupt
+        write(rows, root, table, *rest)
+        written.append(table)
+
+    monkeypatch.setattr(ingest, "write_batch", killed)
+    with pytest.raises(KeyboardInterrupt):
+        ingest.write_order_models(orders_of(spark, range(3, 9), displayFinancialStatus="VOIDED"), models)
+    monkeypatch.undo()
+    assert sorted(written) == ["orders", "sales_items"] and snapshots.current(spark, models) == number
+    assert everything(spark, models) == before
+    ingest.write_order_models(orders_of(spark, range(3, 9), displayFinancialStatus="VOIDED"), models)
+    assert read_model(spark, models, "orders").count() == 9
+    # a reader of the old snapshot still sees it, until it is dropped with the folders nobody names
+    assert read_model(spark, models, "orders", snapshot=number).count() == 5
+    gone = snapshots.drop_old(spark, models, keep=1)
+    assert any("_snapshots" in g for g in gone) and sum("/orders/batch=" in g for g in gone) == 2
+    assert read_model(spark, models, "orders").count() == 9
+
+
+def test_two_runs_at_once_cannot_both_publish(spark, tmp_path):
+    models = str(tmp_path)
+    ingest.write_order_models(orders_of(spark, [1]), models)
+    number = snapshots.current(spark, models)
+    files = snapshots.listed(spark, models, number)
+    assert snapshots.publish(spark, models, files, number) == number + 1
+    with pytest.raises(snapshots.PublishConflict):
+        snapshots.publish(spark, models, files, number)
+    assert read_model(spark, models, "orders").count() == 1
+
+
+def opened(df):
+    return {os.path.basename(f) for f in df.inputFiles()}
+
+
+def test_a_day_opens_a_share_of_ten_years(spark, tmp_path):
+    models = str(tmp_path)
+    ingest.write_order_models(orders_of(spark, [1000 * year + i for year in range(2010, 2020) for i in range(30)]), models, small_bytes=0)
+    files = snapshots.listed(spark, models, snapshots.current(spark, models)).where("file is not null")
+    per_table = {r.table: r.n for r in files.groupBy("table").agg(F.count("*").alias("n")).collect()}
+    assert per_table["orders"] >= 10
+    keys = spark.createDataFrame([("A", "gid/2013007"), ("A", "gid/2019001"), ("A", "gid/2013999"), ("B", "gid/2013007")], "tenantid string, order_id string")
+    for table in per_table:
+        found = keyindex.files_with(spark, models, table, files, keys).collect()
+        assert 2 <= len(found) <= 4, (table, found)
+    moved = orders_of(spark, [2013007], displayFinancialStatus="VOIDED")
+    ingest.write_order_models(moved, models, small_bytes=0)
+    after = snapshots.listed(spark, models, snapshots.current(spark, models)).where("file is not null and table = 'orders'")
+    same = files.join(after, ["table", "batch", "tenantid", "year", "file"], "left_semi").where("table = 'orders'").count()
+    assert same == per_table["orders"] - 1  # the one file that held the order is replaced
+    rows = read_model(spark, models, "orders")
+    assert rows.count() == 300
+    assert [r.financial_status for r in rows.where("order_id = 'gid/2013007'").collect()] == ["VOIDED"]
+    # the list alone keeps other years' files from being opened
+    one = read_model(spark, models, "orders", "A", "created_year", (2013, 2013))
+    assert one.count() == 30 and len(opened(one)) == after.where("year = '2013'").count()
+
+
+def test_ids_are_found_in_their_files(spark, tmp_path):
+    """No file that holds an id is missed, few others are found, whatever the ids' order."""
+    models, schema = str(tmp_path), "order_id string, tenantid string, y string"
+    files = None
+    for b in range(3):
+        rows = spark.createDataFrame([(f"o{(i * 7919 + b) % 3000 * 3 + b}", "t/%s" % (i % 2), str(2000 + i % 3) if i % 5 else None) for i in range(3000)], schema)
+        snapshots.write_batch(rows, models, "m", f"b{b}", "y", ["order_id"])
+        back = spark.read.schema(rows.schema).option("basePath", f"{models}/models/m").parquet(f"{models}/models/m/batch=b{b}")
+        one = keyindex.describe(spark, models, "m", f"b{b}", back, "y")
+        files = one if files is None else files.unionByName(one)
+    files = files.cache()
+    keys = spark.createDataFrame([(f"t/{t}", f"o{k}") for t in range(3) for k in (0, 1, 2, 4444, 8999, 99999)], "tenantid string, order_id string")
+    every = snapshots.read_files(spark, models, "m", files, T.StructType.fromDDL(schema), "y")
+    held = {tuple(r) for r in every.join(keys, ["tenantid", "order_id"]).select("batch", "tenantid", "y", "file").collect()}
+    found = {(r.batch, r.tenantid, r.year, r.file) for r in keyindex.files_with(spark, models, "m", files, keys).collect()}
+    assert held <= found and every.count() == 9000
+    assert len(found - held) <= 2
+
+
+def test_models_of_plain_folders_are_taken_over(spark, tmp_path):
+    models = str(tmp_path)
+    old = orders_of(spark, range(6))
+    write_model(old, model_path(models, "orders"), ["tenantid", "created_year"])
+    write_model(O.transactions_model(old), model_path(models, "transactions"), ["tenantid", "transaction_year"])
+    ingest.write_order_models(orders_of(spark, [5, 6], displayFinancialStatus="VOIDED"), models)
+    rows = read_model(spark, models, "orders").collect()
+    assert sorted((r.order_id, r.financial_status) for r in rows) == [(f"gid/{n}", "VOIDED" if n > 4 else "PAID") for n in range(7)]
+    assert read_model(spark, models, "transactions").select("order_id").distinct().count() == 7
+
+
 def test_ads_of_a_range_leave_other_days(spark, tmp_path):
     lake, models = f"{tmp_path}/lake", f"{tmp_path}/models"
     for tenant in ("A", "B"):
