@@ -52,6 +52,8 @@ def write_models(store: SampleStore) -> StoreTables:
         if field.name == "scope":
             continue
         df = getattr(tables, field.name)
+        if field.name == "order_shipping":  # the input the recorded timings were made with
+            df = store.every_order_shipping().where("o_totalprice >= 495000").drop("o_totalprice")
         parts, order = [], []
         if field.name in YEARS:
             instant, prefix = YEARS[field.name]
