@@ -15,9 +15,6 @@ from ledgerloom.session import stored
 
 BUDGET = 65_536
 BUCKETS = 24
-#: Lengths below FINE are counted one by one, longer ones in steps of 1/FINE to 2/FINE of their size.
-#: A histogram so has FINE / 2 bins a doubling at most, whatever the number of documents.
-FINE = 1024
 #: Documents numbered together in one task.
 SHARD_ROWS = 1024
 
@@ -27,19 +24,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def bin_top(length: Column) -> Column:
-    """The longest length of the histogram bin that a length falls in, 1 at least."""
-    n = F.greatest(length, F.lit(1).cast("long"))
-    # the step is 2**k with FINE/2 <= n / 2**k < FINE, so rounding up adds less than 2/FINE of n
-    k = F.greatest(F.lit(0), F.floor(F.log2(n.cast("double"))).cast("int") + 1 - int(np.log2(FINE)))
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    return F.floor((n + step - 1) / step).cast("long") * step
-
-
 def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """At most `buckets` bin tops, the last one the largest, with the least padding.
+    """At most `buckets` of the lengths `tops`, the last one the largest, with the least padding.
 
-    Padding to the top of the bucket costs top x documents. With P(j) documents in the first j bins,
+    Padding to the top of the bucket costs top x documents. With P(j) documents of the first j lengths,
     best(k, j) = min over i of best(k - 1, i) + tops[j] * (P(j) - P(i)): for fixed k the candidates i are
     lines over tops[j] of falling slope, so their lower envelope answers rising tops in one sweep.
     """
@@ -86,20 +74,19 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", tie: Column |
     rows = docs.select(
         F.col(id_col).alias("doc_id"), length.cast("long").alias("length"), (F.lit(0) if tie is None else tie).cast("long").alias("tie")
     )
-    rows = stored(rows.withColumn("top", bin_top(F.col("length"))), "lengths")
-    histogram = rows.groupBy("top").agg(F.count("*").alias("n")).orderBy("top").toPandas()
+    rows = stored(rows, "lengths")
+    # as many rows as there are different lengths
+    histogram = rows.groupBy(F.greatest("length", F.lit(1).cast("long")).alias("top")).agg(F.count("*").alias("n")).orderBy("top").toPandas()
     tops, counts = histogram["top"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64)
     ends = best_boundaries(tops, counts, buckets)
-    spark = docs.sparkSession
-    table, low = [], 0
-    for b, end in enumerate(ends):
-        n = int(counts[(tops > low) & (tops <= end)].sum())
-        table += [(int(t), b, end, max(1, budget // end), -(-n // SHARD_ROWS)) for t in tops[(tops > low) & (tops <= end)]]
-        low = end
-    # as many rows as the histogram has bins
-    plan = spark.createDataFrame(table, "top long, bucket int, padded_length long, fits long, shards long")
+    sizes = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(tops, ends, side="right")], prepend=0)
+    shards = [int(-(-n // SHARD_ROWS)) for n in sizes]
+    ends_, shards_ = (F.array(*[F.lit(v).cast("long") for v in values or [1]]) for values in (ends, shards))
     mixed = F.xxhash64("doc_id", "tie", "length")
-    placed = rows.join(F.broadcast(plan), "top").withColumn("shard", F.pmod(mixed, F.col("shards"))).withColumn("mixed", mixed)
+    bucket = F.size(F.filter(ends_, lambda e: e < F.col("length")))
+    placed = rows.withColumn("bucket", bucket).withColumn("padded_length", F.get(ends_, F.col("bucket")))
+    placed = placed.withColumn("fits", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("padded_length")).cast("long")))
+    placed = placed.withColumn("shard", F.pmod(mixed, F.get(shards_, F.col("bucket")))).withColumn("mixed", mixed)
     in_shard = Window.partitionBy("bucket", "shard").orderBy("mixed", "doc_id", "tie", "length")
     numbered = placed.withColumn("at", F.row_number().over(in_shard) - 1)
     sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))

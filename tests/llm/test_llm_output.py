@@ -25,9 +25,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def tokenizer():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 def words(t):
@@ -93,6 +91,9 @@ def test_token_files_of_odd_rows(docs_of, monkeypatch):
     monkeypatch.setattr(token_output, "FILE_TOKENS", 50)
     got = token_output.token_output(docs_of(list(enumerate(ODD))), PATH).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == expected_tokens(list(enumerate(ODD)))
+    special = [(1, "hello <|endoftext|> world"), (2, "plain"), (3, "<|endoftext|>"), (4, "a <|endoftext|>" * 3), (5, " <|endoftext"), (6, "")]
+    got = token_output.token_output(docs_of(special), PATH).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == expected_tokens(special) and 0 in tokenizer().encode(special[0][1]).ids + [0]
     repeated = token_output.token_output(docs_of([(None, "q"), (3, "a"), (3, "a"), (3, None)]), PATH)
     got = sorted(tuple(r) for r in repeated.select("start", "n_tokens", F.coalesce("doc_id", F.lit(-1))).collect())
     assert got[0] == (0, 2, -1) and sorted(n for _, n, _ in got[1:]) == [1, 2, 2]
@@ -115,11 +116,25 @@ def test_boundaries_are_optimal():
         assert len(got) <= k and got[-1] == tops[-1] and cost(got) == best
 
 
-def test_bins_hold_their_lengths(spark):
-    n = [1, 2, 1023, 1024, 1025, 2047, 2048, 2049, 123_457, 10**9]
-    got = spark.createDataFrame([(x,) for x in [0, *n]], "n long").select("n", packing.bin_top(F.col("n")).alias("t")).collect()
-    for r in got:
-        assert max(r.n, 1) <= r.t <= max(r.n, 1) * (1 + 2 / packing.FINE) and (r.n >= packing.FINE or r.t == max(1, r.n))
+def least_padded(lengths, buckets):
+    """Fewest padded words of any choice of bucket ends, by trying all of them length by length."""
+    tops = sorted(set(lengths))
+    seen = [sum(1 for x in lengths if x <= t) for t in tops]
+    best = [t * n for t, n in zip(tops, seen, strict=True)]
+    for _ in range(buckets - 1):
+        best = [min([best[j], *(best[i] + tops[j] * (seen[j] - seen[i]) for i in range(j))]) for j in range(len(tops))]
+    return best[-1]
+
+
+def test_padding_is_least_over_true_lengths(docs_of):
+    """No length is rounded, however long; the optimum is over the lengths as they are."""
+    rng = random.Random(8)
+    lengths = [int(1.5 ** rng.uniform(0, 22)) for _ in range(300)] + [5000] * 40 + [5001] * 3
+    docs = docs_of([(i, "w " * n) for i, n in enumerate(lengths)])
+    for buckets in (1, 4, 24):
+        rows = packing.pack(docs, packing.word_count(F.col("text")), buckets=buckets).collect()
+        check_batches(rows, packing.BUDGET)
+        assert sum(r.padded_length for r in rows) == least_padded(lengths, buckets)
 
 
 def check_batches(rows, budget):
