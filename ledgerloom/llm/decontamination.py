@@ -5,8 +5,10 @@ leaves it as it is. Seeds of the benchmark and of the documents are joined by ha
 the words are compared along its alignment. A document holds an item if a stretch of WIDTH words of the
 item (all of a shorter one) agrees with it in LEAST of the words, in place.
 
-Items of fewer words than the longest mask are looked for as a whole, unchanged; those below SHORTEST words are too
-common to be evidence and are found nowhere.
+Items of fewer words than the longest mask have masks of their own length, each of which leaves out every third
+word: whichever word is changed, one of the three doesn't see it, and `needed` allows them one changed word. Such
+an item has to stand inside the document, not over its ends.
+Items below SHORTEST words are too common to be evidence and are found nowhere.
 """
 
 from __future__ import annotations
@@ -35,12 +37,18 @@ MAP_BITS = 24
 
 _PLACES = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 _SPAN = max(map(len, MASKS))
+_THIRDS = 3
 
 
-def seeds(words: np.ndarray, whole: list[int]) -> list[np.ndarray]:
-    """Hash of every window by mask, then by whole length; the place in each array is the first word's."""
+def short_places(n: int) -> list[list[int]]:
+    """Places that the masks of items of n words see."""
+    return [[i for i in range(n) if i % _THIRDS != k] for k in range(_THIRDS)]
+
+
+def seeds(words: np.ndarray, short: list[int]) -> list[np.ndarray]:
+    """Hash of every window by mask, then by the masks of short lengths; the place in each array is the first word's."""
     spaced = [windows(words, len(m), p, seed=101 + k) for k, (m, p) in enumerate(zip(MASKS, _PLACES, strict=True))]
-    return spaced + [windows(words, n, seed=201 + n) for n in whole]
+    return spaced + [windows(words, n, p, seed=201 + _THIRDS * n + k) for n in short for k, p in enumerate(short_places(n))]
 
 
 def best_stretch(document: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -83,14 +91,14 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = stored(_item_words(benchmark), "items")
-    short = items.where(F.size("words") < _SPAN).select(F.size("words").alias("n")).distinct().collect()
-    whole = sorted(r["n"] for r in short)  # lengths below the span: fewer than it
+    lengths = items.where(F.size("words") < _SPAN).select(F.size("words").alias("n")).distinct().collect()
+    short = sorted(r["n"] for r in lengths)  # lengths below the span: fewer than it
 
     def seeded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for item, words in zip(frame["item"].tolist(), frame["words"], strict=True):
                 words = np.asarray(words, np.int64).view(np.uint64)
-                found = seeds(words, [n for n in whole if n == len(words)])
+                found = seeds(words, [n for n in short if n == len(words)])
                 if len(words) < _SPAN:
                     found = [s for k, s in enumerate(found) if not _LONG <= k < len(MASKS)]
                 places = np.concatenate([np.arange(len(s)) for s in found])
@@ -106,9 +114,9 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for a, b in batches(texts):
                 words, offsets = hash_words(texts[a:b])
                 ends = np.repeat(offsets[1:], np.diff(offsets))
-                spans = [len(m) for m in MASKS] + whole
+                spans = [len(m) for m in MASKS] + [n for n in short for _ in range(_THIRDS)]
                 places, hashes = [], []
-                for span, found in zip(spans, seeds(words, whole), strict=True):
+                for span, found in zip(spans, seeds(words, short), strict=True):
                     at = np.flatnonzero(in_bitmap(known.value, found, MAP_BITS))
                     at = at[at + span <= ends[at]]
                     places.append(at)
@@ -136,8 +144,15 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.select("key", "low", F.col("hit.places").alias("place"), F.col("hit.hashes").alias("hash"))
     # a meeting is known by its document, stretch, item and alignment, however many seeds agree on it
     meetings = hits.join(item_seeds, "hash").select("key", "low", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    meetings = meetings.join(items.select("item", F.size("words").alias("n")), "item")
     around = found.dropDuplicates(["key", "low"]).select("key", "low", "doc_id", F.col("words").alias("document"))
-    pairs = meetings.join(around, ["key", "low"]).join(items, "item")
+    # of a stretch as long as its text, only the words along the alignment go on
+    first = F.greatest("shift", F.lit(0))
+    along = F.slice("document", first + 1, F.greatest(F.col("n") + F.least("shift", F.lit(0)), F.lit(0)))
+    pairs = meetings.join(around, ["key", "low"]).select(
+        "key", "doc_id", "item", along.alias("document"), (F.col("low") + first).alias("low"), (F.col("shift") - first).alias("shift")
+    )
+    pairs = pairs.join(items, "item")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

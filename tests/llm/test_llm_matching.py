@@ -128,10 +128,10 @@ def brute_passages(docs, items):
         if len(v) < decontamination.SHORTEST:
             continue
         width = min(decontamination.WIDTH, len(v))
-        for shift in range(-len(v), len(w) + 1):
+        for shift in range(-len(v), len(w) + 1) if len(v) >= 10 else range(len(w) - len(v) + 1):
             equal = [int(0 <= k + shift < len(w) and w[k + shift] == v[k]) for k in range(len(v))]
             best = max(sum(equal[k : k + width]) for k in range(len(v) - width + 1))
-            if best >= (decontamination.needed(width) if len(v) >= 10 else len(v)):
+            if best >= decontamination.needed(width):
                 out.add((d, i))
     return out
 
@@ -191,3 +191,28 @@ def test_best_stretch_is_the_best():
         width = min(13, len(i))
         equal = [int(0 <= k + shift < 40 and d[k + shift] == i[k]) for k in range(len(i))]
         assert decontamination.best_stretch(d, i, shift)[0] == max(sum(equal[k : k + width]) for k in range(len(i) - width + 1))
+
+
+def test_short_items_survive_any_changed_word(spark, docs_of):
+    """Items of 5 to 9 words with one word changed are found, with two they aren't; all places are tried."""
+    items, docs, wanted = [], [], set()
+    for n in range(5, 10):
+        assert decontamination.needed(n) == n - 1
+        own = [f"s{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        for k in range(n):
+            one = [w if i != k else "other" for i, w in enumerate(own)]
+            docs.append((100 * n + k, " ".join(["before it", *one, "after"])))
+            wanted.add((100 * n + k, n))
+            two = [w if i not in (k, (k + 1) % n) else "other" for i, w in enumerate(own)]
+            docs.append((100 * n + 50 + k, " ".join(["before", *two])))
+    got = decontamination.passages(docs_of(docs), items_of(spark, [(*i, "x", "x") for i in items])).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == wanted == brute_passages(docs, items)
+
+
+def test_stretches_full_of_hits_are_cut(spark, docs_of):
+    """A text that repeats an item throughout is one stretch; a meeting takes along the item's length of it."""
+    own = [f"r{k}" for k in range(14)]
+    docs = [(1, " ".join(own * 3000)), (2, " ".join(own[2:])), (3, " ".join(own[:4]))]
+    got = decontamination.passages(docs_of(docs), items_of(spark, [(7, " ".join(own), "x", "x"), (8, " ".join(own[:6]), "x", "x")])).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.matched) for r in got} == {(1, 7, 0, 13), (1, 8, 0, 6), (2, 7, -1, 12)}  # one word before the text
