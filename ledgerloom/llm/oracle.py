@@ -76,7 +76,7 @@ FROM captures LEFT JOIN judged USING (r)
 """
 
 
-def licenses(phrases: dict[str, str], templates: dict[str, str], containment: float, block: int, step: int) -> str:
+def licenses(phrases: dict[str, str], templates: dict[str, str], containment: float) -> str:
     """Every block of every text against every template, and every place against every phrase."""
     import re
 
@@ -91,16 +91,16 @@ def licenses(phrases: dict[str, str], templates: dict[str, str], containment: fl
     found = ", ".join(f"{places(p)} AS p{i}" for i, p in enumerate(phrases))
     every = " || ".join(f"p{i}" for i in range(len(phrases)))
     base = " || ".join(f"(CASE WHEN len(p{i}) > 0 THEN ['{label}'] ELSE [] END)" for i, label in enumerate(phrases.values()))
-    notices = ", ".join(f"('{label}', {sql_list(sorted(set(re.findall('[a-z0-9]+', t.lower()))))})" for label, t in templates.items())
+    words = {name: re.findall("[a-z0-9]+", t.lower()) for name, t in templates.items()}
+    notices = ", ".join(f"('{name.split('/')[0]}', {sql_list(sorted(set(w)))}, {len(w)})" for name, w in words.items())
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
-templates(label, words) AS (VALUES {notices}),
-blocks AS (SELECT r, ws, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(0, greatest(len(ws) - {step}, 1), {step}) END) AS s FROM w),
-sets AS (SELECT r, list_distinct(ws[s + 1:s + {block}]) AS words FROM blocks),
-held AS (
-    SELECT r, label, max(len(list_intersect(sets.words, t.words)) / len(t.words)) AS share FROM sets, templates t
-    WHERE len(list_intersect(sets.words, t.words)) >= ceil({containment} * len(t.words) - 1e-9) GROUP BY r, label
+templates(label, words, m) AS (VALUES {notices}),
+blocks AS (
+    SELECT r, label, words, m, ws, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(0, greatest(len(ws) - m, 1), m) END) AS s FROM w, templates
 ),
+shares AS (SELECT r, label, words, len(list_intersect(list_distinct(ws[s + 1:s + 2 * m]), words)) AS n FROM blocks),
+held AS (SELECT r, label, max(n / len(words)) AS share FROM shares WHERE n >= ceil({containment} * len(words) - 1e-9) GROUP BY r, label),
 noted AS (SELECT r, list(label) AS names, max(share) AS share FROM held GROUP BY r),
 placed AS (SELECT r, doc_id, ws, {found} FROM w),
 based AS (SELECT r, doc_id, ws, {every} AS spots, list_sort(list_distinct({base})) AS base FROM placed)

@@ -14,7 +14,7 @@ from ledgerloom.llm.fingerprints import fingerprint_next
 from ledgerloom.llm.frames import table
 from ledgerloom.llm.html_text import extract
 from ledgerloom.llm.jaccard_join import classes
-from ledgerloom.llm.licenses import BLOCK, CONTAINMENT, PHRASES, STEP, TEMPLATES, scan
+from ledgerloom.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, scan
 from ledgerloom.llm.packing import pack, word_count
 from ledgerloom.llm.pii import find, summary
 from ledgerloom.llm.prefix_trie import prefix_trie
@@ -107,7 +107,7 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.NGRAM_JACCARD,
     "op5_url_filters": oracle.URL_LISTS,
-    "op7_license_scans": oracle.licenses(PHRASES, TEMPLATES, CONTAINMENT, BLOCK, STEP),
+    "op7_license_scans": oracle.licenses(PHRASES, TEMPLATES, CONTAINMENT),
     "op11_conversation_prefix_trie": oracle.PREFIX_TRIE,
     "op12_substring_dedup": oracle.SUBSTRINGS,
     "op13_phrase_collocation_mining": oracle.COLLOCATIONS,

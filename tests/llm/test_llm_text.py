@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import html
+import random
 import re
 import zlib
 
@@ -14,6 +15,7 @@ import pytest
 import corpus_pipeline
 from ledgerloom.llm import decontamination, html_text, jaccard_join, licenses, pii, toxicity, url_lists
 from ledgerloom.llm.queries import ORACLE, QUERIES
+from ledgerloom.llm.text import hash_words
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["documents", "pages", "benchmark", "labels"]
@@ -313,3 +315,39 @@ def test_pipeline_of_odd_rows(corpus, docs_of):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(corpus, docs, SF)
     assert docs.count() == 0
+
+
+def brute_held(text, templates):
+    """Containment of every template in any of its blocks, by whole sets."""
+    own, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), {}
+    for name, t in templates.items():
+        told = re.findall(r"[a-z0-9]+", t.lower())
+        m, wanted = len(told), set(told)
+        for s in range(0, max(len(own) - m, 1), m) if own else ():
+            share = len(wanted & set(own[s : s + 2 * m])) / len(wanted)
+            if share >= licenses.CONTAINMENT - 1e-9:
+                out[name] = max(out.get(name, 0), share)
+    return out
+
+
+def test_license_blocks_follow_each_template(docs_of):
+    """Short, long and very long templates are found wherever they stand, edited ones as far as they keep."""
+    rng = random.Random(6)
+    templates = {f"t{n}": " ".join(f"q{rng.randint(0, 3 * n)}" for _ in range(n)) for n in (1, 3, 40, 200, 500, 3000)}
+    texts = ["", "q1", "plain words"]
+    for told in templates.values():
+        for keep in (1.0, 0.9, 0.75):
+            around = [f"z{rng.randint(0, 50)}" for _ in range(rng.randint(0, 400))]
+            at = rng.randint(0, len(around))
+            texts.append(" ".join([*around[:at], *[w if rng.random() < keep else "zz" for w in told.split()], *around[at:]]))
+    index = licenses.Templates(templates, {})
+    for text in texts:
+        held = index.held_by(index.encode(hash_words([text])[0]))
+        assert held == pytest.approx(brute_held(text, templates))
+    assert sum(bool(brute_held(t, templates)) for t in texts) > 12
+    whole = "Intro. " * 77 + licenses.TEMPLATES["zlib/text"] + " end" * 300
+    rows = licenses.scan(docs_of([(1, whole), (2, licenses.TEMPLATES["bsd/text"][:400]), (3, None)])).collect()
+    assert {r.doc_id: r.labels for r in rows} == {1: "zlib", 2: "bsd", 3: ""}
+    assert [r.labels for r in licenses.scan(docs_of([(1, "mit license"), (2, whole)]), {}).orderBy("doc_id").collect()] == ["mit", ""]
+    with pytest.raises(ValueError):
+        licenses.Templates({"t": "word " * (licenses.MOST_WORDS + 1)}, {})
