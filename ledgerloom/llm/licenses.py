@@ -171,6 +171,8 @@ def _phrase_places(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 def word_counts(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> dict[int, int]:
     """How often each template word occurs in all documents; a task sends a row for each word at most."""
     wanted = np.unique(hash_words(list(templates.values()))[0])
+    if not len(wanted):
+        return {}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(wanted), np.int64)
