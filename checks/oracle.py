@@ -12,7 +12,8 @@ START, END = "1994-12-01", "2002-01-31"
 
 
 def local(ts: str, tz: str) -> str:
-    return f"(({ts} AT TIME ZONE 'UTC') AT TIME ZONE '{tz}')"
+    zone = tz if tz.startswith("CASE ") else f"'{tz}'"
+    return f"(({ts} AT TIME ZONE 'UTC') AT TIME ZONE {zone})"
 
 
 def within(sql: str, start: str, end: str) -> str:

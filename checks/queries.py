@@ -19,7 +19,7 @@ from ledgerloom.functions.costs import (
     shipping_candidates,
 )
 from ledgerloom.functions.numbers import half_up
-from ledgerloom.functions.timekeys import with_day_keys, with_period_keys
+from ledgerloom.functions.timekeys import OWN_ZONE, with_day_keys, with_period_keys
 from ledgerloom.operators import ingest_orders, ingest_settings
 from ledgerloom.operators import lookups as L
 from ledgerloom.operators import rollups as R
@@ -27,6 +27,7 @@ from ledgerloom.operators.pricing import daily_ledger, price_shipments
 from ledgerloom.plans import orders as O
 from ledgerloom.plans import period as P
 from ledgerloom.plans.ingest import write_order_models
+from ledgerloom.plans.tables import with_zones
 from ledgerloom.sample_store import SampleStore
 from ledgerloom.session import configure, scratch_dir
 from ledgerloom.sources.calendar import days_spanned
@@ -620,6 +621,18 @@ def pnl_week_all_stores_corrected(s):
     return shown(rows, steep=STEEP)
 
 
+OWN_ZONES = "CASE tenant_id {} ELSE 'UTC' END".format(" ".join(f"WHEN '{t}' THEN '{z}'" for t, z in fixtures.ZONES.items()))
+
+
+def _zoned_stores(s: SampleStore):
+    return with_zones(fixtures.all_stores(s), fixtures.store_zones(s))
+
+
+@query("pnl_day_all_stores_own_zones", Q.pnl("date", OWN_ZONES, stores=True))
+def pnl_day_all_stores_own_zones(s):
+    return shown(P.period_pnl(_zoned_stores(s), "date", *RANGE, OWN_ZONE), steep=STEEP)
+
+
 # Ranges that leave rows out on both sides, inside a year and over the turn of one.
 INSIDE = ("1996-03-10", "1996-11-20")
 TURN = ("1996-12-31", "1998-01-01")
@@ -635,6 +648,14 @@ _pnl_within("pnl_week_inside_year", "week", INSIDE, NEW_YORK, "corrected")
 _pnl_within("pnl_week_turn_of_year", "week", TURN, NEW_YORK, "corrected")
 
 
+@query(
+    "pnl_week_own_zones_inside_year",
+    Q.within(Q.pnl("week", OWN_ZONES, "corrected", stores=True), *INSIDE),
+)
+def pnl_week_own_zones_inside_year(s):
+    return shown(P.period_pnl(_zoned_stores(s), "week", *INSIDE, OWN_ZONE, "corrected"), steep=STEEP)
+
+
 @query("cost_ledger_inside_year", Q.within(ORACLE["cost_ledger"], *INSIDE))
 def cost_ledger_inside_year(s):
     rows = daily_ledger(s.schedule(), *INSIDE)
@@ -773,6 +794,54 @@ def order_page_any_of(s):
     return shown(O.order_page_export(s.tables(), *RANGE, TZ, where), steep=STEEP)
 
 
+GROUPED_SQL = ", ".join(
+    f"coalesce(sum(p.{c}), 0) AS {c}" for c in ("paid", "discount", "shipping_charged", "shipping_cost", "fulfillment", "transactions",
+                                              "cogs", "packing_fees", "gross_profit", "tax", '"productCost"')
+)
+
+
+def _grouped_sql(groups: dict[str, str], where: str = "TRUE", stores: bool = False, tz: str = "UTC") -> str:
+    """Sums of orders' sums, and the margin of those sums."""
+    t = Q.local("order_created_at", tz)
+    named = ", ".join(f"{column} AS {name}" for name, column in groups.items())
+    return Q.with_base(
+        Q.order_profit(stores=stores),
+        "own AS (SELECT order_id, sum(paid) AS paid, sum(discount) AS discount, sum(shipping_charged) AS shipping_charged, "
+        "sum(shipping_cost) AS shipping_cost, sum(fulfillment) AS fulfillment, sum(transactions) AS transactions, sum(cogs) AS cogs, "
+        "sum(packing_fees) AS packing_fees, sum(gross_profit) AS gross_profit, sum(tax) AS tax, "
+        'sum("productCost") AS "productCost" FROM profit GROUP BY order_id)',
+        f"placed AS (SELECT *, {Q.keys(t)} FROM fx_orders)",
+        f"grouped AS (SELECT {named}, count(DISTINCT o.order_id) AS orders, count(DISTINCT customer_id) AS customers, {GROUPED_SQL}, "
+        "coalesce(sum(s.net), 0) AS net FROM placed o LEFT JOIN own p ON o.order_id = p.order_id "
+        f"LEFT JOIN per_sales s ON o.order_id = s.order_id WHERE {where} GROUP BY ALL)",
+        final=Q.rounded(
+            "SELECT *, coalesce(gross_profit / nullif(net, 0) * 100, 0) AS gpmargin FROM grouped",
+            ", ".join([*groups, "orders", "customers"]),
+            steep=STEEP_PAGE,
+        ),
+    )
+
+
+@query(
+    "order_export_grouped",
+    _grouped_sql({"shipping_country": "shipping_country", "currency_code": "presentment_currency"}, "financial_status = 'PAID'"),
+)
+def order_export_grouped(s):
+    where = [("financial_status", "=", "PAID")]
+    rows = O.order_export_grouped(s.tables(), *RANGE, ["shipping_country", "currency_code"], where=where)
+    return shown(rows, steep=STEEP_PAGE)
+
+
+@query(
+    "order_export_grouped_all_stores",
+    _grouped_sql({"tenant_id": "tenant_id", "month": "month", "province": "province"}, stores=True, tz=OWN_ZONES),
+)
+def order_export_grouped_all_stores(s):
+    """By local month and province, every store in its own zone; orders without a province are a group."""
+    rows = O.order_export_grouped(_zoned_stores(s), *RANGE, ["month", "province"], OWN_ZONE)
+    return shown(rows, steep=STEEP_PAGE)
+
+
 def _summary_sql(by: str, extra: str = "") -> str:
     sums = ", ".join(f"sum({c}) AS {c}" for c in Q.TOTALS)
     return Q.with_base(

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAINS = ("date", "week", "month", "year")
+#: As `tz` of a report: every store in its own zone. Rows then carry the zone of their store and, as UTC
+#: instants, the bounds of the report's range there (`plans.tables.in_own_zones` adds them).
+OWN_ZONE = "own"
+ZONE, ZONE_LOW, ZONE_HIGH = "time_zone", "zone_low", "zone_high"
 
 
 def _col(value: str | Column) -> Column:
@@ -19,8 +23,15 @@ def _day(value: str | date) -> date:
 
 
 def store_time(ts: str | Column, tz: str | Column) -> Column:
-    """Wall-clock time in the store's zone. `tz` is a zone name or a column holding one per row."""
-    return F.from_utc_timestamp(_col(ts), tz)
+    """Wall-clock time in the store's zone. `tz` is a zone name, a column holding one per row, or OWN_ZONE."""
+    own = isinstance(tz, str) and tz == OWN_ZONE
+    return F.from_utc_timestamp(_col(ts), F.col(ZONE) if own else tz)
+
+
+def zone_bounds(tz: Column, start: str | date, end: str | date) -> dict[str, Column]:
+    """UTC instants at which the local range [start, end] of a zone begins and has ended."""
+    midnights = {ZONE_LOW: _day(start), ZONE_HIGH: _day(end) + timedelta(days=1)}
+    return {name: F.to_utc_timestamp(F.lit(f"{day} 00:00:00").cast("timestamp"), tz) for name, day in midnights.items()}
 
 
 def local_date(ts: str | Column, tz: str | Column) -> Column:
@@ -76,12 +87,17 @@ def in_local_range(ts: str | Column, tz: str | Column, start: str | date, end: s
     """Local date within [start, end].
 
     A zone shift is at most 14 hours, so plain bounds on the raw instant one day wider are implied.
-    They reach the Parquet scan as pushed filters, which the zone-shifted test alone cannot.
+    They reach the Parquet scan as pushed filters, which the zone-shifted test alone cannot. Rows with their
+    store's own bounds are compared with those.
     """
     t, first, last = _col(ts), _day(start), _day(end)
     low = F.lit(f"{first - timedelta(days=1)} 00:00:00").cast("timestamp")
     high = F.lit(f"{last + timedelta(days=2)} 00:00:00").cast("timestamp")
-    return (t >= low) & (t < high) & local_date(t, tz).between(F.lit(first), F.lit(last))
+    if isinstance(tz, str) and tz == OWN_ZONE:
+        inside = (t >= F.col(ZONE_LOW)) & (t < F.col(ZONE_HIGH))
+    else:
+        inside = local_date(t, tz).between(F.lit(first), F.lit(last))
+    return (t >= low) & (t < high) & inside
 
 
 def utc_years(start: str | date, end: str | date) -> tuple[int, int]:

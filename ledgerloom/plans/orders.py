@@ -31,7 +31,7 @@ from ledgerloom.operators.rollups import (
     sales_rollup,
 )
 from ledgerloom.plans.period import priced_lines
-from ledgerloom.plans.tables import StoreTables
+from ledgerloom.plans.tables import StoreTables, in_own_zones
 from ledgerloom.session import stored
 
 PAGE_LIMIT = 2000
@@ -203,6 +203,7 @@ def order_totals(
     the sale entries that happened in the range, and the payments and shipments of its years.
     """
     grain_column(grain, (*GRAINS, "order_id"))
+    t = in_own_zones(t, tz, start, end)
     keys = [*t.scope, "grouping"]
 
     def keyed(df: DataFrame, ts: str, event: str) -> DataFrame:
@@ -320,6 +321,7 @@ def order_page(
     only their entries are priced. Otherwise totals of the whole range are needed to sort; the cut
     page is then stored and variants are built for its orders alone.
     """
+    t = in_own_zones(t, tz, start, end)
     keys = [*t.scope, "order_id"]
     orders = orders_in_range(t, start, end, tz, where)
     ranking = _page_order(t, order_by)
@@ -353,6 +355,7 @@ def order_page_export(
 
     With a filter only the entries, payments and shipments of the orders that pass are priced.
     """
+    t = in_own_zones(t, tz, start, end)
     orders = orders_in_range(t, start, end, tz, where)
     only = orders.select(*t.scope, "order_id") if where else None
     totals = _profit_per_order(t, _priced(t, start, end, tz, only), start, end, tz, only)
@@ -360,6 +363,62 @@ def order_page_export(
     return rows.orderBy(*_page_order(t, order_by)).select(*t.scope, *PAGE_COLUMNS)
 
 
+#: Measures of a grouped export that are sums of the orders' own; ratios are taken of such sums, never summed.
+ADDITIVE = {name: column for name, column in TOTAL_COLUMNS.items() if name != "gpmargin"} | {"net": "profit_net_sales"}
+#: Ratio in percent -> (sum above, sum below).
+RATIOS = {"gpmargin": ("gross_profit", "net")}
+#: Counted again in every group, since a customer of two groups is one in a coarser one.
+COUNTED = {"orders": "order_id", "customers": "customer_id"}
+
+
+def order_export_grouped(
+    t: StoreTables,
+    start: str | date,
+    end: str | date,
+    group_by: Sequence[str],
+    tz: str = "UTC",
+    where: Sequence[tuple] = (),
+    order_by: Sequence[tuple[str, str]] = (),
+    measures: Sequence[str] | None = None,
+) -> DataFrame:
+    """The export with the caller's predicate and grouping: a row per store and group.
+
+    `group_by` takes columns of the page (`shipping_country`), of the orders (`province`) and the grains of the
+    order's local day (`month`). Each measure has its rule: sums add up, ratios are taken of the group's
+    sums (0 where there is nothing to divide by, as in the page), orders and customers are counted anew.
+    NULL is a group of its own. Without groups there is a row for all orders of a store, if it has any.
+    """
+    t = in_own_zones(t, tz, start, end)
+    orders = orders_in_range(t, start, end, tz, where)
+    orders = with_period_keys(orders, "order_created_at", tz) if any(g in GRAINS for g in group_by) else orders
+    groups = {g: g if g in GRAINS else ORDER_COLUMNS.get(g, g) for g in group_by}
+    unknown = [g for g, column in groups.items() if column not in orders.columns]
+    if unknown:
+        raise ValueError(f"unknown order columns {unknown}")
+    shown = [*COUNTED, *ADDITIVE, *RATIOS] if measures is None else list(measures)
+    missing = [m for m in shown if m not in {**COUNTED, **ADDITIVE, **RATIOS}]
+    if missing:
+        raise ValueError(f"unknown measures {missing}")
+    keys = [*t.scope, "order_id"]
+    only = orders.select(*keys) if where else None
+    totals = _profit_per_order(t, _priced(t, start, end, tz, only), start, end, tz, only)
+    # an order that sales don't know has a row for each source; it counts once
+    totals = totals.groupBy(*keys).agg(*[F.sum(c).alias(f"_{name}") for name, c in ADDITIVE.items()])
+    named = orders.select(
+        *keys, F.col("customer_id").alias("_customer_id"), *[F.col(column).alias(f"_by_{g}") for g, column in groups.items()]
+    )
+    joined = named.join(totals, keys, "left")
+    count = {"orders": F.col("order_id"), "customers": F.col("_customer_id")}
+    summed = joined.groupBy(*t.scope, *[f"_by_{g}" for g in groups]).agg(
+        *[F.coalesce(F.sum(f"_{name}"), F.lit(0.0)).alias(name) for name in ADDITIVE],
+        *[F.count_distinct(count[name]).alias(name) for name in COUNTED],
+    )
+    for name, (above, below) in RATIOS.items():
+        summed = summed.withColumn(name, F.coalesce(ratio(F.col(above), F.col(below)) * 100, F.lit(0.0)))
+    summed = summed.select(*t.scope, *[F.col(f"_by_{g}").alias(g) for g in groups], *shown)
+    return summed.orderBy(*sort_columns(order_by, summed.columns)) if order_by else summed
+
+
 def order_summary(
     t: StoreTables,
     start: str | date,
@@ -370,6 +429,7 @@ def order_summary(
     order_by: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
     """Order totals summed by any order column. As shipped, the margin percentages are summed too."""
+    t = in_own_zones(t, tz, start, end)
     orders = orders_in_range(t, start, end, tz, where)
     if by not in orders.columns:
         raise ValueError(f"unknown order column {by!r}")
@@ -388,6 +448,7 @@ def order_summary(
 
 def order_key_summary(t: StoreTables, start: str | date, end: str | date, tz: str = "UTC"):
     """Summary by order id straight from the aggregates, including orders known to one source only."""
+    t = in_own_zones(t, tz, start, end)
     totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
     return totals.groupBy(*t.scope, "order_id").agg(
         *[F.sum(column).alias(name) for name, column in TOTAL_COLUMNS.items()]
@@ -456,6 +517,7 @@ def fulfillment_export(
     end: str | date | None = None,
 ) -> DataFrame:
     """Every shipment of the years of the range with its tiers and costs, newest order date first."""
+    t = in_own_zones(t, tz, start or "1900-01-01", end or "9998-12-31")
     shipments = t.fulfillments
     if start is not None and end is not None:
         shipments = prune_years(shipments, "fulfillment_year", utc_years(start, end))

@@ -29,7 +29,7 @@ from ledgerloom.operators.rollups import (
     payment_fees,
     sales_rollup,
 )
-from ledgerloom.plans.tables import StoreTables
+from ledgerloom.plans.tables import StoreTables, in_own_zones
 
 # Grains that only sale entries know. All other sources fall into one row without a key.
 SALES_GRAINS = ("variant_id", "order_id")
@@ -37,6 +37,7 @@ SALES_GRAINS = ("variant_id", "order_id")
 
 def sale_lines(t: StoreTables, start: str | date, end: str | date, tz: str) -> DataFrame:
     """Sale entries of a local date range with period keys and sale fields."""
+    t = in_own_zones(t, tz, start, end)
     sales = prune_years(t.sales, "happened_year", utc_years(start, end))
     kept = sales.where(in_local_range("happened_at", tz, start, end))
     return with_sale_fields(with_period_keys(kept, "happened_at", tz))
@@ -72,8 +73,12 @@ def period_pnl(
 
     With grain `variant_id` or `order_id` only sale entries have a key; the other sources appear as
     rows without one.
+
+    With `tz` OWN_ZONE every store is reported in the zone its settings name. Ads and expenses are dated by
+    the day already.
     """
     grain_column(grain, GRAINS + SALES_GRAINS)
+    t = in_own_zones(t, tz, start, end)
     corrected = policy == "corrected"
     keys = [*t.scope, "period"]
     wide = grain in SALES_GRAINS

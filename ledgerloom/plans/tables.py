@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.timekeys import OWN_ZONE, ZONE, ZONE_HIGH, ZONE_LOW, zone_bounds
 from ledgerloom.sources.models import read_model
 from ledgerloom.sources.snapshots import current
 
@@ -57,3 +60,41 @@ def load_tables(
         settings=read("settings"),
         scope=("tenantid",) if tenant is None else (),
     )
+
+
+#: Tables whose rows have instants, which a report puts into local periods.
+TIMED = ("orders", "sales", "transactions", "fulfillments")
+
+
+def with_zones(t: StoreTables, zones: DataFrame) -> StoreTables:
+    """Tables whose settings know each store's zone; `zones` has the store columns and `time_zone`."""
+    settings = t.settings.drop(ZONE)
+    if not t.scope:
+        return replace(t, settings=settings.withColumn(ZONE, zones.agg(F.min(ZONE)).scalar()))
+    one = zones.groupBy(*t.scope).agg(F.min(ZONE).alias(ZONE))
+    return replace(t, settings=settings.join(one, list(t.scope), "left"))
+
+
+def in_own_zones(t: StoreTables, tz: str | Column, start: str | date, end: str | date) -> StoreTables:
+    """For `tz` OWN_ZONE: rows with their store's zone and the range's bounds there; else `t` as it is.
+
+    A store without a zone, or without settings, is taken to be in UTC. There is a row for each store on
+    the right of these joins, and the bounds are computed there once, not for every row of a table.
+    """
+    if not isinstance(tz, str) or tz != OWN_ZONE or ZONE in t.sales.columns:
+        return t
+    if ZONE not in t.settings.columns:
+        raise ValueError("settings have no time_zone; add one with with_zones")
+    utc = F.lit("UTC")
+    bounds = zone_bounds(F.coalesce(F.col(ZONE), utc), start, end)
+    if not t.scope:
+        zone = F.coalesce(t.settings.agg(F.min(ZONE)).scalar(), utc)
+        own = {name: getattr(t, name).withColumn(ZONE, zone).withColumns(bounds) for name in TIMED}
+        return replace(t, **own)
+    zones = t.settings.groupBy(*t.scope).agg(F.min(ZONE).alias(ZONE)).withColumns(bounds)
+    unknown = {ZONE: utc, **zone_bounds(utc, start, end)}
+    own = {}
+    for name in TIMED:
+        rows = getattr(t, name).join(zones, list(t.scope), "left")
+        own[name] = rows.withColumns({c: F.coalesce(F.col(c), unknown[c]) for c in (ZONE, ZONE_LOW, ZONE_HIGH)})
+    return replace(t, **own)

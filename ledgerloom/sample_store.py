@@ -301,6 +301,14 @@ class SampleStore:
 
 
 STORES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+#: Zones on both sides of Greenwich, with and without daylight saving, one of them half an hour off.
+#: MACHINERY has none, so it is in UTC.
+ZONES = {
+    "AUTOMOBILE": "America/New_York",
+    "BUILDING": "Europe/Dublin",
+    "FURNITURE": "Asia/Kolkata",
+    "HOUSEHOLD": "Australia/Lord_Howe",
+}
 
 
 def all_stores(store: SampleStore) -> StoreTables:
@@ -488,3 +496,10 @@ def sale_documents(store: SampleStore) -> DataFrame:
     return store.sales().select(
         F.col("tenant_id").alias("tenantid"), F.to_json(document).alias("json")
     )
+
+
+def store_zones(store: SampleStore) -> DataFrame:
+    """Store and zone of the stores that have one."""
+    owners = store.table("customer").select(F.col("c_mktsegment").alias("tenant_id")).distinct()
+    zone = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])[F.col("tenant_id")]
+    return owners.withColumn("time_zone", zone).where(F.col("time_zone").isNotNull())

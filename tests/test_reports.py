@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.timekeys import OWN_ZONE, in_local_range, local_date
 from ledgerloom.plans import orders as O
 from ledgerloom.plans import period as P
-from ledgerloom.plans.tables import StoreTables
+from ledgerloom.plans.tables import StoreTables, in_own_zones, with_zones
 from ledgerloom.sample_store import SETTINGS_SQL
 
 AT = datetime.fromisoformat
@@ -321,3 +323,77 @@ def test_pages_of_many_stores_are_ranked_in_parts_first(store, spark):
     first = O._cut(orders.withColumn("tenant_id", F.lit("t")), [F.col("order_name").asc()], 2, ["tenant_id"])
     names = sorted(r.order_name for r in orders.collect())
     assert sorted(r.order_name for r in first.collect()) == names[:2]
+
+
+# ------------------------------------------------------------------ a zone per store
+
+EDGES = ["2018-11-03", "2018-11-04", "2018-11-05", "2020-03-07", "2020-03-08", "2020-03-09", "2020-11-01", "2020-11-02", "2020-04-05", "2020-10-04"]
+ZONES = ["America/New_York", "America/Sao_Paulo", "America/Havana", "Australia/Lord_Howe", "Asia/Kolkata", "Pacific/Kiritimati", "Atlantic/Azores", None]
+
+
+def test_bounds_of_own_zones_cut_as_local_dates_do(spark):
+    """Midnights that don't exist, or come twice, included."""
+    instants = spark.sql("SELECT explode(sequence(timestamp '2018-11-01', timestamp '2018-11-08', interval 15 minutes)) AS ts").unionAll(
+        spark.sql("SELECT explode(sequence(timestamp '2020-02-28', timestamp '2020-11-10', interval 15 minutes)) AS ts")
+    )
+    zones = spark.createDataFrame([(f"s{i}", z) for i, z in enumerate(ZONES)], "tenant_id string, time_zone string")
+    rows = instants.crossJoin(zones.select("tenant_id")).unionByName(instants.withColumn("tenant_id", F.lit("no settings")))
+    settings = spark.sql(SETTINGS_SQL).crossJoin(zones.select("tenant_id"))
+    empty = {name: rows.withColumnRenamed("ts", "at") for name in ("orders", "transactions", "fulfillments")}
+    rest = dict.fromkeys(("google_ads", "tiktok_ads", "meta_ads", "schedule", "product_costs", "order_shipping", "shipping_entries"), rows)
+    t = with_zones(StoreTables(sales=rows, settings=settings, scope=("tenant_id",), **empty, **rest), zones)
+    wrong = None
+    for day in EDGES:
+        own = in_own_zones(t, OWN_ZONE, day, day).sales
+        kept = own.withColumn("bounds", in_local_range("ts", OWN_ZONE, day, day))
+        zone = F.create_map(*[F.lit(x) for i, z in enumerate(ZONES) for x in (f"s{i}", z or "UTC")], F.lit("no settings"), F.lit("UTC"))
+        dated = local_date("ts", zone[F.col("tenant_id")]).cast("string") == day
+        bad = kept.where(F.col("bounds") != dated).select("tenant_id", "ts")
+        wrong = bad if wrong is None else wrong.unionAll(bad)
+    assert wrong.take(3) == []
+
+
+def test_one_store_in_its_own_zone(store, spark):
+    zones = spark.createDataFrame([("America/New_York",)], "time_zone string")
+    own = with_zones(store, zones)
+    for tz in (OWN_ZONE, "America/New_York"):
+        got = P.period_pnl(own if tz == OWN_ZONE else store, "date", "2020-01-05", "2020-01-06", tz, "corrected").collect()
+        page = O.order_page(own if tz == OWN_ZONE else store, "2020-01-05", "2020-01-06", tz).collect()
+        if tz == OWN_ZONE:
+            first = got, page
+    assert first == (got, page) and got and page
+    with pytest.raises(ValueError, match="time_zone"):
+        P.period_pnl(store, "date", *RANGE, OWN_ZONE)
+
+
+def test_own_zones_reach_the_scan(store, spark, tmp_path):
+    store.sales.write.parquet(f"{tmp_path}/sales")
+    own = with_zones(replace(store, sales=spark.read.parquet(f"{tmp_path}/sales")), spark.createDataFrame([("Asia/Kolkata",)], "time_zone string"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = P.sale_lines(own, *RANGE, OWN_ZONE)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    (pushed,) = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert "GreaterThanOrEqual(happened_at,2019-12-31" in pushed and "LessThan(happened_at,2020-02-02" in pushed, pushed
+
+
+# ------------------------------------------------------------------ grouped export
+
+
+def test_a_grouping_never_sums_a_ratio(store):
+    t = replace(store, orders=store.orders.withColumn("customer_id", F.when(F.col("order_id") != "3", F.lit("c"))))
+    single = O.order_export_grouped(t, *RANGE, ["orderId"]).collect()
+    (whole,) = O.order_export_grouped(t, *RANGE, []).collect()
+    assert len(single) == t.orders.count() == whole.orders and whole.customers == 1
+    for name in O.ADDITIVE:
+        assert whole[name] == pytest.approx(sum(r[name] for r in single))
+    assert whole.gpmargin == pytest.approx(whole.gross_profit / whole.net * 100)
+    assert whole.gpmargin != pytest.approx(sum(r.gpmargin for r in single))
+    page = {r.orderId: r for r in O.order_page_export(t, *RANGE).collect() if r.paid}
+    assert page and all(r.gpmargin == pytest.approx(page[r.orderId].gpmargin) for r in single if r.orderId in page)
+    some = O.order_export_grouped(t, *RANGE, ["month", "province"], where=[("order_id", "!=", "1")], order_by=[("paid", "desc")], measures=["paid", "orders"])
+    assert some.columns == ["month", "province", "paid", "orders"]
+    assert sum(r.orders for r in some.collect()) == whole.orders - 1
+    assert O.order_export_grouped(t, "1999-01-01", "1999-01-02", ["month"]).collect() == []
+    for bad in ({"group_by": ["nothing"]}, {"group_by": [], "measures": ["nothing"]}):
+        with pytest.raises(ValueError, match="unknown"):
+            O.order_export_grouped(t, *RANGE, **bad)
