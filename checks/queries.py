@@ -27,6 +27,7 @@ from ledgerloom.operators.pricing import daily_ledger, price_shipments
 from ledgerloom.plans import orders as O
 from ledgerloom.plans import period as P
 from ledgerloom.plans.ingest import write_order_models
+from ledgerloom.plans.states import day_states, pnl_from_states, read_day_states, write_day_states
 from ledgerloom.plans.tables import with_zones
 from ledgerloom.sample_store import SampleStore
 from ledgerloom.session import configure, scratch_dir
@@ -633,6 +634,26 @@ def pnl_day_all_stores_own_zones(s):
     return shown(P.period_pnl(_zoned_stores(s), "date", *RANGE, OWN_ZONE), steep=STEEP)
 
 
+def _from_states(s: SampleStore, t, grain: str, tz: str, policy: str, parts: list[tuple[str, str]]) -> DataFrame:
+    """States written part by part, then merged and reported by `grain`."""
+    root = scratch_dir(s.spark, "states")
+    for span in parts:
+        write_day_states(day_states(t, *span, tz, policy), root, *span)
+    return shown(pnl_from_states(read_day_states(s.spark, root), t, grain, *RANGE, policy), steep=STEEP)
+
+
+@query("pnl_month_from_states", Q.pnl("month", TZ))
+def pnl_month_from_states(s):
+    """The days of a part that is stored twice count once."""
+    parts = [(START, "1996-05-10"), ("1996-05-11", END), ("1995-12-20", "1996-06-20")]
+    return _from_states(s, s.tables(), "month", TZ, "parity", parts)
+
+
+@query("pnl_week_from_states_corrected", Q.pnl("week", OWN_ZONES, "corrected", stores=True))
+def pnl_week_from_states_corrected(s):
+    return _from_states(s, _zoned_stores(s), "week", OWN_ZONE, "corrected", [RANGE])
+
+
 # Ranges that leave rows out on both sides, inside a year and over the turn of one.
 INSIDE = ("1996-03-10", "1996-11-20")
 TURN = ("1996-12-31", "1998-01-01")

@@ -52,13 +52,17 @@ def plain_sums(items: DataFrame, keys: Sequence[str], measures: Sequence[str] |
     return items.groupBy(*keys).agg(*[F.sum(SUMMED[m]).alias(m) for m in names])
 
 
-def _segment_sums(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+def segment_columns() -> list[Column]:
     """New and repeat totals as ordinary conditional sums."""
     parts = []
     for name, column in SEGMENTED.items():
         parts.append(F.sum(F.when(is_new(), F.col(column))).alias(f"new_{name}"))
         parts.append(F.sum(F.when(is_repeat(), F.col(column))).alias(f"repeat_{name}"))
-    return items.groupBy(*keys).agg(*parts)
+    return parts
+
+
+def _segment_sums(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return items.groupBy(*keys).agg(*segment_columns())
 
 
 def distinct_totals(
@@ -72,6 +76,15 @@ def distinct_totals(
     shuffle by OR-ing the masks, so zeros and repeated amounts travel once per key, and a large key is
     spread over tasks by its values. The second grouping only sums already merged entries.
     """
+    return entry_totals(distinct_entries(items, keys, distinct_amounts), keys, distinct_amounts)
+
+
+def distinct_entries(items: DataFrame, keys: Sequence[str], distinct_amounts: bool = True) -> DataFrame:
+    """The merged entries of `distinct_totals`: the sets it counts and sums, as rows.
+
+    Entries of finer keys merge to those of coarser ones (`merged_entries`), which their counts and sums
+    don't.
+    """
     names = list(SEGMENTED) if distinct_amounts else []
     segment = F.when(is_new(), F.lit(1)).when(is_repeat(), F.lit(2)).otherwise(F.lit(0))
     entries = [
@@ -96,11 +109,16 @@ def distinct_totals(
     lines = items.select(*keys, F.inline(F.array(*entries)))
     counted = (F.col("kind") > 0) & F.col("id").isNotNull()
     summed = (F.col("kind") == 0) & F.col("amount").isNotNull() & (F.col("mask") > 0)
-    merged = (
-        lines.where(counted | summed)
-        .groupBy(*keys, "kind", "id", "amount")
-        .agg(F.bit_or("mask").alias("mask"))
-    )
+    return merged_entries(lines.where(counted | summed), keys)
+
+
+def merged_entries(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return entries.groupBy(*keys, "kind", "id", "amount").agg(F.bit_or("mask").alias("mask"))
+
+
+def entry_totals(merged: DataFrame, keys: Sequence[str], distinct_amounts: bool = True) -> DataFrame:
+    """Counts and sums of merged entries."""
+    names = list(SEGMENTED) if distinct_amounts else []
 
     def has(bits: int) -> Column:
         return F.col("mask").bitwiseAND(F.lit(bits)) != 0
@@ -159,6 +177,11 @@ def sales_rollup(
         sources["segments"] = _segment_sums(priced, keys)
     if aov == "per_customer":
         sources["basket"] = _basket_totals(lines, keys)
+    return rolled_up(sources, keys, aov)
+
+
+def rolled_up(sources: dict[str, DataFrame], keys: Sequence[str], aov: str = "per_order") -> DataFrame:
+    """Sums and counts per key as one row, with the ratios of them."""
     counts = [f"{p}{noun}" for noun in ("customers", "orders") for p in ("", "new_", "repeat_")]
     rolled = merge_by_key(sources, keys).fillna(0, counts)
     return with_sales_ratios(rolled, aov)

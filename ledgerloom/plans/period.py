@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -55,6 +55,17 @@ def priced_lines(t: StoreTables, lines: DataFrame, **options) -> DataFrame:
     )
 
 
+def pricing(policy: str) -> dict[str, object]:
+    """How the period P&L prices sale entries under a policy."""
+    corrected = policy == "corrected"
+    return {
+        "swapped_cost_flags": not corrected,
+        "shipping_fallback": "charge" if corrected else "none",
+        "shipping_match": "exact" if corrected else "contains",
+        "corrected_returns": corrected,
+    }
+
+
 def period_pnl(
     t: StoreTables,
     grain: str,
@@ -89,14 +100,7 @@ def period_pnl(
 
     lines = sale_lines(t, start, end, tz)
     lines = lines.withColumn("period", F.col(grain).cast("string"))
-    priced = priced_lines(
-        t,
-        lines,
-        swapped_cost_flags=not corrected,
-        shipping_fallback="charge" if corrected else "none",
-        shipping_match="exact" if corrected else "contains",
-        corrected_returns=corrected,
-    )
+    priced = priced_lines(t, lines, **pricing(policy))
     years = utc_years(start, end)
     payments = prune_years(t.transactions, "transaction_year", years)
     shipments = t.fulfillments
@@ -109,22 +113,33 @@ def period_pnl(
         shipments = shipments.where(in_utc_years("fulfilled_at", start, end))
     payments = keyed(with_period_keys(payments, "transaction_at", tz))
     shipments = keyed(with_period_keys(shipments, "order_created_at", tz))
-    days = F.col("date").between(str(start), str(end))
-    ledger = keyed(daily_ledger(t.schedule, start, end, t.scope))
+    sources = dated_sources(t, keyed, keys, start, end) | {
+        "sales": sales_rollup(priced, keys, lines, distinct_amounts=not corrected),
+        "payments": payment_fees(payments, keys),
+        "shipments": fulfillment_rollup(price_shipments(shipments, t.settings, t.scope), keys),
+    }
+    report = period_report(t, sources, keys, policy)
+    return report if wide else report.orderBy(*t.scope, F.col("period").desc())
 
-    sources = {
+
+def dated_sources(
+    t: StoreTables, keyed: Callable[[DataFrame], DataFrame], keys: list[str], start: str | date, end: str | date
+) -> dict[str, DataFrame]:
+    """The sources that come by the day: ads and expenses."""
+    days = F.col("date").between(str(start), str(end))
+    return {
         "google": ad_rollup(keyed(t.google_ads.where(days)), "google", keys),
         "tiktok": ad_rollup(keyed(t.tiktok_ads.where(days)), "tiktok", keys),
         "meta": ad_rollup(keyed(t.meta_ads.where(days)), "meta", keys),
-        "expenses": cost_by_tag(ledger, keys),
-        "sales": sales_rollup(priced, keys, lines, distinct_amounts=not corrected),
-        "payments": payment_fees(payments, keys),
-        "shipments": fulfillment_rollup(price_shipments(shipments, t.settings, t.scope), keys),
+        "expenses": cost_by_tag(keyed(daily_ledger(t.schedule, start, end, t.scope)), keys),
     }
-    anchor = None if corrected else "google"
+
+
+def period_report(t: StoreTables, sources: dict[str, DataFrame], keys: list[str], policy: str) -> DataFrame:
+    """All metrics from the sources' aggregates per period."""
+    anchor = None if policy == "corrected" else "google"
     merged = merge_by_key(sources, ["period"], anchor, t.scope)
-    report = period_metrics(with_settings(merged, t.settings, t.scope), keys, policy)
-    return report if wide else report.orderBy(*t.scope, F.col("period").desc())
+    return period_metrics(with_settings(merged, t.settings, t.scope), keys, policy)
 
 
 def social_rollup(

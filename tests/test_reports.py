@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.timekeys import OWN_ZONE, in_local_range, local_date
 from ledgerloom.plans import orders as O
 from ledgerloom.plans import period as P
+from ledgerloom.plans.states import day_states, pnl_from_states, read_day_states, write_day_states
 from ledgerloom.plans.tables import StoreTables, in_own_zones, with_zones
 from ledgerloom.sample_store import SETTINGS_SQL
 
@@ -397,3 +398,25 @@ def test_a_grouping_never_sums_a_ratio(store):
     for bad in ({"group_by": ["nothing"]}, {"group_by": [], "measures": ["nothing"]}):
         with pytest.raises(ValueError, match="unknown"):
             O.order_export_grouped(t, *RANGE, **bad)
+
+
+# ------------------------------------------------------------------ daily states
+
+
+@pytest.mark.parametrize("policy", ["parity", "corrected"])
+def test_periods_are_merged_from_stored_days(store, spark, tmp_path, policy):
+    """Days written in parts, one of them twice, give every grain; sale entries are not at hand any more."""
+    root = str(tmp_path)
+    for span in (("2019-01-01", "2020-01-05"), ("2020-01-06", "2020-12-31"), ("2020-01-06", "2020-01-06")):
+        write_day_states(day_states(store, *span, policy=policy), root, *span)
+    states = read_day_states(spark, root)
+    gone = replace(store, sales=None, transactions=None, fulfillments=None)
+    for grain in ("date", "week", "month", "year"):
+        got = pnl_from_states(states, gone, grain, *RANGE, policy).collect()
+        expected = P.period_pnl(store, grain, *RANGE, policy=policy).collect()
+        assert len(got) == len(expected) > 0
+        for a, b in zip(sorted(got, key=repr), sorted(expected, key=repr), strict=True):
+            assert a.asDict() == pytest.approx(b.asDict(), nan_ok=True)
+    assert pnl_from_states(states, gone, "month", "2019-12-31", "2020-01-05", policy).count() == P.period_pnl(store, "month", "2019-12-31", "2020-01-05", policy=policy).count()
+    kept = states.sums.select("date").distinct().collect()
+    assert {r.date for r in kept} == {r.date for r in day_states(store, "2019-01-01", "2020-12-31", policy=policy).sums.select("date").collect()}
