@@ -19,7 +19,7 @@ from ledgerloom.functions.costs import (
     shipping_candidates,
 )
 from ledgerloom.functions.numbers import half_up
-from ledgerloom.functions.timekeys import OWN_ZONE, with_day_keys, with_period_keys
+from ledgerloom.functions.timekeys import OWN_ZONE, in_local_range, with_day_keys, with_period_keys
 from ledgerloom.operators import ingest_orders, ingest_settings
 from ledgerloom.operators import lookups as L
 from ledgerloom.operators import rollups as R
@@ -1544,6 +1544,36 @@ def reingest_indexed(s):
     return every.join(replaced, ["tenantid", "year"], "left").fillna(0, ["replaced"])
 
 
+ORDER_MONTH = ("1996-05-01", "1996-05-31")
+
+
+@query(
+    "sales_of_order_month",
+    Q.with_base(
+        "sold AS (SELECT tenant_id, order_created_at, happened_at, total_amount FROM fx_sales "
+        "UNION ALL SELECT tenant_id, order_created_at, happened_at, total_amount * 0.5e0 FROM fx_sales WHERE abs(quantity) > 25)",
+        final=Q.rounded(
+            "SELECT tenant_id AS tenantid, strftime(happened_at, '%Y-%m') AS month, count(*) AS lines, "
+            "count(DISTINCT year(happened_at)) AS years, sum(total_amount) AS amount FROM sold "
+            f"WHERE CAST(order_created_at AS DATE) BETWEEN DATE '{ORDER_MONTH[0]}' AND DATE '{ORDER_MONTH[1]}' GROUP BY ALL",
+            "tenantid, month, lines, years",
+        ),
+    ),
+)
+def sales_of_order_month(s):
+    """Sale entries of a month's orders, whenever they happened, from the files that hold such orders alone."""
+    root = scratch_dir(s.spark, "models")
+    orders = ingest_orders.orders_model(ingest_orders.parse_orders(fixtures.sale_documents(s)))
+    write_order_models(orders, root, merge=False)
+    rows = read_model(s.spark, root, "sales_items", None, "happened_year", created=ORDER_MONTH)
+    kept = rows.where(in_local_range("order_created_at", "UTC", *ORDER_MONTH))
+    return shown(
+        kept.groupBy("tenantid", F.date_format("happened_at", "yyyy-MM").alias("month")).agg(
+            F.count("*").alias("lines"), F.count_distinct("happened_year").alias("years"), F.sum("total_amount").alias("amount")
+        )
+    )
+
+
 @query(
     "parquet_year_roundtrip",
     Q.with_base(

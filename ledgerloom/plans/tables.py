@@ -37,12 +37,18 @@ def load_tables(
     root: str,
     tenant: str | None = None,
     years: tuple[int, int] | None = None,
+    created: tuple[str, str] | None = None,
 ) -> StoreTables:
-    """Read the models of one store, or of all stores keyed by `tenantid`, all from one snapshot."""
+    """Read the models of one store, or of all stores keyed by `tenantid`, all from one snapshot.
+
+    `years` are those that orders, sale entries, payments and shipments are dated in. For reports by order
+    date, whose entries may be dated later, `created` gives the days instead: of all years, only files with
+    rows of orders created then are opened.
+    """
     snapshot = current(spark, root)
 
     def read(table: str, year: str | None = None) -> DataFrame:
-        df = read_model(spark, root, table, tenant, year, years, snapshot)
+        df = read_model(spark, root, table, tenant, year, years, snapshot, created if year else None)
         return df if tenant is None else df.drop("tenantid")
 
     return StoreTables(

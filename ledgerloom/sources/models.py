@@ -25,14 +25,16 @@ def read_model(
     year_column: str | None = None,
     years: tuple[int, int] | None = None,
     snapshot: int | None = None,
+    created: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Scan a model of one store, or of all stores when no tenant is given.
 
     A model that a snapshot lists is read as of the latest one, or of `snapshot`; others by their folder.
+    `created` then leaves out files without rows of orders created in those days; it doesn't filter rows.
     `tenantid` and the year come from the path. Both filters are on partition columns, so other
     stores and years are pruned before any file is opened.
     """
-    df = read_snapshot(spark, root, table, year_column, tenant, years, snapshot)
+    df = read_snapshot(spark, root, table, year_column, tenant, years, snapshot, created)
     if df is None:
         df = spark.read.parquet(model_path(root, table))
     if tenant is not None:

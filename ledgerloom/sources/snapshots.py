@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from datetime import date
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from pyspark.sql.types import StructType
 #: One row a file; a row without a file gives a table's schema, which tables without rows have too.
 LISTED = (
     "table string, batch string, tenantid string, year string, file string, rows long, bytes long, "
-    "low string, high string, filter_bits long, schema string"
+    "low string, high string, filter_bits long, created_low timestamp, created_high timestamp, schema string"
 )
 _FILE = ["table", "batch", "tenantid", "year", "file"]
 
@@ -114,9 +115,13 @@ def read_snapshot(
     tenant: str | None = None,
     years: tuple[int, int] | None = None,
     number: int | None = None,
+    created: tuple[str | date, str | date] | None = None,
 ) -> DataFrame | None:
     """A table of a snapshot (default: the latest), or None if it isn't listed there.
 
+    With `created` (local days), files without an order created then are left out, in whatever zone the
+    days are: rows of an order may lie years after it, and the list knows which files hold them.
+
     Files of other stores and years are left out by the list, before any is opened. The year column is the
     last one of a listed model.
     """
@@ -129,6 +134,11 @@ def read_snapshot(
         files = files.where((F.col("tenantid") == tenant) | F.col("file").isNull())
     if years:
         files = files.where(F.col("year").cast("int").between(*years) | F.col("file").isNull())
+    if created:
+        first, last = (F.to_timestamp(F.lit(str(d))) for d in created)
+        day = F.expr("INTERVAL 1 DAY")
+        inside = (F.col("created_high") >= first - day) & (F.col("created_low") < last + day + day)
+        files = files.where(inside | F.col("created_low").isNull())
     return read_files(spark, root, table, files, schema, year_column or schema.names[-1]).drop("batch", "file")
 
 

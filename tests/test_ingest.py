@@ -253,7 +253,7 @@ def test_two_runs_at_once_cannot_both_publish(spark, tmp_path):
 
 
 def opened(df):
-    return {os.path.basename(f) for f in df.inputFiles()}
+    return set(df.inputFiles())
 
 
 def test_a_day_opens_a_share_of_ten_years(spark, tmp_path):
@@ -279,12 +279,30 @@ def test_a_day_opens_a_share_of_ten_years(spark, tmp_path):
     assert one.count() == 30 and len(opened(one)) == after.where("year = '2013'").count()
 
 
+def test_a_page_of_a_month_opens_the_years_of_its_orders(spark, tmp_path):
+    """Entries of an order may be years later; files of other years and orders stay closed."""
+    models = str(tmp_path)
+    day = [f"{y}-05-05T10:00:00Z" for y in range(2010, 2020)]
+    late = {"edges": [{"node": {"happenedAt": day[7], "sales": document(1)["json"]["agreements"]["edges"][0]["node"]["sales"]}}]}
+    docs = [document(n, created=day[n], agreements=late if n == 2 else {"edges": [{"node": {**late["edges"][0]["node"], "happenedAt": day[n]}}]}) for n in range(10)]
+    raw = spark.createDataFrame([("A", json.dumps(d["json"])) for d in docs], "tenantid string, json string")
+    ingest.write_order_models(O.orders_model(O.parse_orders(raw)), models)
+    for table in ("settings", "google_ads", "tiktok_ads", "meta_ads", "cost_schedule", "product_costs", "order_shipping", "shipping_entries"):
+        write_model(spark.createDataFrame([("A", 1)], "tenantid string, x int"), model_path(models, table), ["tenantid"])
+    t = load_tables(spark, models, "A", created=("2012-05-01", "2012-05-31"))
+    assert [r.order_id for r in t.orders.collect()] == ["gid/2"]
+    # the file of 2017 holds the entry of the order of 2012 beside one of 2017
+    assert {(r.order_id, r.happened_year) for r in t.sales.collect()} == {("gid/2", "2017"), ("gid/7", "2017")}
+    assert len(opened(t.sales)) == 1 < len(opened(load_tables(spark, models, "A").sales))
+    assert load_tables(spark, models, "A", created=("2030-01-01", "2030-01-31")).sales.count() == 0
+
+
 def test_ids_are_found_in_their_files(spark, tmp_path):
     """No file that holds an id is missed, few others are found, whatever the ids' order."""
-    models, schema = str(tmp_path), "order_id string, tenantid string, y string"
+    models, schema = str(tmp_path), "order_id string, order_created_at timestamp, tenantid string, y string"
     files = None
     for b in range(3):
-        rows = spark.createDataFrame([(f"o{(i * 7919 + b) % 3000 * 3 + b}", "t/%s" % (i % 2), str(2000 + i % 3) if i % 5 else None) for i in range(3000)], schema)
+        rows = spark.createDataFrame([(f"o{(i * 7919 + b) % 3000 * 3 + b}", None, "t/%s" % (i % 2), str(2000 + i % 3) if i % 5 else None) for i in range(3000)], schema)
         snapshots.write_batch(rows, models, "m", f"b{b}", "y", ["order_id"])
         back = spark.read.schema(rows.schema).option("basePath", f"{models}/models/m").parquet(f"{models}/models/m/batch=b{b}")
         one = keyindex.describe(spark, models, "m", f"b{b}", back, "y")
