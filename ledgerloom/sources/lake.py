@@ -35,12 +35,13 @@ def read_lake(
         spark.read.schema(columns)
         .option("basePath", f"{root.rstrip('/')}/tenants")
         .option("mode", "FAILFAST")
-        .json(_files(root, tenant, table, partition, days))
+        .json(lake_files(root, tenant, table, partition, days))
     )
     return raw if days is None else between_dates(raw, *days)
 
 
-def _files(root, tenant, table, partition, days) -> str:
+def lake_files(root, tenant, table, partition, days) -> str:
+    """Pattern of the files of a lake table; of a range of days, those of its months."""
     folders = [f"date={partition or '*'}"]
     if days is not None and partition is None:
         folders = [f"date={month}-*" for month in _months(*days)]

@@ -22,6 +22,7 @@ from ledgerloom.sources import keyindex, snapshots
 from ledgerloom.sources.calendar import calendar
 from ledgerloom.sources.lake import CURRENT_PARTITION, ORDER_LINES, read_lake
 from ledgerloom.sources.models import model_path, read_csv, read_model, write_csv, write_model
+from ledgerloom.sources.repack import read_packed, repack, taken
 from ledgerloom.sources.schemas import LAKE
 
 
@@ -101,6 +102,45 @@ def parsed(spark, *documents):
     return O.orders_model(O.parse_orders(spark.createDataFrame(rows, "json string")))
 
 
+def test_a_large_file_is_packed_into_even_ones(spark, tmp_path, rows):
+    """One large gzip file and many small ones become files of like size, and read the same."""
+    root = str(tmp_path)
+    put(root, "A", TABLE, "2020-01-05", *[document(n) for n in range(3000)])
+    for n in range(20):
+        put(root, "B", TABLE, f"2020-02-{1 + n:02d}", document(5000 + n))
+    put(root, "B", "other", "2020-02-01", document(1))
+    assert repack(spark, root, TABLE, file_bytes=100_000) == 21
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "packed/lines").rglob("*.parquet"))
+    assert len(sizes) >= 4 and sizes[-1] < 2 * sizes[0], sizes
+    for days in (None, ("2020-02-03", "2020-02-04")):
+        for tenant in ("*", "B"):
+            plain = read_lake(spark, root, tenant, TABLE, LAKE["orders"], days=days)
+            packed = read_packed(spark, root, tenant, TABLE, LAKE["orders"], days)
+            # the text of an object may differ in white space
+            packed, plain = (d.withColumn("json", F.regexp_replace("json", r"\s", "")) for d in (packed, plain))
+            assert rows(packed, *plain.columns) == rows(plain, *plain.columns)
+    assert repack(spark, root, TABLE) == 0
+
+
+def test_packing_takes_new_and_changed_files_once(spark, tmp_path):
+    lake, models = f"{tmp_path}/lake", f"{tmp_path}/models"
+    put(lake, "A", TABLE, "2020-01-05", document(1), document(2))
+    assert repack(spark, lake, TABLE) == 1
+    put(lake, "A", TABLE, "2020-01-06", document(3))
+    assert repack(spark, lake, TABLE, days=("2020-01-07", "2020-01-31")) == 0
+    assert repack(spark, lake, TABLE) == 1
+    # a file written anew counts as it is now
+    (path,) = [f"{d}/{f}" for d, _, files in os.walk(f"{lake}/tenants") for f in files if "2020-01-05" in d]
+    os.remove(path)
+    put(lake, "A", TABLE, "2020-01-05", document(1, name="new"), document(4), document(7))
+    os.utime(path, (2e9, 2e9))
+    assert repack(spark, lake, TABLE) == 1 and taken(spark, lake).count() == 3
+    ingest_orders(spark, lake, models, "2020-01-01", "2020-01-31", packed=True)
+    assert sorted((r.order_id, r.order_name) for r in stored_orders(spark, models).collect()) == [
+        ("gid/1", "new"), ("gid/3", "#3"), ("gid/4", "#4"), ("gid/7", "#7"),
+    ]
+
+
 def test_order_models(spark):
     orders = parsed(spark, document(1))
     row = orders.first()
