@@ -19,6 +19,9 @@ from ledgerloom.session import stored
 
 EVERY_REGION = "All Regions"
 NO_SCOPE: tuple[str, ...] = ()
+# Runs of an id this short are in so many names that they are spread over shares.
+HOT_LENGTH = 2
+HOT_SALTS = 32
 
 
 def with_settings(df: DataFrame, settings: DataFrame, scope: Sequence[str] = NO_SCOPE) -> DataFrame:
@@ -163,6 +166,10 @@ def order_name_matches(
     expanded to its distinct substrings of the lengths that occur among the ids, which gives an
     equality key on the longest wildcard-free run of an id. Ids with wildcards are then verified with
     LIKE. Names are short, so the expansion is a small multiple of the distinct names.
+
+    An id such as `1`, or one of wildcards alone, is held by nearly every name. Runs of up to HOT_LENGTH
+    characters are therefore spread: a name's piece goes to one of HOT_SALTS shares by the name's hash, and the
+    id to all of them. Longer runs that many names share are split by adaptive execution.
     """
     ids = shipping.where(F.col("order_id").isNotNull()).select(
         *scope,
@@ -171,6 +178,7 @@ def order_name_matches(
         _literal_part(F.col("order_id")).alias("_part"),
         F.col("order_id").rlike("[%_]").alias("_wild"),
     )
+    shares = F.when(F.length("_part") <= HOT_LENGTH, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
     lengths = ids.agg(F.array_sort(F.collect_set(F.length("_part")))).scalar()
     name = F.col("order_name")
 
@@ -186,11 +194,12 @@ def order_name_matches(
         .distinct()
         .withColumn("_lengths", lengths)
         .select(*scope, "order_name", F.explode(substrings).alias("_part"))
+        .withColumn("_share", F.when(F.length("_part") <= HOT_LENGTH, F.pmod(F.xxhash64("order_name"), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0)))
     )
     escaped = F.replace(F.col("linked_order_id"), F.lit("\\"), F.lit("\\\\"))
     like = F.like(name, F.concat(F.lit("%"), escaped, F.lit("%")))
     return (
-        expanded.join(ids, [*scope, "_part"])
+        expanded.join(ids.withColumn("_share", F.explode(shares)), [*scope, "_part", "_share"])
         .where(F.when(F.col("_wild"), like).otherwise(F.lit(True)))
         .select(*scope, "order_name", "linked_order_id", "linked_shipping")
     )

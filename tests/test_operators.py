@@ -63,6 +63,29 @@ def test_contains_join_keeps_lookup_duplicates_and_needs_no_nested_loop(spark, r
     assert "NestedLoop" not in matches and "Cartesian" not in matches
 
 
+def test_ids_that_every_name_holds_are_spread(spark):
+    """With `1` and `%` among the ids, no task of the join has much more than the others."""
+    names = spark.range(20_000).selectExpr("concat('#1', id) AS order_name")
+    ids = spark.createDataFrame([("1", 1.0), ("%", 2.0), ("_", 3.0)] + [(str(10_000 + i), 4.0) for i in range(3000)], SHIP)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = L.order_name_matches(names, ids).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in joined.groupBy("task").count().collect()]
+        hits = {r.linked_order_id: r["count"] for r in joined.where("length(linked_order_id) = 1").groupBy("linked_order_id").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert hits == {"1": 20_000, "%": 20_000, "_": 20_000}
+    assert len(sizes) == 16 and max(sizes) < 2.5 * sorted(sizes)[8]
+
+
 def test_contains_join_without_ids(spark):
     items = spark.createDataFrame([("1", "a", "#1001")], ITEMS)
     got = L.with_order_shipping(items, spark.createDataFrame([], SHIP)).first()
