@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from checks.oracle import END, START
 from ledgerloom import sample_store as fixtures
 from ledgerloom.functions import sales as sale_expr
 from ledgerloom.functions.costs import (
+    return_shipping_candidates,
     return_shipping_cost,
+    return_shipping_cost_known,
     shipping_cost,
     shipping_cost_by_entry,
     shipping_candidates,
@@ -33,7 +36,7 @@ from ledgerloom.sample_store import SampleStore
 from ledgerloom.session import configure, scratch_dir
 from ledgerloom.sources.calendar import days_spanned
 from ledgerloom.sources.keyindex import files_with
-from ledgerloom.sources.lake import read_lake
+from ledgerloom.sources.lake import CURRENT_PARTITION, read_lake
 from ledgerloom.sources.models import model_path, read_csv, read_model, write_csv, write_model
 from ledgerloom.sources.repack import read_packed, repack
 from ledgerloom.sources.schemas import LAKE
@@ -446,7 +449,9 @@ def shipping_decision(s):
         Q.priced(),
         final=Q.rounded(
             """SELECT sale_id, linked_order_id, 0e0 AS as_shipped, CASE action_type WHEN 'RETURN' THEN
-          coalesce(region_return, everywhere_return, 3e0) ELSE 0 END AS corrected
+          coalesce(region_return, everywhere_return, 3e0) ELSE 0 END AS corrected,
+          CASE action_type WHEN 'RETURN' THEN CASE WHEN region_return IS NOT NULL THEN region_return
+          WHEN everywhere_return IS NOT NULL THEN everywhere_return ELSE 3e0 END ELSE 0 END AS by_candidates
           FROM priced WHERE line_type = 'SHIPPING'""",
             "sale_id, linked_order_id",
             4,
@@ -461,11 +466,43 @@ def return_shipping(s):
             "linked_order_id",
             return_shipping_cost().alias("as_shipped"),
             return_shipping_cost(corrected=True).alias("corrected"),
+            return_shipping_cost_known(return_shipping_candidates()).alias("by_candidates"),
         ),
         4,
     )
 
 
+NO_LINK = "LEFT JOIN (SELECT * FROM fx_order_shipping) AS unlinked ON FALSE"
+
+
+def _unset(t, **settings):
+    """The same tables with some settings changed, and without linked shipping costs."""
+    changed = t.settings.withColumns({name: F.lit(v).cast(t.settings.schema[name].dataType) for name, v in settings.items()})
+    return replace(t, settings=changed, order_shipping=t.order_shipping.limit(0))
+
+
+@query(
+    "line_costs_without_settings",
+    Q.with_base(
+        Q.lines("UTC"),
+        Q.priced(margin="0e0").replace("6.5e0", "NULL").replace("LEFT JOIN fx_order_shipping ON order_name LIKE '%' || linked_order_id || '%'", NO_LINK),
+        final=Q.rounded(
+            "SELECT sale_id, unit_product_cost, sold_product_cost, shipping_cost, CASE line_type WHEN 'SHIPPING' THEN "
+            "CASE action_type WHEN 'RETURN' THEN coalesce(region_return, everywhere_return) ELSE 0 END ELSE 0 END AS return_cost "
+            "FROM priced",
+            "sale_id",
+            4,
+        ),
+    ),
+)
+def line_costs_without_settings(s):
+    """Neither margins nor linked costs: unknown products cost their price, unknown shipping is NULL."""
+    t = _unset(s.tables(), margin_pct=None, shipping_margin=None, return_margin=None)
+    priced = P.priced_lines(t, P.sale_lines(t, *RANGE, "UTC"))
+    known = return_shipping_cost_known(return_shipping_candidates()).alias("return_cost")
+    return shown(priced.select("sale_id", "unit_product_cost", "sold_product_cost", "shipping_cost", known), 4)
+
+
 TIER_COLUMNS = ["packaging_base", "packaging_additional", "fulfillment_base",
                 "fulfillment_additional", "packaging_cost", "fulfillment_only_cost",
                 "fulfillment_cost"]
@@ -655,6 +692,17 @@ def pnl_week_from_states_corrected(s):
     return _from_states(s, _zoned_stores(s), "week", OWN_ZONE, "corrected", [RANGE])
 
 
+@query(
+    "pnl_month_returns_kept",
+    Q.pnl("month", TZ).replace("coalesce(product_cost - returned_product_cost, 0)", "coalesce(product_cost, 0)"),
+)
+def pnl_month_returns_kept(s):
+    """A store that doesn't take the cost of returned goods off."""
+    t = s.tables()
+    kept = replace(t, settings=t.settings.withColumn("exclude_returned_cost", F.lit(False)))
+    return shown(P.period_pnl(kept, "month", *RANGE, TZ), steep=STEEP)
+
+
 # Ranges that leave rows out on both sides, inside a year and over the turn of one.
 INSIDE = ("1996-03-10", "1996-11-20")
 TURN = ("1996-12-31", "1998-01-01")
@@ -1418,6 +1466,87 @@ def lake_roundtrip(s):
     return counted.groupBy("tenantid", "tablename", "date").agg(F.count("id").alias("orders"))
 
 
+LAKE_DAYS = ("1995-03-15", "1996-11-01")
+
+
+@query(
+    "lake_date_range",
+    Q.with_base(
+        final="tenant_id AS tenantid, strftime(order_created_at, '%Y-%m-01') AS date, count(*) AS orders FROM fx_orders "
+        f"WHERE strftime(order_created_at, '%Y-%m-01') BETWEEN '{LAKE_DAYS[0]}' AND '{LAKE_DAYS[1]}' GROUP BY ALL"
+    ),
+)
+def lake_date_range(s):
+    """A range of date partitions; those before and after it stay closed."""
+    root = scratch_dir(s.spark, "lake")
+    _write_lake(_monthly(fixtures.order_documents(s)), root, "rawShopifyOrdersCreated")
+    raw = read_lake(s.spark, root, "*", "rawShopifyOrdersCreated", LAKE["orders"], days=LAKE_DAYS)
+    return raw.groupBy("tenantid", "date").agg(F.count("json").alias("orders"))
+
+
+_SUPPLIER_DATE = "CASE WHEN s_suppkey % 2 = 0 THEN '9999-99-99' ELSE '2024-01-' || lpad(CAST(1 + s_suppkey % 28 AS VARCHAR), 2, '0') END"
+
+
+@query(
+    "lake_settings_partitions",
+    "SELECT 'history' AS read, date, count(*) AS rows, CAST(sum(s_suppkey) AS BIGINT) AS ids "
+    f"FROM (SELECT *, {_SUPPLIER_DATE} AS date FROM supplier) GROUP BY date "
+    "UNION ALL SELECT 'current', '9999-99-99', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier WHERE s_suppkey % 2 = 0",
+)
+def lake_settings_partitions(s):
+    """Settings of all dates, and those of the partition of current values alone, whose date is none."""
+    root = scratch_dir(s.spark, "lake")
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("s_suppkey") % 28).cast("string"), 2, "0"))
+    rows = s.table("supplier").select(
+        F.lit("A").alias("tenantid"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.lit(CURRENT_PARTITION)).otherwise(day).alias("date"),
+        F.col("s_suppkey").cast("string").alias("id"),
+    )
+    _write_lake(rows, root, "settings")
+    parts = []
+    for name, partition in (("history", None), ("current", CURRENT_PARTITION)):
+        raw = read_lake(s.spark, root, "A", "settings", "id string", partition)
+        parts.append(
+            raw.groupBy(F.lit(name).alias("read"), "date").agg(F.count("*").alias("rows"), F.sum(F.col("id").cast("long")).alias("ids"))
+        )
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "lookup_model_roundtrip",
+    Q.with_base(
+        final=Q.rounded(
+            "SELECT 'all' AS model, cost_variant_id AS variant_id, variant_cost AS product_cost, packing_fee FROM fx_product_costs "
+            "UNION ALL SELECT 'store', cost_variant_id, variant_cost, packing_fee FROM fx_product_costs",
+            "model, variant_id",
+            4,
+        )
+    ),
+)
+def lookup_model_roundtrip(s):
+    """A lookup table written as one model, and as the model of two stores of which one is read."""
+    root, costs = scratch_dir(s.spark, "models"), s.product_costs()
+    write_model(costs, model_path(root, "product_costs"))
+    every = costs.withColumn("tenantid", F.explode(F.array(F.lit("007"), F.lit("8"))))
+    write_model(every, model_path(root, "store_costs"), ["tenantid"])
+    one = read_model(s.spark, root, "store_costs", "007").drop("tenantid")
+    rows = read_model(s.spark, root, "product_costs").withColumn("model", F.lit("all"))
+    return shown(rows.unionByName(one.withColumn("model", F.lit("store"))), 4)
+
+
+@query(
+    "order_csv_plain",
+    Q.with_base(
+        final="order_id, customer_name, tags, payment_gateways, province, strftime(order_created_at, '%Y-%m-%d %H:%M:%S') AS order_created_at FROM fx_orders"
+    ),
+)
+def order_csv_plain(s):
+    """Uncompressed CSV of texts with quotes, commas and NULLs, read back."""
+    rows = s.orders().select("order_id", "customer_name", "tags", "payment_gateways", "province", at("order_created_at"))
+    path = write_csv(rows, scratch_dir(s.spark, "export"), gzip=False)
+    return read_csv(s.spark, path, ", ".join(f"{c} string" for c in rows.columns))
+
+
 @query(
     "lake_repacked",
     Q.with_base(

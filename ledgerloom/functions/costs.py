@@ -129,6 +129,12 @@ def return_shipping_cost(corrected: bool = False) -> Column:
     )
 
 
+def return_shipping_cost_known(candidates: Column) -> Column:
+    """First known return candidate, whatever entry it is from; 0 for other lines, NULL when none is known."""
+    known = F.coalesce(*[candidates[name] for name in ("region", "everywhere", "default_margin")])
+    return F.when(line_is(SHIPPING) & returned(), known).otherwise(_zero())
+
+
 def fulfillment_costs(tiers: Column) -> dict[str, Column]:
     """Matching tiers, and packaging, fulfillment and combined cost from the first of them.
 
