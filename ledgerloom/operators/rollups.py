@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.lists import purchase_conversions
 from ledgerloom.functions.costs import google_spend
-from ledgerloom.functions.numbers import ratio, zero_if_null
+from ledgerloom.functions.numbers import exact_sum, ratio, sums, zero_if_null
 from ledgerloom.operators.merge import merge_by_key
 
 # Measures that are also reported for new and for repeat customers, with the column they sum.
@@ -49,20 +49,20 @@ def is_repeat() -> Column:
 def plain_sums(items: DataFrame, keys: Sequence[str], measures: Sequence[str] | None = None):
     """Plain sums; one shuffle of partially aggregated rows."""
     names = list(SUMMED) if measures is None else list(measures)
-    return items.groupBy(*keys).agg(*[F.sum(SUMMED[m]).alias(m) for m in names])
+    return items.groupBy(*keys).agg(*sums(items, {m: F.col(SUMMED[m]) for m in names}))
 
 
-def segment_columns() -> list[Column]:
-    """New and repeat totals as ordinary conditional sums."""
-    parts = []
+def segment_columns() -> dict[str, Column]:
+    """What new and repeat totals sum as ordinary conditional sums."""
+    parts = {}
     for name, column in SEGMENTED.items():
-        parts.append(F.sum(F.when(is_new(), F.col(column))).alias(f"new_{name}"))
-        parts.append(F.sum(F.when(is_repeat(), F.col(column))).alias(f"repeat_{name}"))
+        parts[f"new_{name}"] = F.when(is_new(), F.col(column))
+        parts[f"repeat_{name}"] = F.when(is_repeat(), F.col(column))
     return parts
 
 
 def _segment_sums(items: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return items.groupBy(*keys).agg(*segment_columns())
+    return items.groupBy(*keys).agg(*sums(items, segment_columns()))
 
 
 def distinct_totals(
@@ -132,7 +132,7 @@ def entry_totals(merged: DataFrame, keys: Sequence[str], distinct_amounts: bool
     for bit, name in enumerate(names):
         for prefix, base in (("new_", 1), ("repeat_", 2)):
             hit = amount & has(base << (2 * bit))
-            parts.append(F.sum(F.when(hit, F.col("amount"))).alias(f"{prefix}{name}"))
+            parts.append(exact_sum(F.when(hit, F.col("amount"))).alias(f"{prefix}{name}"))
     return merged.groupBy(*keys).agg(*parts)
 
 
@@ -190,14 +190,12 @@ def rolled_up(sources: dict[str, DataFrame], keys: Sequence[str], aov: str = "pe
 def _basket_totals(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     value = F.col("gross_sales") - F.col("total_discounts")
     lines = lines.select(*keys, value.alias("value"), "customer_order_index")
-    everything = lines.groupBy(*keys).agg(F.sum("value").alias("basket"))
+    everything = lines.groupBy(*keys).agg(*sums(lines, {"basket": F.col("value")}))
     merged = lines.groupBy(*keys, "value").agg(
         F.max(is_new()).alias("is_new"), F.max(is_repeat()).alias("is_repeat")
     )
-    split = merged.groupBy(*keys).agg(
-        F.sum(F.when(F.col("is_new"), F.col("value"))).alias("new_basket"),
-        F.sum(F.when(F.col("is_repeat"), F.col("value"))).alias("repeat_basket"),
-    )
+    baskets = {f"{p}_basket": F.when(F.col(f"is_{p}"), F.col("value")) for p in ("new", "repeat")}
+    split = merged.groupBy(*keys).agg(*sums(merged, baskets))
     return merge_by_key({"all": everything, "split": split}, keys)
 
 
@@ -225,32 +223,30 @@ def ad_rollup(ads: DataFrame, source: str, keys: Sequence[str]) -> DataFrame:
         "tiktok": lambda: F.col("conversion"),
         "meta": lambda: purchase_conversions(F.col("actions")),
     }[source]()
-    return ads.groupBy(*keys).agg(
-        F.sum(spend).alias(f"{source}_spend"),
-        F.sum(zero_if_null(F.col("clicks"))).alias(f"{source}_clicks"),
-        F.sum(zero_if_null(conversions)).alias(f"{source}_conversions"),
-    )
+    columns = {
+        f"{source}_spend": spend,
+        f"{source}_clicks": zero_if_null(F.col("clicks")),
+        f"{source}_conversions": zero_if_null(conversions),
+    }
+    return ads.groupBy(*keys).agg(*sums(ads, columns))
 
 
 def fulfillment_rollup(shipments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return shipments.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("packaging_cost", "fulfillment_only_cost", "fulfillment_cost")]
-    )
+    costs = ("packaging_cost", "fulfillment_only_cost", "fulfillment_cost")
+    return shipments.groupBy(*keys).agg(*sums(shipments, {c: F.col(c) for c in costs}))
 
 
 def payment_fees(transactions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fees of successful sales in the store's currency."""
     kept = transactions.where((F.col("kind") == "SALE") & F.col("error_code").isNull())
-    return kept.groupBy(*keys).agg(
-        F.sum(F.col("amount") * F.col("fx_rate")).alias("payment_fees")
-    )
+    return kept.groupBy(*keys).agg(*sums(kept, {"payment_fees": F.col("amount") * F.col("fx_rate")}))
 
 
 def cost_by_tag(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Staff, marketing and operational expenses per key; all NULL where no share is known."""
 
     def tagged(tag: str) -> Column:
-        return F.sum(F.col("daily_cost") * (F.col("tag") == tag).cast("int"))
+        return exact_sum(F.col("daily_cost") * (F.col("tag") == tag).cast("int"))
 
     return (
         ledger.groupBy(*keys)

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numbers import ratio
+from ledgerloom.functions.numbers import exact_sum, ratio, sums
 from ledgerloom.functions.sales import PRODUCT, line_is, with_sale_fields
 from ledgerloom.functions.timekeys import (
     GRAINS,
@@ -403,14 +403,14 @@ def order_export_grouped(
     only = orders.select(*keys) if where else None
     totals = _profit_per_order(t, _priced(t, start, end, tz, only), start, end, tz, only)
     # an order that sales don't know has a row for each source; it counts once
-    totals = totals.groupBy(*keys).agg(*[F.sum(c).alias(f"_{name}") for name, c in ADDITIVE.items()])
+    totals = totals.groupBy(*keys).agg(*sums(totals, {f"_{name}": F.col(c) for name, c in ADDITIVE.items()}))
     named = orders.select(
         *keys, F.col("customer_id").alias("_customer_id"), *[F.col(column).alias(f"_by_{g}") for g, column in groups.items()]
     )
     joined = named.join(totals, keys, "left")
     count = {"orders": F.col("order_id"), "customers": F.col("_customer_id")}
     summed = joined.groupBy(*t.scope, *[f"_by_{g}" for g in groups]).agg(
-        *[F.coalesce(F.sum(f"_{name}"), F.lit(0.0)).alias(name) for name in ADDITIVE],
+        *[F.coalesce(exact_sum(F.col(f"_{name}")), F.lit(0.0)).alias(name) for name in ADDITIVE],
         *[F.count_distinct(count[name]).alias(name) for name in COUNTED],
     )
     for name, (above, below) in RATIOS.items():
@@ -437,9 +437,7 @@ def order_summary(
     only = orders.select(*keys) if where else None
     totals = _profit_per_order(t, _priced(t, start, end, tz, only), start, end, tz, only)
     joined = orders.select(*keys, F.col(by).alias("_by")).join(totals, keys, "left")
-    summed = joined.groupBy(*t.scope, "_by").agg(
-        *[F.sum(column).alias(name) for name, column in TOTAL_COLUMNS.items()]
-    )
+    summed = joined.groupBy(*t.scope, "_by").agg(*sums(joined, {name: F.col(c) for name, c in TOTAL_COLUMNS.items()}))
     summed = summed.withColumnRenamed("_by", by)
     if order_by:
         return summed.orderBy(*sort_columns(order_by, summed.columns))
@@ -450,9 +448,7 @@ def order_key_summary(t: StoreTables, start: str | date, end: str | date, tz: st
     """Summary by order id straight from the aggregates, including orders known to one source only."""
     t = in_own_zones(t, tz, start, end)
     totals = _profit_per_order(t, _priced(t, start, end, tz), start, end, tz)
-    return totals.groupBy(*t.scope, "order_id").agg(
-        *[F.sum(column).alias(name) for name, column in TOTAL_COLUMNS.items()]
-    )
+    return totals.groupBy(*t.scope, "order_id").agg(*sums(totals, {name: F.col(c) for name, c in TOTAL_COLUMNS.items()}))
 
 
 FILTER_COLUMNS = {
