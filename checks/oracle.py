@@ -28,19 +28,12 @@ def keys(t: str) -> str:
     )
 
 
-def rounded(query: str, plain: str = "", digits: int = 2, steep: tuple[str, ...] = ()) -> str:
-    """Wrap a query: columns named in `plain` stay as they are, all others are rounded.
-
-    Columns in `steep` are rounded to thousands once they exceed 10000.
-    """
+def rounded(query: str, plain: str = "", digits: int = 2) -> str:
+    """Wrap a query: columns named in `plain` stay as they are, all others are rounded."""
     names = [n.strip() for n in plain.split(",") if n.strip()]
     fine = f"floor({{x}} * 1e{digits} + 0.50003e0) / 1e{digits}"
     parts = list(names)
-    for n in steep:
-        coarse = f"floor({n} / 1e3 + 0.50003e0) * 1e3"
-        parts.append(f"CASE WHEN abs({n}) > 1e4 THEN {coarse} ELSE {fine.format(x=n)} END AS {n}")
-    skip = [*names, *steep]
-    parts.append(fine.format(x=f"COLUMNS(* EXCLUDE ({', '.join(skip)}))" if skip else "COLUMNS(*)"))
+    parts.append(fine.format(x=f"COLUMNS(* EXCLUDE ({', '.join(names)}))" if names else "COLUMNS(*)"))
     return f"{', '.join(parts)} FROM ({query}) AS q"
 
 
@@ -487,12 +480,13 @@ def metrics(source: str, key: str, policy: str, period: bool, extra: tuple[str,
 
     derived = [name for layer in metric_steps(policy, period) for name, _ in layer]
     final = f"SELECT {key}, {', '.join(cover(n) for n in [*shown, *WHOLE])}, {', '.join(derived)} FROM {last}"
-    steep = ("gross_margin_pct", "cogs_pct")
-    return ", ".join(ctes), rounded(final, ", ".join([key, *WHOLE]), steep=steep)
+    return ", ".join(ctes), rounded(final, ", ".join([key, *WHOLE]))
 
 
 def with_base(*parts: str, final: str) -> str:
-    return f"WITH {', '.join([BASE.strip(), *[p.strip() for p in parts if p]])} SELECT {final}"
+    sql = f"WITH {', '.join([BASE.strip(), *[p.strip() for p in parts if p]])} SELECT {final}"
+    # sums with compensation, since Spark's side doesn't depend on the order of addition
+    return re.sub(r"\bsum\(", "fsum(", sql)
 
 
 def pnl(grain: str, tz: str = "UTC", policy: str = "parity", stores: bool = False) -> str:

@@ -61,22 +61,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Ratios over amounts that nearly cancel are huge and carry few reliable digits.
-STEEP = ("gpmargin", "gross_margin_pct", "cogs_pct")
-STEEP_PAGE = ("gpmargin",)
-
-
-def shown(df: DataFrame, digits: int = 2, steep: tuple[str, ...] = ()) -> DataFrame:
-    """Round all DOUBLE columns as the oracle does; `steep` ones above 10000 to thousands."""
-
-    def cut(name: str):
-        x = F.col(name)
-        fine = half_up(x, digits)
-        return F.when(F.abs(x) > 10000, half_up(x / 1000, 0) * 1000).otherwise(fine) if name in steep else fine
-
+def shown(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Round all DOUBLE columns as the oracle does."""
     return df.select(
         *[
-            cut(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            half_up(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
@@ -637,7 +626,7 @@ def cost_by_tag(s):
 def _pnl(name: str, grain: str, tz: str = TZ, policy: str = "parity"):
     @query(name, Q.pnl(grain, tz, policy))
     def build(s):
-        return shown(P.period_pnl(s.tables(), grain, *RANGE, tz, policy), steep=STEEP)
+        return shown(P.period_pnl(s.tables(), grain, *RANGE, tz, policy))
 
 
 _pnl("pnl_day", "date", NEW_YORK)
@@ -651,13 +640,13 @@ _pnl("pnl_day_null_propagating", "date", policy="propagate")
 
 @query("pnl_month_all_stores", Q.pnl("month", TZ, stores=True))
 def pnl_month_all_stores(s):
-    return shown(P.period_pnl(fixtures.all_stores(s), "month", *RANGE, TZ), steep=STEEP)
+    return shown(P.period_pnl(fixtures.all_stores(s), "month", *RANGE, TZ))
 
 
 @query("pnl_week_all_stores_corrected", Q.pnl("week", TZ, "corrected", stores=True))
 def pnl_week_all_stores_corrected(s):
     rows = P.period_pnl(fixtures.all_stores(s), "week", *RANGE, TZ, "corrected")
-    return shown(rows, steep=STEEP)
+    return shown(rows)
 
 
 OWN_ZONES = "CASE tenant_id {} ELSE 'UTC' END".format(" ".join(f"WHEN '{t}' THEN '{z}'" for t, z in fixtures.ZONES.items()))
@@ -669,7 +658,7 @@ def _zoned_stores(s: SampleStore):
 
 @query("pnl_day_all_stores_own_zones", Q.pnl("date", OWN_ZONES, stores=True))
 def pnl_day_all_stores_own_zones(s):
-    return shown(P.period_pnl(_zoned_stores(s), "date", *RANGE, OWN_ZONE), steep=STEEP)
+    return shown(P.period_pnl(_zoned_stores(s), "date", *RANGE, OWN_ZONE))
 
 
 def _from_states(s: SampleStore, t, grain: str, tz: str, policy: str, parts: list[tuple[str, str]]) -> DataFrame:
@@ -677,7 +666,7 @@ def _from_states(s: SampleStore, t, grain: str, tz: str, policy: str, parts: lis
     root = scratch_dir(s.spark, "states")
     for span in parts:
         write_day_states(day_states(t, *span, tz, policy), root, *span)
-    return shown(pnl_from_states(read_day_states(s.spark, root), t, grain, *RANGE, policy), steep=STEEP)
+    return shown(pnl_from_states(read_day_states(s.spark, root), t, grain, *RANGE, policy))
 
 
 @query("pnl_month_from_states", Q.pnl("month", TZ))
@@ -700,7 +689,7 @@ def pnl_month_returns_kept(s):
     """A store that doesn't take the cost of returned goods off."""
     t = s.tables()
     kept = replace(t, settings=t.settings.withColumn("exclude_returned_cost", F.lit(False)))
-    return shown(P.period_pnl(kept, "month", *RANGE, TZ), steep=STEEP)
+    return shown(P.period_pnl(kept, "month", *RANGE, TZ))
 
 
 # Ranges that leave rows out on both sides, inside a year and over the turn of one.
@@ -711,7 +700,7 @@ TURN = ("1996-12-31", "1998-01-01")
 def _pnl_within(name: str, grain: str, span: tuple[str, str], tz: str, policy: str = "parity"):
     @query(name, Q.within(Q.pnl(grain, tz, policy), *span))
     def build(s):
-        return shown(P.period_pnl(s.tables(), grain, *span, tz, policy), steep=STEEP)
+        return shown(P.period_pnl(s.tables(), grain, *span, tz, policy))
 
 
 _pnl_within("pnl_week_inside_year", "week", INSIDE, NEW_YORK, "corrected")
@@ -723,7 +712,7 @@ _pnl_within("pnl_week_turn_of_year", "week", TURN, NEW_YORK, "corrected")
     Q.within(Q.pnl("week", OWN_ZONES, "corrected", stores=True), *INSIDE),
 )
 def pnl_week_own_zones_inside_year(s):
-    return shown(P.period_pnl(_zoned_stores(s), "week", *INSIDE, OWN_ZONE, "corrected"), steep=STEEP)
+    return shown(P.period_pnl(_zoned_stores(s), "week", *INSIDE, OWN_ZONE, "corrected"))
 
 
 @query("cost_ledger_inside_year", Q.within(ORACLE["cost_ledger"], *INSIDE))
@@ -779,22 +768,20 @@ def _page_sql(order_by: str) -> str:
         final=Q.rounded(
             f"SELECT {PAGE_SQL_COLUMNS}, variants, variant_paid, variant_profit, variant_gpm "
             "FROM cut LEFT JOIN listed ON key = order_id",
-            ", ".join([*Q.PAGE_TEXT, "variants"]),
-            steep=STEEP_PAGE,
-        ),
+            ", ".join([*Q.PAGE_TEXT, "variants"])),
     )
 
 
 @query("order_page", _page_sql("date DESC NULLS LAST"))
 def order_page(s):
-    return shown(_with_variant_check(O.order_page(s.tables(), *RANGE)), steep=STEEP)
+    return shown(_with_variant_check(O.order_page(s.tables(), *RANGE)))
 
 
 @query("order_page_by_profit", _page_sql("gross_profit DESC NULLS LAST"))
 def order_page_by_profit(s):
     tables = s.tables()
     page = O.order_page(tables, *RANGE, order_by=[("gross_profit", "desc")])
-    return shown(_with_variant_check(page), steep=STEEP)
+    return shown(_with_variant_check(page))
 
 
 @query(
@@ -802,11 +789,11 @@ def order_page_by_profit(s):
     Q.with_base(
         Q.order_profit(),
         Q.page(TZ),
-        final=Q.rounded(f"SELECT {PAGE_SQL_COLUMNS} FROM page", ", ".join(Q.PAGE_TEXT), steep=STEEP_PAGE),
+        final=Q.rounded(f"SELECT {PAGE_SQL_COLUMNS} FROM page", ", ".join(Q.PAGE_TEXT)),
     ),
 )
 def order_page_export(s):
-    return shown(O.order_page_export(s.tables(), *RANGE, TZ), steep=STEEP)
+    return shown(O.order_page_export(s.tables(), *RANGE, TZ))
 
 
 # The range of an order report is that of its orders; their entries count whenever they happened.
@@ -815,7 +802,7 @@ _PAGE = Q.page(TZ).strip()
 
 @query("order_page_export_inside_year", ORACLE["order_page_export"].replace(_PAGE, Q.within(_PAGE, *INSIDE)))
 def order_page_export_inside_year(s):
-    return shown(O.order_page_export(s.tables(), *INSIDE, TZ), steep=STEEP)
+    return shown(O.order_page_export(s.tables(), *INSIDE, TZ))
 
 
 @query(
@@ -826,9 +813,7 @@ def order_page_export_inside_year(s):
         final=Q.rounded(
             f"SELECT {PAGE_SQL_COLUMNS} FROM page WHERE payment_status = 'PAID' "
             "AND currency_code IN ('EUR', 'GBP') AND tags LIKE '%URGENT%'",
-            ", ".join(Q.PAGE_TEXT),
-            steep=STEEP_PAGE,
-        ),
+            ", ".join(Q.PAGE_TEXT)),
     ),
 )
 def order_page_filtered(s):
@@ -838,7 +823,7 @@ def order_page_filtered(s):
         ("tags", "like", "%URGENT%"),
     ]
     rows = O.order_page_export(s.tables(), *RANGE, TZ, where, [("paid", "asc")])
-    return shown(rows, steep=STEEP)
+    return shown(rows)
 
 
 @query(
@@ -850,9 +835,7 @@ def order_page_filtered(s):
             f"SELECT {PAGE_SQL_COLUMNS} FROM page WHERE (payment_status = 'PAID' OR currency_code = 'EUR') "
             "AND coalesce(list_contains(from_json(tags, '[\"VARCHAR\"]'), '5-LOW'), false) "
             "AND NOT (payment_status = 'PAID' AND currency_code = 'EUR')",
-            ", ".join(Q.PAGE_TEXT),
-            steep=STEEP_PAGE,
-        ),
+            ", ".join(Q.PAGE_TEXT)),
     ),
 )
 def order_page_any_of(s):
@@ -861,7 +844,7 @@ def order_page_any_of(s):
         ("tags", "has", "5-LOW"),
         ("not", ("all", [("financial_status", "=", "PAID"), ("presentment_currency", "=", "EUR")])),
     ]
-    return shown(O.order_page_export(s.tables(), *RANGE, TZ, where), steep=STEEP)
+    return shown(O.order_page_export(s.tables(), *RANGE, TZ, where))
 
 
 GROUPED_SQL = ", ".join(
@@ -886,9 +869,7 @@ def _grouped_sql(groups: dict[str, str], where: str = "TRUE", stores: bool = Fal
         f"LEFT JOIN per_sales s ON o.order_id = s.order_id WHERE {where} GROUP BY ALL)",
         final=Q.rounded(
             "SELECT *, coalesce(gross_profit / nullif(net, 0) * 100, 0) AS gpmargin FROM grouped",
-            ", ".join([*groups, "orders", "customers"]),
-            steep=STEEP_PAGE,
-        ),
+            ", ".join([*groups, "orders", "customers"])),
     )
 
 
@@ -899,7 +880,7 @@ def _grouped_sql(groups: dict[str, str], where: str = "TRUE", stores: bool = Fal
 def order_export_grouped(s):
     where = [("financial_status", "=", "PAID")]
     rows = O.order_export_grouped(s.tables(), *RANGE, ["shipping_country", "currency_code"], where=where)
-    return shown(rows, steep=STEEP_PAGE)
+    return shown(rows)
 
 
 @query(
@@ -909,7 +890,7 @@ def order_export_grouped(s):
 def order_export_grouped_all_stores(s):
     """By local month and province, every store in its own zone; orders without a province are a group."""
     rows = O.order_export_grouped(_zoned_stores(s), *RANGE, ["month", "province"], OWN_ZONE)
-    return shown(rows, steep=STEEP_PAGE)
+    return shown(rows)
 
 
 def _summary_sql(by: str, extra: str = "") -> str:
@@ -919,16 +900,14 @@ def _summary_sql(by: str, extra: str = "") -> str:
         final=Q.rounded(
             f"SELECT o.{by}, {sums} FROM fx_orders o LEFT JOIN profit p ON o.order_id = p.order_id "
             f"{extra} GROUP BY o.{by}",
-            by,
-            steep=STEEP_PAGE,
-        ),
+            by),
     )
 
 
 @query("order_summary_country", _summary_sql("shipping_country"))
 def order_summary_country(s):
     rows = O.order_summary(s.tables(), *RANGE, "shipping_country", order_by=[("paid", "desc")])
-    return shown(rows, steep=STEEP)
+    return shown(rows)
 
 
 @query(
@@ -938,7 +917,7 @@ def order_summary_country(s):
 def order_summary_filtered(s):
     where = [("financial_status", "=", "PAID")]
     rows = O.order_summary(s.tables(), *RANGE, "presentment_currency", where=where)
-    return shown(rows, steep=STEEP)
+    return shown(rows)
 
 
 @query(
@@ -950,20 +929,18 @@ def order_summary_filtered(s):
         "ORDER BY paid DESC NULLS LAST, key, src NULLS FIRST) <= 2000)",
         final=Q.rounded(
             f"SELECT tenant_id, {PAGE_SQL_COLUMNS} FROM cut",
-            ", ".join(["tenant_id", *Q.PAGE_TEXT]),
-            steep=STEEP_PAGE,
-        ),
+            ", ".join(["tenant_id", *Q.PAGE_TEXT])),
     ),
 )
 def order_page_all_stores(s):
     stores = fixtures.all_stores(s)
     page = O.order_page(stores, *RANGE, order_by=[("paid", "desc")])
-    return shown(page.drop("variants_json"), steep=STEEP)
+    return shown(page.drop("variants_json"))
 
 
 @query("order_summary_province", _summary_sql("province"))
 def order_summary_province(s):
-    return shown(O.order_summary(s.tables(), *RANGE, "province"), steep=STEEP)
+    return shown(O.order_summary(s.tables(), *RANGE, "province"))
 
 
 @query(
@@ -973,13 +950,11 @@ def order_summary_province(s):
         final=Q.rounded(
             f"SELECT order_id, {', '.join(f'sum({c}) AS {c}' for c in Q.TOTALS)} FROM profit "
             "GROUP BY order_id",
-            "order_id",
-            steep=STEEP_PAGE,
-        ),
+            "order_id"),
     ),
 )
 def order_key_summary(s):
-    return shown(O.order_key_summary(s.tables(), *RANGE), steep=STEEP)
+    return shown(O.order_key_summary(s.tables(), *RANGE))
 
 
 def _totals_sql(grain: str, swapped: bool) -> str:
@@ -1007,13 +982,13 @@ def _totals_sql(grain: str, swapped: bool) -> str:
 
 @query("order_totals_order", _totals_sql("order_id", False))
 def order_totals_order(s):
-    return shown(O.order_totals(s.tables(), "order_id", *RANGE, TZ), steep=STEEP)
+    return shown(O.order_totals(s.tables(), "order_id", *RANGE, TZ))
 
 
 @query("order_totals_month", _totals_sql("month", True))
 def order_totals_month(s):
     rows = O.order_totals(s.tables(), "month", *RANGE, TZ, by="event", swapped_cost_flags=True)
-    return shown(rows, steep=STEEP)
+    return shown(rows)
 
 
 @query(
@@ -1752,7 +1727,7 @@ def order_csv_roundtrip(s):
     export = O.order_page_export(s.tables(), *RANGE, TZ)
     path = write_csv(export, scratch_dir(s.spark, "export"), gzip=True)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in export.schema.fields)
-    return shown(read_csv(s.spark, path, schema), steep=STEEP)
+    return shown(read_csv(s.spark, path, schema))
 
 
 # The SQL of priced reports matches the orders' linked costs once per order name.

@@ -27,8 +27,8 @@ def ratio_or_zero(a: Column, b: Column, scale: float = 1.0) -> Column:
 def half_up(x: Column, digits: int) -> Column:
     """Round half up, treating anything within 0.00003 of the half as a half.
 
-    Sums of doubles depend on the order of addition. The tolerance keeps that noise from deciding
-    which way an exact half goes, so repeated runs print the same figure.
+    A half of a cent has no exact double, and products round in their last digit. The tolerance keeps that
+    from deciding which way a half goes, so engines that round in different places print the same figure.
     """
     factor = float(10**digits)
     return F.floor(x * F.lit(factor) + F.lit(0.50003)).cast("double") / F.lit(factor)

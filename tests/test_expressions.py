@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
 from datetime import date, datetime
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import costs as C
 from ledgerloom.functions import lists, numbers
 from ledgerloom.functions import timekeys as T
+from ledgerloom.functions.numbers import exact_sum, sums
 from ledgerloom.functions.sales import original_order_flag, with_sale_fields
 
 SALE = (
@@ -280,3 +284,23 @@ def test_original_order_flag(spark):
         rows, "line_type string, action_type string, order_created_at timestamp, happened_at timestamp"
     )
     assert [r[0] for r in df.select(original_order_flag()).collect()] == [1, 0, 0, 0, 0]
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    """Any order and partitioning gives the same double, the one nearest to the true sum."""
+    rng = random.Random(4)
+    values = [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-3, 11) for _ in range(5000)]
+    values += [-v for v in values[:4000]] + [0.1] * 10 + [None] * 5
+    truth = float(sum(Fraction(v) for v in values if v is not None))
+    found = set()
+    for seed in range(4):
+        rng.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(1 + 3 * seed)
+        row = df.agg(exact_sum(F.col("x")).alias("s"), exact_sum(F.when(F.lit(False), F.col("x"))).alias("none")).first()
+        assert row.none is None
+        found.add(row.s)
+    assert len(found) == 1 and abs(found.pop() - truth) <= 9000 * 2**-45 + 2 * math.ulp(truth)
+    with pytest.raises(Exception, match="OVERFLOW"):
+        spark.createDataFrame([(1e300,)], "x double").agg(exact_sum(F.col("x"))).collect()
+    whole = spark.createDataFrame([(1, 1.5), (2, 2.5)], "n int, x double")
+    assert whole.agg(*sums(whole, {"n": F.col("n"), "x": F.col("x")})).first() == (3, 4.0)

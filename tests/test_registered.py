@@ -64,7 +64,7 @@ def test_matches_sql(spark, duck, name):
 def test_parity_report_of_a_range(spark, duck, span):
     """Not registered, since DuckDB fails with an internal error on this SQL over larger tables."""
     store = SampleStore(spark, SF_DIR)
-    result = queries.shown(period_pnl(store.tables(), "month", *span, queries.TZ), steep=queries.STEEP)
+    result = queries.shown(period_pnl(store.tables(), "month", *span, queries.TZ))
     expected = duck.execute(oracle.within(oracle.every_order(oracle.pnl("month", queries.TZ)), *span))
     columns = [d[0] for d in expected.description]
     mine = canonical(result.columns, [tuple(r) for r in result.collect()])
