@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from checks import oracle as Q
 from checks.oracle import END, START
-from ledgerloom import sample_store as fixtures
+from checks import sample_store as fixtures
 from ledgerloom.functions import sales as sale_expr
 from ledgerloom.functions.costs import (
     return_shipping_candidates,
@@ -32,7 +32,7 @@ from ledgerloom.plans import period as P
 from ledgerloom.plans.ingest import write_order_models
 from ledgerloom.plans.states import day_states, pnl_from_states, read_day_states, write_day_states
 from ledgerloom.plans.tables import with_zones
-from ledgerloom.sample_store import SampleStore
+from checks.sample_store import SampleStore
 from ledgerloom.session import configure, scratch_dir
 from ledgerloom.sources.calendar import days_spanned
 from ledgerloom.sources.keyindex import files_with
@@ -1024,6 +1024,14 @@ def order_variants(s):
     return shown(_with_variant_check(O.order_variants(_priced(s))))
 
 
+@query("order_variants_parsed", ORACLE["order_variant_lines"])
+def order_variants_parsed(s):
+    """The JSON text of every order's variants, read back and compared line by line."""
+    schema = "array<struct<id: string, lineType: string, product: string, quantity: int, paid: double, product_cost: double, gross_profit: double, gpm: double>>"
+    listed = O.order_variants(_priced(s)).withColumn("lines", F.from_json("variants_json", schema, {"mode": "FAILFAST"}))
+    return shown(listed.select("order_id", F.inline("lines")), 4)
+
+
 @query(
     "order_filter_values",
     Q.with_base(
@@ -1067,6 +1075,25 @@ def fulfillment_export(s):
     return shown(rows.withColumns({c: at(c) for c in ("order_created_at", "fulfilled_at")}), 4)
 
 
+@query(
+    "fulfillment_export_tiers",
+    Q.with_base(
+        final=Q.rounded(
+            "SELECT resource_id, CAST(row_number() OVER (PARTITION BY resource_id ORDER BY tier) - 1 AS INTEGER) AS place, "
+            "ship_base AS fulfillment_base, ship_more AS fulfillment_additional, pack_base AS packaging_base, "
+            "pack_more AS packaging_additional, low AS min_units, high AS max_units "
+            "FROM fx_fulfillments JOIN fx_tiers ON total_quantity BETWEEN low AND high",
+            "resource_id, place, min_units, max_units",
+            4,
+        )
+    ),
+)
+def fulfillment_export_tiers(s):
+    """The list of matching tiers of every shipment, entry by entry."""
+    rows = O.fulfillment_export(s.tables(), TZ, *RANGE).select("resource_id", F.posexplode("matching_tiers").alias("place", "tier"))
+    return shown(rows.select("resource_id", "place", "tier.*"), 4)
+
+
 @query(
     "filter_value_rows",
     Q.with_base(

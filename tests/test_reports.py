@@ -14,7 +14,7 @@ from ledgerloom.plans import orders as O
 from ledgerloom.plans import period as P
 from ledgerloom.plans.states import day_states, pnl_from_states, read_day_states, write_day_states
 from ledgerloom.plans.tables import StoreTables, in_own_zones, with_zones
-from ledgerloom.sample_store import SETTINGS_SQL
+from checks.sample_store import SETTINGS_SQL
 
 AT = datetime.fromisoformat
 ORDERS = (
