@@ -3,6 +3,9 @@
 A chunk sends its distinct values once, with their counts, however often they occur in it. So a value that
 stands everywhere costs a bucket one entry a chunk, and no key gathers the rows of a table in one task. A
 bucket is a share of the hash range; their number follows the number of values, so its size does not grow.
+
+What a chunk sends to a bucket is one row. Beyond some 10**11 values a chunk has only a few for each bucket, and the
+exchange comes near a row for each value, which is the most it can cost.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from ledgerloom.llm.frames import sorted_groups
 #: Values of a bucket, on average.
 BUCKET_VALUES = 1 << 19
 
+#: Bits of the bucket number that are used for the tasks' sake alone.
+MOST_SPLIT = 12
+
 Emitted = Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
@@ -73,7 +79,8 @@ def met(
     byte strings or not at all.
     """
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(bits, (2 * parts).bit_length())  # work for every task, few values or many
+    # work for the tasks, few values or many, but not so many buckets that a chunk has few values for each
+    bits = max(bits, min((2 * parts).bit_length(), MOST_SPLIT))
     shift = np.uint64(64 - bits)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
