@@ -356,6 +356,16 @@ def test_ids_are_found_in_their_files(spark, tmp_path):
     assert len(found - held) <= 2
 
 
+def test_small_files_do_not_pile_up(spark, tmp_path):
+    """New orders join the small files of their partition; with no size called small they get files of their own."""
+    for small, expected in ((ingest.SMALL_BYTES, 1), (0, 3)):
+        models = f"{tmp_path}/{small}"
+        for first in (0, 3, 6):
+            ingest.write_order_models(orders_of(spark, range(first, first + 3)), models, small_bytes=small)
+        files = snapshots.listed(spark, models, snapshots.current(spark, models)).where("file is not null and table = 'orders'")
+        assert files.count() == expected and read_model(spark, models, "orders").count() == 9
+
+
 def test_models_of_plain_folders_are_taken_over(spark, tmp_path):
     models = str(tmp_path)
     old = orders_of(spark, range(6))
