@@ -15,6 +15,7 @@ from ledgerloom.operators import rollups as R
 from ledgerloom.operators.ingest_settings import shipping_by_country_model
 from ledgerloom.operators.merge import merge_by_key
 from ledgerloom.operators.pricing import daily_ledger
+from ledgerloom.session import BROADCAST_KEYS, BROADCAST_LIMIT, configure
 
 
 def plan(df) -> str:
@@ -63,6 +64,19 @@ def test_contains_join_keeps_lookup_duplicates_and_needs_no_nested_loop(spark, r
     assert "NestedLoop" not in matches and "Cartesian" not in matches
 
 
+def test_broadcast_threshold_is_capped_and_a_lower_one_kept(spark):
+    """The driver holds what is broadcast, so a session's small limit isn't raised."""
+    key = BROADCAST_KEYS[0]
+    before = spark.conf.get(key)
+    try:
+        for given, kept in (("256k", "256k"), ("-1", "-1"), ("32m", str(BROADCAST_LIMIT))):
+            spark.conf.set(key, given)
+            configure(spark)
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_ids_that_every_name_holds_are_spread(spark):
     """With `1` and `%` among the ids, no task of the join has much more than the others."""
     names = spark.range(20_000).selectExpr("concat('#1', id) AS order_name")
