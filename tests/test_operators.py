@@ -389,3 +389,26 @@ def test_hot_key_is_spread_by_value(spark):
     for name in direct.asDict():
         a, b = distinct[name], direct[name]
         assert a == b or math.isclose(a, b, abs_tol=1e-9)
+
+
+def expand_sizes(node) -> list[int]:
+    """Copies of a row that each Expand of an optimized plan makes."""
+    found = [node.projections().size()] if node.nodeName() == "Expand" else []
+    children = node.children()
+    for i in range(children.size()):
+        found += expand_sizes(children.apply(i))
+    return found
+
+
+def test_direct_distinct_totals_copy_a_row_once_per_column(spark, rows):
+    """New and repeat are filters of one DISTINCT: ten copies of a row, not one for each of 22 aggregates."""
+    data = [("a", "c1", "o1", 1, 2.0), ("a", "c1", "o2", 2, 2.0), ("a", "c2", "o2", 3, 2.0),
+            ("a", "c2", "o3", None, 5.0), ("a", None, "o4", 1, 3.0), ("b", "c3", None, None, 1.0)]
+    items = spark.createDataFrame(data, "k string, customer_id string, order_id string, customer_order_index int, v double")
+    items = items.select("*", *[(F.col("v") + i).alias(name) for i, name in enumerate(R.SEGMENTED.values())])
+    got = R.distinct_totals_direct(items, ["k"])
+    picked = ["k", "customers", "new_customers", "repeat_customers", "orders", "new_orders", "repeat_orders",
+              "new_discounts", "repeat_discounts"]
+    assert rows(got, *picked) == [("a", 2, 1, 2, 4, 2, 1, 5.0, 2.0), ("b", 1, 0, 0, 0, 0, 0, None, None)]
+    assert rows(got, *picked) == rows(R.distinct_totals(items, ["k"]), *picked)
+    assert expand_sizes(got._jdf.queryExecution().optimizedPlan()) == [10]
