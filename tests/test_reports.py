@@ -290,6 +290,14 @@ def test_filters_reach_the_sale_entries(store):
         assert "LeftSemi" in frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_order_shipping_is_the_last_lookup(store):
+    """It repeats a line for every linked id, and no other lookup is to shuffle the repeats."""
+    priced = P.priced_lines(store, P.sale_lines(store, *RANGE, "UTC"))
+    plan = priced._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 4 and "_right_order_name" in joins[0] and "_right_order_name" not in "".join(joins[1:])
+
+
 def test_long_orders_are_one_row(spark, store, rows):
     priced = P.priced_lines(store, P.sale_lines(store, *RANGE, "UTC"))
     copies = F.explode(F.sequence(F.lit(1), F.lit(30)))
