@@ -100,6 +100,32 @@ def test_ids_that_every_name_holds_are_spread(spark):
     assert len(sizes) == 16 and max(sizes) < 2.5 * sorted(sizes)[8]
 
 
+def test_long_ids_match_brute_force(spark, rows):
+    """Short and long runs are joined apart; together they are what LIKE finds."""
+    rng = random.Random(11)
+    names = sorted({"#" + "".join(rng.choices("012", k=rng.randint(3, 9))) for _ in range(200)})
+    ids = ["".join(rng.choices("012", k=rng.randint(1, 7))) for _ in range(200)]
+    ids += ["".join(rng.choices("012%_", k=rng.randint(4, 9))) for _ in range(60)] + ["#0", "%01201", ""]
+    ship = [(x, float(i)) for i, x in enumerate(ids)]
+    got = L.order_name_matches(spark.createDataFrame([(n,) for n in names * 2], "order_name string"), spark.createDataFrame(ship, SHIP))
+    expected = [(n, x, c) for n in names for x, c in ship if like(n, f"%{x}%")]
+    assert rows(got) == sorted(expected, key=repr)
+
+
+def test_short_ids_are_broadcast_when_all_ids_are_too_many(spark):
+    """Most pieces of a name are short; they aren't shuffled because of the many long ids."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        names = spark.range(20_000).selectExpr("concat('#', 500000 + id) AS order_name")
+        ids = spark.range(60_000).selectExpr("CAST(id * 9 AS string) AS order_id", "rand(1) AS shipping_cost")
+        joins = plan(L.order_name_matches(names, ids))
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in joins and "SortMergeJoin" in joins
+
+
 def test_contains_join_without_ids(spark):
     items = spark.createDataFrame([("1", "a", "#1001")], ITEMS)
     got = L.with_order_shipping(items, spark.createDataFrame([], SHIP)).first()
