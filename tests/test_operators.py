@@ -77,6 +77,18 @@ def test_broadcast_threshold_is_capped_and_a_lower_one_kept(spark):
         spark.conf.set(key, before)
 
 
+def test_broadcast_threshold_is_capped_where_the_session_sets_none(spark):
+    """Spark's default is ten times the cap; a session that leaves it alone doesn't keep it."""
+    key = BROADCAST_KEYS[0]
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        configure(spark)
+        assert spark.conf.get(key) == str(BROADCAST_LIMIT)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_ids_that_every_name_holds_are_spread(spark):
     """With `1` and `%` among the ids, no task of the join has much more than the others."""
     names = spark.range(20_000).selectExpr("concat('#1', id) AS order_name")
