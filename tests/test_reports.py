@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import replace
 from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from ledgerloom.plans import orders as O
 from ledgerloom.plans import period as P
 from ledgerloom.plans.states import day_states, pnl_from_states, read_day_states, write_day_states
 from ledgerloom.plans.tables import StoreTables, in_own_zones, with_zones
+from checks import queries
 from checks.sample_store import SETTINGS_SQL
+from ledgerloom.functions.sales import line_is
 
 AT = datetime.fromisoformat
 ORDERS = (
@@ -428,3 +431,17 @@ def test_periods_are_merged_from_stored_days(store, spark, tmp_path, policy):
     assert pnl_from_states(states, gone, "month", "2019-12-31", "2020-01-05", policy).count() == P.period_pnl(store, "month", "2019-12-31", "2020-01-05", policy=policy).count()
     kept = states.sums.select("date").distinct().collect()
     assert {r.date for r in kept} == {r.date for r in day_states(store, "2019-01-01", "2020-12-31", policy=policy).sums.select("date").collect()}
+
+
+def test_shipping_queries_look_up_shipping_entries_alone(store, monkeypatch):
+    """Other lines are left out before the lookups, and the rows are those of pricing all lines."""
+    span = ("2020-01-01", "2020-12-31")
+    every = P.priced_lines(store, P.sale_lines(store, *span, "UTC")).where(line_is("SHIPPING"))
+    expected = sorted((r.sale_id, r.linked_order_id or "") for r in every.collect())
+    seen, price = [], P.price_lines
+    monkeypatch.setattr(queries, "RANGE", span)
+    monkeypatch.setattr(P, "price_lines", lambda items, *a, **options: seen.append(items) or price(items, *a, **options))
+    for build in (queries.shipping_decision, queries.return_shipping):
+        got = build(SimpleNamespace(tables=lambda: store)).collect()
+        assert expected and sorted((r.sale_id, r.linked_order_id or "") for r in got) == expected
+    assert [{r.line_type for r in items.collect()} for items in seen] == [{"SHIPPING"}] * 2
