@@ -99,6 +99,45 @@ def test_repeated_passages_of_a_host_are_removed(corpus):
     assert {got[20 + i] for i in range(4)} == {f"{line} the very same words on every page"}
 
 
+def test_unmarked_notices_inside_articles_are_removed(corpus):
+    """A block that half of a host's articles repeat goes; shared sentences, rarer blocks and copies stay."""
+    notice = "Accept our cookies to read on"
+
+    def page(host, *blocks):
+        return (f"https://{host}/p", "<main>" + "".join(f"<p>{b}</p>" for b in blocks) + "</main>")
+
+    own = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(8)]
+    shared = "the same six words in here"
+    rows = [(i, *page("a.example", own[i], notice, f"{shared} {own[i]}", "The end")) for i in range(4)]
+    rows += [(10 + i, *page("b.example", own[i], *[notice] * (i < 3))) for i in range(7)]  # three of seven articles
+    rows += [(20 + i, *page("c.example", notice, f"{shared} and more", f"only{i}")) for i in range(4)]  # near copies
+    rows += [(30 + i, *page("d.example", own[i], notice)) for i in range(2)]  # too few pages
+    rows += [(40 + i, *page("e.example", own[0], own[1])) for i in range(4)]  # copies
+    got = {i: t for (i, _), (t, _) in extracted(corpus, [(*r, "k", "h", "a") for r in rows]).items()}
+    assert [got[i] for i in range(4)] == [f"{own[i]} {shared} {own[i]} The end" for i in range(4)]
+    assert [got[10 + i] for i in range(7)] == [f"{own[i]} {notice}" if i < 3 else own[i] for i in range(7)]
+    assert [got[20 + i] for i in range(4)] == [f"{notice} {shared} and more only{i}" for i in range(4)]
+    assert [got[30 + i] for i in range(2)] == [f"{own[i]} {notice}" for i in range(2)]
+    assert {got[40 + i] for i in range(4)} == {f"{own[0]} {own[1]}"}
+
+
+def test_sorted_suffixes_count_the_pages_of_passages():
+    """By neighbours, over any cuts of the sorted rows, as a plain count of distinct pages."""
+    rng = random.Random(3)
+    rows = sorted((rng.choice("ab"), rng.randint(0, 5), rng.choice([0, 9]), rng.randint(0, 6)) for _ in range(300))
+    expected = {}
+    for *passage, page in rows:
+        expected.setdefault(tuple(passage), set()).add(page)
+    whole = html_text.pd.DataFrame(rows, columns=["host", "run", "rest", "page"])
+    for size in (1, 2, 7, 300):
+        got = {}
+        for frame in html_text._passages(whole[k : k + size] for k in range(0, 300, size)):
+            for host, run, rest, n in frame.itertuples(index=False):
+                got[host, run, rest] = got.get((host, run, rest), 0) + n
+        enough = {p: len(pages) for p, pages in expected.items() if len(pages) >= html_text.PAGES}
+        assert enough and {p: n for p, n in got.items() if n >= html_text.PAGES} == enough
+
+
 # ---- personal data ----
 
 PATTERNS = {
