@@ -15,7 +15,7 @@ from ledgerloom.operators import rollups as R
 from ledgerloom.operators.ingest_settings import shipping_by_country_model
 from ledgerloom.operators.merge import merge_by_key
 from ledgerloom.operators.pricing import daily_ledger
-from ledgerloom.session import BROADCAST_KEYS, BROADCAST_LIMIT, configure
+from ledgerloom.session import BROADCAST_KEYS, BROADCAST_LIMIT, UNPACKED_FACTOR, UNPACKED_KEY, configure
 
 
 def plan(df) -> str:
@@ -89,6 +89,25 @@ def test_broadcast_threshold_is_capped_where_the_session_sets_none(spark):
         spark.conf.set(key, before)
 
 
+def test_a_file_counts_by_what_it_unpacks_to(spark, tmp_path):
+    """Numbers as text are small as a file; the driver would hold each as a row of a broadcast side."""
+    path, keys = str(tmp_path / "ids"), (*BROADCAST_KEYS, UNPACKED_KEY)
+    spark.range(150_000).selectExpr("CAST(id AS string) AS order_id").coalesce(1).write.option("compression", "zstd").parquet(path)
+    size = sum(p.stat().st_size for p in (tmp_path / "ids").glob("*.parquet"))
+    before = {key: spark.conf.get(key) for key in keys}
+    lines = spark.range(1_000_000).selectExpr("CAST(id AS string) AS order_id")
+    try:
+        spark.conf.set(BROADCAST_KEYS[0], str(2 * size))
+        for given, kept in (("1.0", str(UNPACKED_FACTOR)), ("20.0", "20.0")):
+            spark.conf.set(UNPACKED_KEY, given)
+            configure(spark)
+            assert spark.conf.get(UNPACKED_KEY) == kept
+            assert "Broadcast" not in plan(lines.join(spark.read.parquet(path), "order_id"))
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_ids_that_every_name_holds_are_spread(spark):
     """With `1` and `%` among the ids, no task of the join has much more than the others."""
     names = spark.range(20_000).selectExpr("concat('#1', id) AS order_name")
