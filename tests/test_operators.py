@@ -375,6 +375,16 @@ def test_ratios_without_a_divisor_are_null(spark):
     assert (row.orders, row.aov, row.items_per_order, row.sales_returns_pct) == (0, None, None, None)
 
 
+def test_sales_sources_are_computed_one_by_one(spark, rows):
+    """The driver follows one of them at a time; what is merged are stored rows, without a sale entry."""
+    lines = random_lines(spark)
+    rolled = R.sales_rollup(lines, ["period"], measures=R.SALES_ONLY)
+    read = " ".join(rolled.inputFiles())
+    assert "sales-sums" in read and "sales-distinct" in read and "ExistingRDD" not in plan(rolled)
+    sums = R.plain_sums(lines, ["period"], R.SALES_ONLY)
+    assert rows(rolled, *sums.columns) == rows(sums)
+
+
 def test_payment_fees(spark, rows):
     tx = spark.createDataFrame(
         [("a", "SALE", None, 2.0, 1.5), ("a", "SALE", "DECLINED", 9.0, 1.0),
