@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -356,6 +357,40 @@ def test_ids_are_found_in_their_files(spark, tmp_path):
     assert len(found - held) <= 2
 
 
+def test_an_id_is_not_copied_for_each_file(spark, tmp_path):
+    """Files of many years hold ids of one range; an id meets their filters as one row for each size of them."""
+    models = str(tmp_path)
+    ingest.write_order_models(orders_of(spark, [1000 * year + i for year in range(2010, 2020) for i in range(30)]), models, small_bytes=0)
+    files = snapshots.listed(spark, models, snapshots.current(spark, models))
+    keys = spark.createDataFrame([("A", f"gid/{1000 * year + 7}") for year in range(2010, 2015)], "tenantid string, order_id string")
+    found = keyindex.files_with(spark, models, "orders", files, keys)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.year for r in found.collect()} >= {str(y) for y in range(2010, 2015)}
+
+
+def test_files_without_filters_are_found_by_their_ids(spark, tmp_path):
+    """Files listed before filters had their form are opened if their range may hold an id, beside those with filters."""
+    models = str(tmp_path)
+    for ids in ([2010001, 2010005], [2011001, 2011005]):
+        ingest.write_order_models(orders_of(spark, ids), models, small_bytes=0)
+    number = snapshots.current(spark, models)
+    first = min(r.batch for r in snapshots.listed(spark, models, number).where("file is not null").select("batch").collect())
+    shutil.rmtree(f"{snapshots.filters_path(models, 'orders')}/batch={first}")
+    files = snapshots.listed(spark, models, number)
+
+    def years(*ids):
+        keys = spark.createDataFrame([("A", f"gid/{i}") for i in ids], "tenantid string, order_id string")
+        return {r.year for r in keyindex.files_with(spark, models, "orders", files, keys).collect()}
+
+    assert years(2010003) == {"2010"} and years(2011005) == {"2011"} and years(2010005, 2011001) == {"2010", "2011"}
+    assert years(2009001) == set()
+    ingest.write_order_models(orders_of(spark, [2010005], displayFinancialStatus="VOIDED"), models, small_bytes=0)
+    rows = read_model(spark, models, "orders")
+    assert sorted((r.order_id, r.financial_status == "VOIDED") for r in rows.collect()) == [
+        ("gid/2010001", False), ("gid/2010005", True), ("gid/2011001", False), ("gid/2011005", False)
+    ]
+
+
 def test_small_files_do_not_pile_up(spark, tmp_path):
     """New orders join the small files of their partition; with no size called small they get files of their own."""
     for small, expected in ((ingest.SMALL_BYTES, 1), (0, 3)):
