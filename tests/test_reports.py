@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.timekeys import OWN_ZONE, in_local_range, local_date
+from ledgerloom.operators import rollups as R
 from ledgerloom.plans import orders as O
 from ledgerloom.plans import period as P
 from ledgerloom.plans.states import day_states, pnl_from_states, read_day_states, write_day_states
@@ -445,3 +446,67 @@ def test_shipping_queries_look_up_shipping_entries_alone(store, monkeypatch):
         got = build(SimpleNamespace(tables=lambda: store)).collect()
         assert expected and sorted((r.sale_id, r.linked_order_id or "") for r in got) == expected
     assert [{r.line_type for r in items.collect()} for items in seen] == [{"SHIPPING"}] * 2
+
+
+def linked_store(store, spark):
+    """Orders whose names hold several ids, some twice or without a cost; lines of all kinds; no region for some."""
+    days = ("2020-01-05", "2020-01-06", "2020-01-07")
+    kinds = [("PRODUCT", "ORDER"), ("SHIPPING", "ORDER"), ("SHIPPING", "RETURN"), ("PRODUCT", "RETURN"), ("GIFT_CARD", "ORDER")]
+    sales = [
+        line(100 * n + k, n, days[k % 3], kind, action, quantity=k + 1, price=10.1 * (n % 7) + k / 3, total_tax=0.1 * k, tax_rate_sum=0.07,
+             country_code="IE" if n % 3 else "DE", variant_id="v1" if k % 2 else None, order_name=f"#{n}" if n != 13 else None)
+        for n in range(1, 40) for k, (kind, action) in enumerate(kinds)
+    ]
+    ids = [(str(n), n / 7 if n % 4 else None) for n in range(1, 25)] + [("1", 0.1), ("2", None), ("%3", 1.25), (None, 9.0)]
+    return replace(
+        store,
+        sales=spark.createDataFrame(sales, SALES),
+        order_shipping=spark.createDataFrame(ids, "order_id string, shipping_cost double"),
+        product_costs=spark.createDataFrame([("v1", 4.0, 0.5), ("v1", 5.0, None)], "variant_id string, product_cost double, packing_fee double"),
+    )
+
+
+@pytest.mark.parametrize("options", [{}, {"shipping_match": "exact", "shipping_fallback": "charge"}, {"shipping_fallback": "entry", "swapped_cost_flags": True}])
+@pytest.mark.parametrize("unset", [False, True])
+def test_counted_lines_sum_to_what_their_repeats_do(store, spark, rows, options, unset):
+    t = linked_store(store, spark)
+    if unset:
+        t = replace(t, settings=t.settings.withColumns({c: F.lit(None).cast("double") for c in ("shipping_margin", "margin_pct")}))
+    lines = P.sale_lines(t, *RANGE, "UTC")
+    counted, repeated = (P.priced_lines(t, lines, counted=c, **options) for c in (True, False))
+    for keys in (["date"], ["order_id"], []):
+        assert rows(R.plain_sums(counted, keys)) == rows(R.plain_sums(repeated, keys))
+    assert rows(R._segment_sums(counted, ["date"])) == rows(R._segment_sums(repeated, ["date"]))
+    assert rows(O.order_variants(counted)) == rows(O.order_variants(repeated))
+    assert rows(O.variant_lines(counted)) == rows(O.variant_lines(repeated))
+
+
+def test_reports_do_not_repeat_lines_for_linked_ids(store, spark, monkeypatch):
+    """What is looked up is a row for each name, and no line is copied for its ids."""
+    t, seen = linked_store(store, spark), []
+    price = P.price_lines
+    monkeypatch.setattr(P, "price_lines", lambda items, *a, **options: seen.append((items, price(items, *a, **options))) or seen[-1][1])
+    P.period_pnl(t, "month", *RANGE)
+    O.order_totals(t, "month", *RANGE)
+    O.order_summary(t, *RANGE, "province")
+    assert len(seen) == 3
+    for items, priced in seen:
+        # each line of v1 has two costs
+        assert priced.count() == items.count() + items.where("variant_id = 'v1'").count()
+
+
+def test_a_linked_cost_too_large_is_an_error_only_where_it_is_summed(store, spark):
+    for cost in (float("nan"), 1e300):
+        ids = spark.createDataFrame([("2", cost)], "order_id string, shipping_cost double")
+        t = replace(store, order_shipping=ids)
+        assert P.period_pnl(t, "date", *RANGE).count()
+        with pytest.raises(Exception, match="too large"):
+            P.period_pnl(replace(t, order_shipping=ids.withColumn("order_id", F.lit("1"))), "date", *RANGE).collect()
+
+
+def test_sale_ids_and_fields_are_not_shuffled_by_lookups(store, spark):
+    t = linked_store(store, spark)
+    sums = R.plain_sums(P.priced_lines(t, P.sale_lines(t, *RANGE, "UTC"), counted=True), ["date"])
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join LeftOuter"):]
+    assert "sale_id" not in below.split("LogicalRDD")[0] and "profit_net_sales" not in below
