@@ -510,3 +510,9 @@ def test_sale_ids_and_fields_are_not_shuffled_by_lookups(store, spark):
     plan = sums._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join LeftOuter"):]
     assert "sale_id" not in below.split("LogicalRDD")[0] and "profit_net_sales" not in below
+
+
+def test_variant_texts_are_parsed_once(store, spark):
+    page = O.order_variants(P.priced_lines(store, P.sale_lines(store, *RANGE, "UTC"), counted=True))
+    plan = queries._with_variant_check(page)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
