@@ -143,6 +143,20 @@ def test_long_ids_match_brute_force(spark, rows):
     assert rows(got) == sorted(expected, key=repr)
 
 
+def test_equal_wildcard_ids_are_verified_once(spark, rows, monkeypatch):
+    """Each of their rows still matches, with its own cost, null or not; they count once for what is broadcast."""
+    monkeypatch.setattr(L, "SHORT_IDS", 3)
+    names = spark.createDataFrame([("#1203",), ("#1034",), ("#77",)], "order_name string")
+    ship = [("1%3", float(i)) for i in range(40)] + [("1%3", None), ("1%3", 5.0), ("_77", 1.0), ("7", 2.0), ("7", 2.0)]
+    got = L.order_name_matches(names, spark.createDataFrame(ship, SHIP))
+    expected = [(n, x, c) for n in ("#1203", "#1034", "#77") for x, c in ship if like(n, f"%{x}%")]
+    assert len(expected) == 87 and rows(got) == sorted(expected, key=repr)
+    ids = spark.createDataFrame([s for s in ship if "%" in s[0]], SHIP)
+    assert "BroadcastHashJoin" in plan(L.order_name_matches(names, ids)) and rows(L.order_name_matches(names, ids)) == sorted([e for e in expected if "%" in e[1]], key=repr)
+    monkeypatch.setattr(L, "SHORT_COSTS", 41)
+    assert rows(L.order_name_matches(names, ids)) == sorted([e for e in expected if "%" in e[1]], key=repr)
+
+
 def test_short_ids_are_broadcast_when_all_ids_are_too_many(spark):
     """Most pieces of a name are short; they aren't shuffled because of the many long ids."""
     key = "spark.sql.autoBroadcastJoinThreshold"
