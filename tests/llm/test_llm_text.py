@@ -84,6 +84,24 @@ def test_html_of_odd_pages(corpus):
     assert html_text.extract(twice.limit(0)).count() == 0
 
 
+def test_quotes_outside_values_hide_no_text():
+    """As in browsers a quote opens a value after an equals sign alone, and `<!-->` is a whole comment."""
+    pages = {
+        "<article><p title=Bob's>One</p><p>two</p></article>": ["One", "two"],
+        '<article><a href="x"">One</a> two<p>three</article>': ["One two", "three"],
+        "<article><p don't>One<p class = 'it' \">two</article>": ["One", "two"],
+        "<article><a href=/a?b=\"c>One</a><p title='a>b' x= >two</article>": ["One", "two"],
+        "<article>One<!-->two<!--->three<!-- a > b --!>four<!-- c -->five</article>": ["Onetwothreefourfive"],
+        "<article><p class==\"a>One</article>": ["One"],
+        "<article>One<p title=\"a>b</article>": ["One"],
+        "<article>One<p title='never closed>two</article>": ["One"],
+    }
+    assert {page: html_text.blocks_of(page)[0] for page in pages} == pages
+    assert html_text.blocks_of("<article>One<p class=sidebar>two<p class='ad'>three<p id=Bob's>four</article>")[0] == ["One", "four"]
+    for odd in ("<a " + " " * 200_000, "<a " + "x=" * 100_000, "<a " + "x = " * 100_000, "<a " + "'" * 200_000, "<!--" * 50_000):
+        assert html_text.blocks_of("<article>One" + odd) == (["One"], [], [])
+
+
 def test_repeated_passages_of_a_host_are_removed(corpus):
     line = "join our mailing list for the latest news and offers"
 
